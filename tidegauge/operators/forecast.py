@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.models import COEF, INTERCEPT, dot
 from tidegauge.operators.power import power_invert
+from tidegauge.operators.spread import spread
 from tidegauge.schema import FORECAST
 
 # Horizon, bootstrap size, seed and interval.
@@ -155,7 +156,7 @@ def forecast_interval(
     bounds = _interval_udf(n_boot, seed, levels)(
         "start", "phi", "drive", "resid", "lam", "mu", "sd"
     )
-    ready = inputs.withColumn("_b", bounds)
+    ready = spread(inputs, by).withColumn("_b", bounds)
     rows = forecast_rows(ready, by, [F.col("_b.lower"), F.col("_b.upper")])
     return rows.toDF(*by, "step", "data", "z", "ic_inferior", "ic_superior", "valor").drop("z")
 

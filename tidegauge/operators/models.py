@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.operators.spread import spread
+
 # Default penalties and the Huber threshold.
 RIDGE_ALPHA = 1.0
 HUBER_ALPHA = 1e-4
@@ -134,7 +136,7 @@ def fit_huber(
         )
         return pd.DataFrame([(*key, beta[-1], beta[:-1], len(group))], columns=out.fieldNames())
 
-    return used.groupBy(*by).applyInPandas(fit, out)
+    return spread(used, by).groupBy(*by).applyInPandas(fit, out)
 
 
 def dot(coef: Column, values: Sequence[Column]) -> Column:

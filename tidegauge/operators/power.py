@@ -1,8 +1,9 @@
 """Power transform of many series at once: search, apply, invert.
 
 The exponent maximises the normal log-likelihood. Each round scores a small grid for every
-series with one aggregate. All rounds read the same hash-partitioned rows, so the plan
-shuffles once (Spark reuses the exchange) and each round's aggregate and join stay local.
+series: a row is repeated per exponent and summed at once, inside one task. All rounds read
+the same hash-partitioned rows, so the plan shuffles once (Spark reuses the exchange) and
+each round's aggregates and join stay local.
 Input rows are unique per (key, date): a group is as long as the calendar.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.power import log_jacobian, yeo_johnson, yeo_johnson_inverse
+from tidegauge.operators.spread import spread
 from tidegauge.schema import no_nan
 
 # Search plan: half-width of the first grid around 0, points each side, rounds.
@@ -24,41 +26,30 @@ ROUNDS = 4
 
 def _score(rows: DataFrame, keys: Sequence[str], value: str, center: Column, step: float):
     """Best exponent per key among ``center + k * step``."""
-    offsets = [k * step for k in range(-POINTS, POINTS + 1)]
-    v = F.col(value)
-    rows = rows.withColumn("_center", center)
-    spread = [
-        F.var_pop(yeo_johnson(v, F.col("_center") + F.lit(o))).alias(f"_s{i}")
-        for i, o in enumerate(offsets)
-    ]
-    sums = rows.groupBy(*keys).agg(
-        F.count(v).alias("_n"),
-        F.sum(log_jacobian(v)).alias("_jac"),
-        F.max("_center").alias("_center"),
-        *spread,
+    offsets = F.array(*[F.lit(k * step) for k in range(-POINTS, POINTS + 1)])
+    options = rows.select(
+        *keys,
+        F.col(value).alias("_v"),
+        F.explode(F.transform(offsets, lambda o: center + o)).alias("lam"),
     )
-    options = []
-    for i, o in enumerate(offsets):
-        lam = F.col("_center") + F.lit(o)
-        loglik = -F.col("_n") / 2 * F.ln(F.col(f"_s{i}")) + (lam - 1) * F.col("_jac")
-        # NaN (overflow) would sort above every number; NULL sorts below
-        options.append(F.struct(no_nan(loglik).alias("loglik"), lam.alias("lam")))
-    best = F.array_max(F.array(*options))
-    return sums.select(*keys, best["lam"].alias("lam"))
+    spread_of = F.ln(F.var_pop(yeo_johnson(F.col("_v"), F.col("lam"))))
+    loglik = -F.count("_v") / 2 * spread_of + (F.col("lam") - 1) * F.sum(log_jacobian(F.col("_v")))
+    # overflow gives NaN, which would sort above every number
+    scores = options.groupBy(*keys, "lam").agg(no_nan(loglik).alias("_loglik"))
+    return scores.groupBy(*keys).agg(F.max_by("lam", "_loglik").alias("lam"))
 
 
 def power_lambda(
     df: DataFrame, keys: Sequence[str], value: str = "value", rounds: int = ROUNDS
 ) -> DataFrame:
     """Exponent per key (key columns, ``lam``). Null values are ignored."""
-    rows = (
-        df.select(*keys, value).filter(F.col(value).isNotNull()).repartition(*[F.col(k) for k in keys])
-    )
+    rows = spread(df.select(*keys, value).filter(F.col(value).isNotNull()), keys)
     step = FIRST_HALF_WIDTH / POINTS
     best = _score(rows, keys, value, F.lit(0.0), step)
     for _ in range(rounds - 1):
         step /= POINTS
-        best = _score(rows.join(best, list(keys)), keys, value, F.col("lam"), step)
+        around = rows.join(best.withColumnRenamed("lam", "_center"), list(keys))
+        best = _score(around, keys, value, F.col("_center"), step)
     return best
 
 
@@ -69,7 +60,7 @@ def power_params(
     rows = df.select(*keys, value).filter(F.col(value).isNotNull())
     best = power_lambda(rows, keys, value, rounds)
     changed = yeo_johnson(F.col(value), F.col("lam"))
-    sums = rows.repartition(*[F.col(k) for k in keys]).join(best, list(keys)).groupBy(*keys).agg(
+    sums = spread(rows, keys).join(best, list(keys)).groupBy(*keys).agg(
         F.max("lam").alias("lam"), F.avg(changed).alias("mu"), F.stddev_pop(changed).alias("sd")
     )
     # a constant series is only centred

@@ -24,7 +24,7 @@ from tidegauge.operators import relational as rel
 from tidegauge.operators import scenarios, serving, transforms
 from tidegauge.plans import landing, shapes
 from tidegauge.schema import CATALOG_HEADER
-from tidegauge.session import new_dir
+from tidegauge.session import new_dir, settle
 from tidegauge.sources import payloads, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -410,17 +410,17 @@ def agg_month_median(spark, sf_dir):
 
 @query
 def agg_latest_complete(spark, sf_dir):
-    period = grid.forecast_period(shapes.last_observed(spark, sf_dir), SERIES, H)
-    rows = expectations.latest_complete(shapes.survey_table(spark, sf_dir), period, H, SERIES)
+    rows = expectations.latest_complete(_asked(spark, sf_dir), _period(spark, sf_dir), H, SERIES)
     return rows.groupBy(*SERIES, "survey_date").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query
 def agg_null_share(spark, sf_dir):
     # daily rows keep only those dated on the 1st, so these series have holes
-    cells = rel.union_all(shapes.daily_orders(spark, sf_dir), shapes.monthly_lineitem(spark, sf_dir))
+    daily = settle(shapes.daily_orders(spark, sf_dir), "daily")
+    cells = settle(rel.union_all(daily, shapes.monthly_lineitem(spark, sf_dir)), "cells")
     on_grid = grid.asfreq_month(cells, SERIES)
-    goal = shapes.monthly_orders(spark, sf_dir).filter("series_id = '1-URGENT'")
+    goal = grid.month_mean(daily, SERIES).filter("series_id = '1-URGENT'")
     bounds = panel.target_bounds(goal, [], start="1995-01-01")
     share = panel.null_share(on_grid, SERIES, bounds.select("n_y").scalar())
     return rounded(share.withColumn("kept", F.col("null_share") < panel.MAX_NULL_SHARE))
@@ -436,7 +436,7 @@ def agg_distinct_list(spark, sf_dir):
 @query
 def ts_asfreq_month(spark, sf_dir):
     cells = rel.union_all(shapes.daily_orders(spark, sf_dir), shapes.daily_lineitem(spark, sf_dir))
-    return grid.asfreq_month(cells, SERIES)
+    return grid.asfreq_month(settle(cells, "daily"), SERIES)
 
 
 @query
@@ -457,7 +457,7 @@ def ts_trunc(spark, sf_dir):
 
 @query
 def win_bfill_ffill(spark, sf_dir):
-    on_grid = grid.asfreq_month(shapes.daily_orders(spark, sf_dir), SERIES)
+    on_grid = grid.asfreq_month(settle(shapes.daily_orders(spark, sf_dir), "daily"), SERIES)
     return grid.fill_both(on_grid, SERIES)
 
 
@@ -675,31 +675,31 @@ def mod_yeo_johnson_lambda(spark, sf_dir):
 # scenarios and forecasts ----------------------------------------------------------------
 
 
+def _last(spark, sf_dir):
+    return settle(shapes.last_observed(spark, sf_dir), "last")
+
+
 def _period(spark, sf_dir):
-    return grid.forecast_period(shapes.last_observed(spark, sf_dir), SERIES, H)
+    return grid.forecast_period(_last(spark, sf_dir), SERIES, H)
+
+
+def _asked(spark, sf_dir):
+    """The survey table, stored: its raw join runs once."""
+    return settle(shapes.survey_table(spark, sf_dir), "survey")
 
 
 @query
 def scn_survey(spark, sf_dir):
-    path = scenarios.survey_path(
-        shapes.survey_table(spark, sf_dir), _period(spark, sf_dir), H, SERIES
-    )
+    path = scenarios.survey_path(_asked(spark, sf_dir), _period(spark, sf_dir), H, SERIES)
     return rounded(path)
 
 
-def _last_month(spark, sf_dir):
-    return shapes.last_observed(spark, sf_dir).withColumnRenamed("last", "data")
-
-
 @query
 def scn_survey_transformed(spark, sf_dir):
+    last = _last(spark, sf_dir)
+    period = grid.forecast_period(last, SERIES, H)
     path = scenarios.survey_path_transformed(
-        shapes.survey_table(spark, sf_dir),
-        _period(spark, sf_dir),
-        _last_month(spark, sf_dir),
-        H,
-        "5",
-        SERIES,
+        _asked(spark, sf_dir), period, last.withColumnRenamed("last", "data"), H, "5", SERIES
     )
     return rounded(path)
 
@@ -712,13 +712,14 @@ def scn_seasonal_median(spark, sf_dir):
 
 @query
 def scn_assemble(spark, sf_dir):
-    asked, period = shapes.survey_table(spark, sf_dir), _period(spark, sf_dir)
+    asked, last = _asked(spark, sf_dir), _last(spark, sf_dir)
+    period = grid.forecast_period(last, SERIES, H)
     keyed = lambda df: df.withColumnRenamed("series_id", "target_id")
     paths = {
         "expected": keyed(scenarios.survey_path(asked, period, H, SERIES)),
         "price": keyed(
             scenarios.survey_path_transformed(
-                asked, period, _last_month(spark, sf_dir), H, "5", SERIES
+                asked, period, last.withColumnRenamed("last", "data"), H, "5", SERIES
             )
         ),
         "shipped": keyed(
@@ -749,17 +750,15 @@ def _forecast_inputs(frame, fitted, exog, lam=1.0):
 
 @query
 def fc_recursive(spark, sf_dir):
-    frame = shapes.supplier_frame(spark, sf_dir)
+    frame = settle(shapes.supplier_frame(spark, sf_dir), "frame")
     rows = panel.design_matrix(frame, TARGET, EXOG, dummies=False)
     inputs = _forecast_inputs(frame, models.fit_ridge(rows, TARGET, PLAIN), EXOG)
     return rounded(forecast.forecast_point(inputs, TARGET), 3)
 
 
-def _interval(spark, sf_dir, alpha=models.RIDGE_ALPHA, n_boot=forecast.N_BOOT):
+def _interval(frame, alpha=models.RIDGE_ALPHA, n_boot=forecast.N_BOOT):
     """Intervals of every supplier, on the square-root-like scale of exponent 0.5."""
-    frame = shapes.supplier_frame(spark, sf_dir).withColumn(
-        "y", yeo_johnson(F.col("y"), F.lit(0.5))
-    )
+    frame = frame.withColumn("y", yeo_johnson(F.col("y"), F.lit(0.5)))
     rows = panel.design_matrix(frame, TARGET, EXOG, dummies=False)
     fitted = models.fit_ridge(rows, TARGET, PLAIN, alpha=alpha)
     resid = forecast.residual_lists(models.residuals(rows, fitted, TARGET, PLAIN), TARGET)
@@ -769,15 +768,16 @@ def _interval(spark, sf_dir, alpha=models.RIDGE_ALPHA, n_boot=forecast.N_BOOT):
 
 @query
 def fc_bootstrap_interval(spark, sf_dir):
-    return rounded(_interval(spark, sf_dir), 2)
+    return rounded(_interval(settle(shapes.supplier_frame(spark, sf_dir), "frame")), 2)
 
 
 @query
 def fc_table(spark, sf_dir):
     # two ridge fits stand for the two models
+    frame = settle(shapes.supplier_frame(spark, sf_dir), "frame")
     parts = [
         forecast.forecast_table(
-            _interval(spark, sf_dir, alpha, n_boot=500),
+            _interval(frame, alpha, n_boot=500),
             F.col("target_id").cast("string"),
             F.lit(name),
             F.lit("2001-12-03 15:35:45").cast("timestamp_ntz"),

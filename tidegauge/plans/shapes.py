@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import month_start
 from tidegauge.operators import grid
+from tidegauge.session import settle
 
 FLAGS = ["A", "N", "R"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -116,8 +117,11 @@ def last_observed(spark: SparkSession, sf_dir: str, day: str = "2000-08-01") ->
 
 
 def served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """History and forecasts of two models; both hold the month 2000-10."""
-    base = rates(spark, sf_dir)
+    """History and forecasts of two models; both hold the month 2000-10.
+
+    Both come from a stored monthly table, as published forecasts do.
+    """
+    base = settle(rates(spark, sf_dir), "rates")
     history = base.filter("data <= DATE'2000-10-01'").select(
         F.col("series_id").alias("variavel"), "data", F.col("value").alias("valor")
     )
