@@ -84,9 +84,11 @@ def _bounds(paths: np.ndarray, levels: Sequence[float], lam: float, mu: float, s
     """Quantiles per step on the original scale.
 
     The inverse is increasing, so the order statistics can be picked first and only they
-    inverted. Where some path leaves the inverse's domain, all are inverted and those left out.
+    inverted. Where some path leaves the inverse's domain, all are inverted; those that have
+    no value are left out.
     """
-    if np.isnan(_invert(np.array([paths.min(), paths.max()]), lam, mu, sd)).any():
+    lowest, highest = paths.min() * sd + mu, paths.max() * sd + mu
+    if (highest > 0 and lam * highest + 1 <= 0) or (lowest < 0 and 1 - (2 - lam) * lowest <= 0):
         return np.nanquantile(_invert(paths, lam, mu, sd), levels, axis=0)
     rank = np.asarray(levels) * (len(paths) - 1)
     low = np.floor(rank).astype(int)

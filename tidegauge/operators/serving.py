@@ -128,9 +128,14 @@ def fan_chart(served: DataFrame, rows: int | None = None) -> DataFrame:
 
 def fan_table(served: DataFrame) -> DataFrame:
     """Forecast rows that carry an interval, in the published columns."""
-    rows = fan_chart(served).dropna(subset=["ic_inferior", "ic_superior"])
-    shown = rows.withColumn("data", F.date_format(F.to_date("data"), "MM/yyyy"))
-    return shown.select("variavel", "modelo", *FAN_TABLE_NAMES).withColumnsRenamed(FAN_TABLE_NAMES)
+    rows = _models(served).dropna(subset=["ic_inferior", "ic_superior"])
+    shown = rows.select(
+        "variavel",
+        F.col("tipo").alias("modelo"),
+        F.date_format("data", "MM/yyyy").alias("data"),
+        *[round_even(F.col(c)).alias(c) for c in ("ic_inferior", "valor", "ic_superior")],
+    )
+    return shown.withColumnsRenamed(FAN_TABLE_NAMES)
 
 
 def cards(served: DataFrame) -> DataFrame:
