@@ -43,11 +43,13 @@ HEADLINE = [
     "serve_yoy",
 ]
 
-# targets of the interval forecast: how many series the same lines are cut into
+# targets of the interval forecast: how many series the same lines are cut into, and the
+# model. Parts have months without lines, filled with the neighbour's value; more than half
+# of their rows then fit exactly, which leaves the Huber scale undefined: they take Ridge.
 TARGETS = {
-    "forecast_targets_all": "cast(0 as bigint)",
-    "forecast_targets_supplier": "l_suppkey",
-    "forecast_targets_part": "l_partkey",
+    "forecast_targets_all": ("cast(0 as bigint)", "Huber"),
+    "forecast_targets_supplier": ("l_suppkey", "Huber"),
+    "forecast_targets_part": ("l_partkey", "Ridge"),
 }
 
 
@@ -65,12 +67,12 @@ def target_frame(spark, key):
     return settle(grid.fill_both(dense, ["target_id"], columns), "frame")
 
 
-def interval_forecast(spark, key):
+def interval_forecast(spark, key, kind):
     """5000 paths of 12 steps per target, from the raw lines to the interval."""
     frame = target_frame(spark, key)
     exog = ["quantity", "discount"]
     scenario = outlook.seasonal_scenario(frame, ["target_id"], exog)
-    return outlook.fit_and_forecast(frame, scenario, ["target_id"], exog, kinds=("Huber",))
+    return outlook.fit_and_forecast(frame, scenario, ["target_id"], exog, kinds=(kind,))
 
 
 def timed(make) -> float:
@@ -93,8 +95,8 @@ def main() -> None:
     timings = {"flagship": timed(lambda: flagship(spark, SF_DIR))}
     for name in HEADLINE:
         timings[name] = timed(lambda: QUERIES[name](spark, SF_DIR))
-    for name, key in TARGETS.items():
-        timings[name] = timed(lambda: interval_forecast(spark, key))
+    for name, (key, kind) in TARGETS.items():
+        timings[name] = timed(lambda: interval_forecast(spark, key, kind))
     print(
         json.dumps(
             {

@@ -74,9 +74,9 @@ def test_huber_gradient_vanishes(spark):
     for t in ("a", "b"):
         m = to_numpy(rows, ["y", *names], t)
         y, x = m[:, 0], m[:, 1:]
-        beta, scale = models.huber_coefficients(x, y)
-        assert np.allclose(fitted[t].coef, beta[:-1])
-        at = np.concatenate([beta, [scale]])
+        beta, scale = models.huber_coefficients(x[None], y[None], np.ones((1, len(y)), bool))
+        assert np.allclose(fitted[t].coef, beta[0, :-1])
+        at = np.concatenate([beta[0], scale])
         for i in range(len(at)):
             step = np.zeros(len(at))
             step[i] = 1e-6
@@ -86,6 +86,17 @@ def test_huber_gradient_vanishes(spark):
             assert abs(slope) < 1e-3
 
 
+def test_huber_stack_with_padding_equals_one_by_one():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(5, 60, 3)), rng.standard_t(2, size=(5, 60))
+    present = np.arange(60)[None, :] < np.array([60, 20, 35, 50, 12])[:, None]
+    stacked, _ = models.huber_coefficients(x, y, present)
+    for i in range(5):
+        own = present[i]
+        alone, _ = models.huber_coefficients(x[i : i + 1, own], y[i : i + 1, own], present[i : i + 1, own])
+        assert np.allclose(stacked[i], alone[0], atol=1e-7)
+
+
 def test_huber_ignores_outliers_more_than_ridge(spark):
     frame = made_frame(spark, targets=("a",)).withColumn(
         "y", F.when(F.col("data") == month(60), 500.0).otherwise(F.col("x1") * 2)

@@ -20,8 +20,3 @@ def yeo_johnson_inverse(value: Column, lam: Column) -> Column:
         1 - F.pow(1 - (2 - lam) * value, 1 / (2 - lam))
     )
     return F.when(value >= 0, up).otherwise(down)
-
-
-def log_jacobian(value: Column) -> Column:
-    """Row term of the log-likelihood that multiplies ``lambda - 1``."""
-    return F.signum(value) * F.log1p(F.abs(value))

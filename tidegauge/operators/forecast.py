@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators.models import COEF, INTERCEPT, dot
 from tidegauge.operators.power import power_invert
 from tidegauge.operators.spread import spread
-from tidegauge.schema import FORECAST
+from tidegauge.schema import FORECAST, no_nan
 
 # Horizon, bootstrap size, seed and interval.
 HORIZON = 12
@@ -95,20 +95,22 @@ def _bounds(paths: np.ndarray, levels: Sequence[float], lam: float, mu: float, s
     high = np.minimum(low + 1, len(paths) - 1)
     ordered = np.partition(paths, np.unique(np.concatenate([low, high])), axis=0)
     a, b = (_invert(ordered[i], lam, mu, sd) for i in (low, high))
-    return a + (b - a) * (rank - low)[:, None]
+    with np.errstate(invalid="ignore"):
+        return a + (b - a) * (rank - low)[:, None]
 
 
 def _interval_udf(n_boot: int, seed: int, levels: tuple[float, float]):
     @F.pandas_udf("lower array<double>, upper array<double>")
     def interval(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        draws = {}
+        drawn, pick = None, None
         for batch in batches:
             out = []
             for start, phi, drive, resid, lam, mu, sd in zip(*batch):
-                h = len(drive)
-                if h not in draws:
-                    draws[h] = draw_base(n_boot, h, seed)
-                shocks = np.asarray(resid)[draws[h] % len(resid)]
+                # keys mostly share the length of their sample: draw again only if not
+                if drawn != (len(drive), len(resid)):
+                    drawn = (len(drive), len(resid))
+                    pick = draw_base(n_boot, len(drive), seed) % len(resid)
+                shocks = np.asarray(resid)[pick]
                 y = np.full(n_boot, start)
                 for t, d in enumerate(drive):
                     y = d + phi * y + shocks[:, t]
@@ -160,7 +162,8 @@ def forecast_interval(
     )
     ready = spread(inputs, by).withColumn("_b", bounds)
     rows = forecast_rows(ready, by, [F.col("_b.lower"), F.col("_b.upper")])
-    return rows.toDF(*by, "step", "data", "z", "ic_inferior", "ic_superior", "valor").drop("z")
+    named = rows.toDF(*by, "step", "data", "z", "ic_inferior", "ic_superior", "valor").drop("z")
+    return named.withColumns({c: no_nan(F.col(c)) for c in ("ic_inferior", "ic_superior", "valor")})
 
 
 def forecast_table(rows: DataFrame, variavel: Column, tipo: Column, run: Column | None = None):

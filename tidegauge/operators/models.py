@@ -2,7 +2,7 @@
 
 Ridge needs only sums, so Spark reduces the rows (map-side first) and Python sees one small
 matrix per target. The Huber fit iterates on a target's rows; those are one per month, so a
-group is as long as the calendar.
+target's array is as long as the calendar, and a stack of targets is solved at once.
 """
 
 from __future__ import annotations
@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators.spread import spread
+from tidegauge.operators.stack import stacked
 
 # Default penalties and the Huber threshold.
 RIDGE_ALPHA = 1.0
 HUBER_ALPHA = 1e-4
 HUBER_EPSILON = 1.35
 
+# shares of a Newton step tried in the Huber fit; the small ones serve when it is far too long
+SHARES = (1.0, 0.3, 0.1, 0.03, 0.01, 0.001)
+
 COEF = "coef"
 INTERCEPT = "intercept"
 
@@ -79,37 +83,107 @@ def fit_ridge(
 def huber_coefficients(
     x: np.ndarray,
     y: np.ndarray,
+    present: np.ndarray,
     epsilon: float = HUBER_EPSILON,
     alpha: float = HUBER_ALPHA,
-    tol: float = 1e-10,
-    max_iter: int = 1000,
-) -> tuple[np.ndarray, float]:
-    """Coefficients (intercept last) and scale of the joint Huber objective.
-
-    Minimises ``n s + sum s H((y - Xw - c) / s) + alpha |w|^2`` over w, c and the scale s by
-    alternating a weighted ridge step with the closed-form scale.
+    tol: float = 1e-9,
+    max_iter: int = 100,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (intercept last) and scales of a stack of targets.
+
+    Minimises ``n s + sum s H((y - Xw - c) / s) + alpha |w|^2`` over w, c and the scale s.
+    Each iteration tries shares of a Newton step and a reweighted least-squares step and
+    keeps the lowest objective: the second always descends, the first ends quickly. Shapes: (targets,
+    rows, features), (targets, rows); ``present`` marks real rows, the rest is padding. A
+    target leaves the stack when its coefficients stand still.
     """
-    n, k = x.shape
-    design = np.column_stack([x, np.ones(n)])
-    penalty = np.diag([alpha] * k + [0.0])
-    beta = np.linalg.lstsq(design, y, rcond=None)[0]
-    floor = 1e-12 * max(1.0, float(np.abs(y).max()))
-    scale = max(float(np.std(y - design @ beta)), floor)
+    k = x.shape[2] + 1
+    design = np.concatenate([x, np.ones((*y.shape, 1))], axis=2) * present[:, :, None]
+    y, n = y * present, present.sum(axis=1).astype(float)
+    penalty = np.append(np.full(k - 1, alpha), 0.0)
+
+    def residual(d, goal, coef):
+        return goal - np.einsum("trk,tk->tr", d, coef)
+
+    def objective(d, goal, count, coef, scale):
+        size, s = np.abs(residual(d, goal, coef)), scale[:, None]
+        loss = np.where(size <= epsilon * s, size**2 / s, 2 * epsilon * size - epsilon**2 * s)
+        return count * scale + loss.sum(axis=1) + (penalty * coef**2).sum(axis=1)
+
+    def least_squares(d, goal, weight):
+        left = d.transpose(0, 2, 1) * weight[:, None, :]
+        return np.linalg.solve(left @ d + np.diag(penalty), left @ goal[:, :, None])[:, :, 0]
+
+    def reweighted(d, goal, count, resid, scale, low):
+        out = np.abs(resid) > epsilon * scale[:, None]
+        inner = np.where(out, 0.0, resid**2).sum(axis=1)
+        # the share of outliers that leaves the closed form defined; else the scale stays
+        room = count - out.sum(axis=1) * epsilon**2
+        new = np.where(room > 0, np.sqrt(inner / np.where(room > 0, room, 1.0)), scale)
+        new = np.maximum(new, low)
+        limit = epsilon * new[:, None]
+        weight = limit / np.maximum(np.abs(resid), limit) / new[:, None]
+        return least_squares(d, goal, weight), new
+
+    def newton(d, count, resid, coef, scale):
+        s = scale[:, None]
+        inside = np.abs(resid) <= epsilon * s
+        near = np.where(inside, resid, 0.0)
+        own = d * inside[:, :, None]
+        hess = np.empty((len(d), k + 1, k + 1))
+        hess[:, :k, :k] = 2 / s[:, :, None] * (own.transpose(0, 2, 1) @ own) + 2 * np.diag(penalty)
+        hess[:, :k, k] = hess[:, k, :k] = 2 / s**2 * np.einsum("trk,tr->tk", own, near)
+        squares = (near**2).sum(axis=1)
+        hess[:, k, k] = 2 * squares / scale**3
+        # keeps the system solvable when few rows are inside
+        hess += 1e-12 * np.trace(hess, axis1=1, axis2=2)[:, None, None] * np.eye(k + 1)
+        pull = np.where(inside, resid / s, epsilon * np.sign(resid))
+        slope = np.empty((len(d), k + 1))
+        slope[:, :k] = -2 * np.einsum("trk,tr->tk", d, pull) + 2 * penalty * coef
+        slope[:, k] = count - squares / scale**2 - epsilon**2 * (~inside).sum(axis=1)
+        return np.linalg.solve(hess, -slope[:, :, None])[:, :, 0]
+
+    beta = least_squares(design, y, present.astype(float))
+    floor = 1e-9 * np.maximum(1e-300, np.abs(y).max(axis=1))
+    scale = np.maximum(np.sqrt((residual(design, y, beta) ** 2).sum(axis=1) / n), floor)
+    live = np.arange(len(y))
     for _ in range(max_iter):
-        resid = y - design @ beta
-        size = np.abs(resid)
-        out = size > epsilon * scale
-        scale = max(np.sqrt((resid[~out] ** 2).sum() / (n - out.sum() * epsilon**2)), floor)
-        weight = np.minimum(1.0, epsilon * scale / np.maximum(size, floor)) / scale
-        weighted = design * weight[:, None]
-        new = np.linalg.solve(design.T @ weighted + penalty, weighted.T @ y)
-        done = np.abs(new - beta).max() <= tol * max(1.0, np.abs(new).max())
-        beta = new
-        if done:
+        d, goal, count, low = design[live], y[live], n[live], floor[live]
+        coef, wide = beta[live], scale[live]
+        resid = residual(d, goal, coef)
+        new, new_scale = reweighted(d, goal, count, resid, wide, low)
+        lowest = objective(d, goal, count, new, new_scale)
+        step = newton(d, count, resid, coef, wide)
+        for share in SHARES:
+            tried = coef + share * step[:, :k]
+            tried_scale = np.maximum(wide + share * step[:, k], np.maximum(wide / 10, low))
+            with np.errstate(invalid="ignore", over="ignore"):
+                value = objective(d, goal, count, tried, tried_scale)
+            better = value < lowest
+            new = np.where(better[:, None], tried, new)
+            new_scale = np.where(better, tried_scale, new_scale)
+            lowest = np.where(better, value, lowest)
+        scale[live] = new_scale
+        moved = np.abs(new - coef).max(axis=1) > tol * np.maximum(1.0, np.abs(new).max(axis=1))
+        beta[live] = new
+        live = live[moved]
+        if not len(live):
             break
     return beta, scale
 
 
+def _huber_udf(width: int, epsilon: float, alpha: float):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def fit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for rows, present in stacked(batch, width):
+                out.extend(huber_coefficients(rows[:, :, 1:], rows[:, :, 0], present, epsilon, alpha)[0])
+            yield pd.Series(out)
+
+    return fit
+
+
 def fit_huber(
     rows: DataFrame,
     by: Sequence[str],
@@ -119,24 +193,16 @@ def fit_huber(
     alpha: float = HUBER_ALPHA,
 ) -> DataFrame:
     """Huber regression per key: key columns, ``intercept``, ``coef``, ``n_rows``."""
-    x = list(features)
-    used = rows.select(*by, target, *x).dropna(subset=[target, *x])
-    out = T.StructType(
-        [used.schema[c] for c in by]
-        + [
-            T.StructField(INTERCEPT, T.DoubleType()),
-            T.StructField(COEF, T.ArrayType(T.DoubleType())),
-            T.StructField("n_rows", T.LongType()),
-        ]
+    cells = [F.col(c).cast("double") for c in (target, *features)]
+    used = spread(rows.dropna(subset=[target, *features]).select(*by, F.array(*cells).alias("_r")), by)
+    gathered = used.groupBy(*by).agg(
+        F.flatten(F.collect_list("_r")).alias("_table"), F.count(F.lit(1)).alias("n_rows")
+    )
+    beta = _huber_udf(len(cells), epsilon, alpha)("_table")
+    k = len(features)
+    return gathered.withColumn("_beta", beta).select(
+        *by, F.col("_beta")[k].alias(INTERCEPT), F.slice("_beta", 1, k).alias(COEF), "n_rows"
     )
-
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        beta, _ = huber_coefficients(
-            group[x].to_numpy(float), group[target].to_numpy(float), epsilon, alpha
-        )
-        return pd.DataFrame([(*key, beta[-1], beta[:-1], len(group))], columns=out.fieldNames())
-
-    return spread(used, by).groupBy(*by).applyInPandas(fit, out)
 
 
 def dot(coef: Column, values: Sequence[Column]) -> Column:

@@ -1,70 +1,85 @@
 """Power transform of many series at once: search, apply, invert.
 
-The exponent maximises the normal log-likelihood. Each round scores a small grid for every
-series: a row is repeated per exponent and summed at once, inside one task. All rounds read
-the same hash-partitioned rows, so the plan shuffles once (Spark reuses the exchange) and
-each round's aggregates and join stay local.
-Input rows are unique per (key, date): a group is as long as the calendar.
+The exponent maximises the normal log-likelihood. Each key's values are gathered into one
+array and searched in a vectorised helper: one shuffle, where scoring every exponent by an
+aggregate took far longer. Input rows are unique per (key, month), so an
+array is as long as the calendar.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.power import log_jacobian, yeo_johnson, yeo_johnson_inverse
+from tidegauge.functions.power import yeo_johnson, yeo_johnson_inverse
 from tidegauge.operators.spread import spread
-from tidegauge.schema import no_nan
+from tidegauge.operators.stack import stacked
 
-# Search plan: half-width of the first grid around 0, points each side, rounds.
+# Search plan: half-width of the first grid around 0, points each side, rounds. Every round
+# is POINTS times finer and centred on the best exponent so far.
 FIRST_HALF_WIDTH = 5.0
 POINTS = 10
 ROUNDS = 4
 
 
-def _score(rows: DataFrame, keys: Sequence[str], value: str, center: Column, step: float):
-    """Best exponent per key among ``center + k * step``."""
-    offsets = F.array(*[F.lit(k * step) for k in range(-POINTS, POINTS + 1)])
-    options = rows.select(
-        *keys,
-        F.col(value).alias("_v"),
-        F.explode(F.transform(offsets, lambda o: center + o)).alias("lam"),
-    )
-    spread_of = F.ln(F.var_pop(yeo_johnson(F.col("_v"), F.col("lam"))))
-    loglik = -F.count("_v") / 2 * spread_of + (F.col("lam") - 1) * F.sum(log_jacobian(F.col("_v")))
-    # overflow gives NaN, which would sort above every number
-    scores = options.groupBy(*keys, "lam").agg(no_nan(loglik).alias("_loglik"))
-    return scores.groupBy(*keys).agg(F.max_by("lam", "_loglik").alias("lam"))
+def _moments(v: np.ndarray, present: np.ndarray, lam: np.ndarray):
+    """Mean and variance of the transform: (keys, exponents) from (keys, values)."""
+    size = np.log1p(np.abs(v))[:, None, :]
+    up, keep = (v >= 0)[:, None, :], present[:, None, :]
+    power = np.where(up, lam[:, :, None], 2 - lam[:, :, None])
+    flat = power == 0
+    # the power as exp of a log: exp runs vectorised, pow does not
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.where(flat, size, (np.exp(power * size) - 1) / np.where(flat, 1.0, power))
+        out = np.where(up, out, -out) * keep
+        n = present.sum(axis=1)[:, None]
+        mean = out.sum(axis=2) / n
+        gap = (out - mean[:, :, None]) * keep
+        return mean, np.einsum("kgn,kgn->kg", gap, gap) / n
+
+
+def search_exponents(v: np.ndarray, present: np.ndarray, rounds: int) -> np.ndarray:
+    """Best exponent of each key, with the mean and deviation of its transformed values."""
+    n = present.sum(axis=1)[:, None]
+    jacobian = (np.sign(v) * np.log1p(np.abs(v)) * present).sum(axis=1)[:, None]
+    best, step = np.zeros((len(v), 1)), FIRST_HALF_WIDTH / POINTS
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for _ in range(rounds):
+            grid = best + step * np.arange(-POINTS, POINTS + 1)
+            score = -n / 2 * np.log(_moments(v, present, grid)[1]) + (grid - 1) * jacobian
+            # no variance or overflow: not a candidate
+            score = np.where(np.isfinite(score), score, -np.inf)
+            best = np.take_along_axis(grid, score.argmax(axis=1)[:, None], axis=1)
+            step /= POINTS
+        mean, var = _moments(v, present, best)
+        sd = np.sqrt(var)
+    # a constant series is only centred
+    return np.hstack([best, mean, np.where(sd > 0, sd, 1.0)])
 
 
-def power_lambda(
-    df: DataFrame, keys: Sequence[str], value: str = "value", rounds: int = ROUNDS
-) -> DataFrame:
-    """Exponent per key (key columns, ``lam``). Null values are ignored."""
-    rows = spread(df.select(*keys, value).filter(F.col(value).isNotNull()), keys)
-    step = FIRST_HALF_WIDTH / POINTS
-    best = _score(rows, keys, value, F.lit(0.0), step)
-    for _ in range(rounds - 1):
-        step /= POINTS
-        around = rows.join(best.withColumnRenamed("lam", "_center"), list(keys))
-        best = _score(around, keys, value, F.col("_center"), step)
-    return best
+def _search_udf(rounds: int):
+    @F.pandas_udf("lam double, mu double, sd double")
+    def search(values: pd.Series) -> pd.DataFrame:
+        found = [search_exponents(v[:, :, 0], there, rounds) for v, there in stacked(values, 1)]
+        return pd.DataFrame(np.vstack(found), columns=["lam", "mu", "sd"])
+
+    return search
 
 
 def power_params(
     df: DataFrame, keys: Sequence[str], value: str = "value", rounds: int = ROUNDS
 ) -> DataFrame:
-    """``lam`` with the mean ``mu`` and population deviation ``sd`` of the transformed rows."""
-    rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-    best = power_lambda(rows, keys, value, rounds)
-    changed = yeo_johnson(F.col(value), F.col("lam"))
-    sums = spread(rows, keys).join(best, list(keys)).groupBy(*keys).agg(
-        F.max("lam").alias("lam"), F.avg(changed).alias("mu"), F.stddev_pop(changed).alias("sd")
-    )
-    # a constant series is only centred
-    return sums.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    """Key columns, ``lam``, and the mean ``mu`` and deviation ``sd`` of the transform.
+
+    Null values are ignored.
+    """
+    rows = spread(df.select(*keys, value).filter(F.col(value).isNotNull()), keys)
+    gathered = rows.groupBy(*keys).agg(F.collect_list(value).alias("_v"))
+    return gathered.select(*keys, _search_udf(rounds)("_v").alias("_p")).select(*keys, "_p.*")
 
 
 def power_apply(value: Column, lam: Column, mu: Column, sd: Column) -> Column:
@@ -76,33 +91,33 @@ def power_invert(z: Column, lam: Column, mu: Column, sd: Column) -> Column:
 
 
 def frame_params(
-    frame: DataFrame, by: Sequence[str], columns: Sequence[str], flags: Sequence[str] = ()
+    frame: DataFrame,
+    by: Sequence[str],
+    columns: Sequence[str],
+    flags: Sequence[str] = (),
+    rounds: int = ROUNDS,
 ) -> DataFrame:
-    """Parameters of every column of a wide frame: one row per key.
+    """Parameters of every column of a wide frame: one row per key, one shuffle.
 
     Gives ``<col>_lam``, ``<col>_mu``, ``<col>_sd`` for ``columns``. A two-valued column
     (``flags``) is mapped affinely by any exponent, so it needs its mean and deviation only.
     """
-    melted = frame.unpivot(list(by), list(columns), "_column", "value")
-    keys = [*by, "_column"]
-    found = power_params(melted, keys)
-    cells = [
-        F.max(F.when(F.col("_column") == c, F.col(p))).alias(f"{c}_{p}")
-        for c in columns
-        for p in ("lam", "mu", "sd")
-    ]
-    wide = found.groupBy(*by).agg(*cells)
-    if not flags:
-        return wide
-    stats = []
+    stats = [F.collect_list(c).alias(c) for c in columns]
     for c in flags:
         dev = F.stddev_pop(c)
         stats += [F.avg(c).alias(f"{c}_mu"), F.when(dev > 0, dev).otherwise(1.0).alias(f"{c}_sd")]
-    return wide.join(frame.groupBy(*by).agg(*stats), list(by))
+    gathered = spread(frame.select(*by, *columns, *flags), by).groupBy(*by).agg(*stats)
+    search = _search_udf(rounds)
+    found = gathered.withColumns({c: search(c) for c in columns})
+    cells = [F.col(f"{c}.{p}").alias(f"{c}_{p}") for c in columns for p in ("lam", "mu", "sd")]
+    return found.select(*by, *cells, *[f"{c}_{p}" for c in flags for p in ("mu", "sd")])
 
 
 def frame_apply(
-    frame: DataFrame, params: DataFrame, by: Sequence[str], columns: Sequence[str],
+    frame: DataFrame,
+    params: DataFrame,
+    by: Sequence[str],
+    columns: Sequence[str],
     flags: Sequence[str] = (),
 ) -> DataFrame:
     """Replace the columns by their standardised transforms."""

@@ -668,8 +668,7 @@ def mod_yeo_johnson_inverse(spark, sf_dir):
 @query
 def mod_yeo_johnson_lambda(spark, sf_dir):
     frame = shapes.supplier_frame(spark, sf_dir)
-    found = power.power_lambda(frame, TARGET, "quantity", rounds=3)
-    return rounded(found, 3)
+    return rounded(power.power_params(frame, TARGET, "quantity", rounds=3).select("target_id", "lam"), 3)
 
 
 # scenarios and forecasts ----------------------------------------------------------------
