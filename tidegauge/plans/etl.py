@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import align, expectations, grid
 from tidegauge.operators.relational import union_all
-from tidegauge.schema import ANNUAL, DAILY, MONTHLY
+from tidegauge.schema import ANNUAL, DAILY, MONTHLY, require_unique
 from tidegauge.session import settle
 from tidegauge.sources import payloads, sinks, tables
 
@@ -153,7 +153,8 @@ def run(spark: SparkSession, landing: str, catalog: DataFrame, out: str) -> None
         ),
         f"{out}/long",
     )
-    stored = spark.read.parquet(f"{out}/long")
+    # the wide tables take one value per cell: a repeated key must not pass unseen
+    stored = require_unique(spark.read.parquet(f"{out}/long"), ["freq", "series_id", "data"])
     kept = Tables(
         stored.filter("freq = 'D'"), stored.filter("freq = 'M'"), made.daily_ids, made.monthly_ids
     )

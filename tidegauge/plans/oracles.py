@@ -551,6 +551,19 @@ ORACLES["mod_design_matrix"] = _with(
 )
 
 
+def _det(c1: tuple[str, ...], c2: tuple[str, ...], c3: tuple[str, ...]) -> str:
+    (a, d, g), (b, e, h), (c, f, i) = c1, c2, c3
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _cramer() -> list[str]:
+    """Solutions of the symmetric system a w = b, columns a11..a33 and b1..b3."""
+    col = [("a11", "a12", "a13"), ("a12", "a22", "a23"), ("a13", "a23", "a33")]
+    rhs = ("b1", "b2", "b3")
+    full = _det(*col)
+    return [_det(*[rhs if k == i else col[k] for k in range(3)]) + " / " + full for i in range(3)]
+
+
 def _ridge(alpha: float = 1.0, name: str = "ridge") -> str:
     """Three centred features solved by determinants: lag (1), quantity (2), discount (3)."""
     x = ["lag_1", "quantity", "discount"]
@@ -562,14 +575,7 @@ def _ridge(alpha: float = 1.0, name: str = "ridge") -> str:
     )
     cross = ", ".join(f"sum((d.{x[i - 1]} - m{i}) * (d.y - my)) AS b{i}" for i in (1, 2, 3))
 
-    def det(c1: tuple[str, str, str], c2: tuple[str, str, str], c3: tuple[str, str, str]) -> str:
-        (a, d, g), (b, e, h), (c, f, i) = c1, c2, c3
-        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
-
-    col = [("a11", "a12", "a13"), ("a12", "a22", "a23"), ("a13", "a23", "a33")]
-    rhs = ("b1", "b2", "b3")
-    full = det(*col)
-    w = [det(*[rhs if k == i else col[k] for k in range(3)]) + " / " + full for i in range(3)]
+    w = _cramer()
     return (
         f"{name}_mean AS (SELECT target_id, count(*) AS n_rows, avg(y) AS my, {means} FROM design GROUP BY 1), "
         f"{name}_sum AS (SELECT d.target_id, {stats}, {cross} FROM design d JOIN {name}_mean m "
@@ -589,6 +595,46 @@ def _weights(name: str, digits: int) -> str:
 
 ORACLES["mod_ridge"] = _with(["frame", "design"], _weights("ridge", 4), _ridge())
 _FITTED = "(m.c + m.w1 * d.lag_1 + m.w2 * d.quantity + m.w3 * d.discount)"
+
+
+def _huber(rounds: int, epsilon: float = 1.35, alpha: float = 1e-4) -> list[str]:
+    """Reweighted least squares from the ridge fit, unrolled.
+
+    A round: absolute residuals, closed-form scale, weighted sums, weights. Converges
+    linearly to the same minimum as any other method: the objective is convex.
+    """
+    x = ["lag_1", "quantity", "discount"]
+    pairs = [(i, j) for i in (1, 2, 3) for j in range(i, 4)]
+    sums = ["sum(w) AS sw", "sum(w * y) AS sy"]
+    sums += [f"sum(w * {x[i - 1]}) AS s{i}, sum(w * {x[i - 1]} * y) AS sy{i}" for i in (1, 2, 3)]
+    sums += [f"sum(w * {x[i - 1]} * {x[j - 1]}) AS s{i}{j}" for i, j in pairs]
+    system = [
+        f"s{i}{j} - s{i} * s{j} / sw{f' + {alpha}' if i == j else ''} AS a{i}{j}" for i, j in pairs
+    ]
+    system += [f"sy{i} - s{i} * sy / sw AS b{i}" for i in (1, 2, 3)]
+    solved = ", ".join(f"{e} AS w{i}" for i, e in enumerate(_cramer(), 1))
+    join = "FROM design d JOIN {} m ON m.target_id = d.target_id"
+    resid = f"abs(d.y - {_FITTED})"
+    parts = [
+        f"fit0 AS MATERIALIZED (SELECT m.target_id, m.n_rows, m.c, m.w1, m.w2, m.w3, sqrt(avg({resid} ** 2)) AS s "
+        f"{join.format('ridge')} GROUP BY ALL)"
+    ]
+    for k in range(1, rounds + 1):
+        parts += [
+            f"miss{k} AS MATERIALIZED (SELECT d.*, m.n_rows, {resid} AS e, {epsilon} * m.s AS lim "
+            f"{join.format(f'fit{k - 1}')})",
+            f"scale{k} AS MATERIALIZED (SELECT target_id, sqrt(sum(e * e) FILTER (e <= lim) / "
+            f"(count(*) - count(*) FILTER (e > lim) * {epsilon * epsilon})) AS s FROM miss{k} GROUP BY 1)",
+            f"sum{k} AS MATERIALIZED (SELECT target_id, n_rows, s, {', '.join(sums)} FROM (SELECT t.*, c.s, "
+            f"least(1.0, {epsilon} * c.s / greatest(e, 1e-300)) / c.s AS w FROM miss{k} t "
+            f"JOIN scale{k} c ON t.target_id = c.target_id) GROUP BY 1, 2, 3)",
+            f"fit{k} AS MATERIALIZED (SELECT target_id, n_rows, (sy - w1 * s1 - w2 * s2 - w3 * s3) / sw AS c, "
+            f"w1, w2, w3, s FROM (SELECT *, {solved} FROM (SELECT *, {', '.join(system)} FROM sum{k})))",
+        ]
+    return parts
+
+
+ORACLES["mod_huber"] = _with(["frame", "design"], _weights("fit40", 2), _ridge(), *_huber(40))
 ORACLES["mod_residuals"] = _with(
     ["frame", "design"],
     f"SELECT d.target_id, CAST(d.data AS VARCHAR) AS data, {_r(f'd.y - {_FITTED}', 'resid', 4)} "
