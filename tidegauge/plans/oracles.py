@@ -890,3 +890,13 @@ ORACLES["serve_fantable"] = _with(
     "WHERE ic_inferior IS NOT NULL AND ic_superior IS NOT NULL",
     _FAN,
 )
+
+_YOY, _NEXT, _LAST = (ORACLES[n] for n in ("serve_yoy", "serve_next_mom", "serve_last"))
+ORACLES["serve_cards"] = (
+    f"SELECT variavel, tipo, 'Previsão ' || ano AS titulo, CAST(valor_yoy AS VARCHAR) || '%' AS texto, "
+    f"'YoY' AS medida FROM ({_YOY}) UNION ALL "
+    f"SELECT variavel, tipo, 'Previsão ' || strftime(CAST(data AS DATE), '%m/%Y'), "
+    f"CAST(valor AS VARCHAR) || '%', 'MoM' FROM ({_NEXT}) UNION ALL "
+    f"SELECT variavel, 'Histórico', 'Realizado ' || strftime(CAST(data AS DATE), '%m/%Y'), "
+    f"CAST(valor AS VARCHAR) || '%', 'MoM' FROM ({_LAST})"
+)

@@ -839,6 +839,11 @@ def serve_fantable(spark, sf_dir):
     return serving.fan_table(_served(spark, sf_dir))
 
 
+@query
+def serve_cards(spark, sf_dir):
+    return serving.cards(_served(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest yearly compound of monthly log growth, per series."""
     growth = transforms.transform(shapes.monthly_orders(spark, sf_dir), "5")

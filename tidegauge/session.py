@@ -34,13 +34,15 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` wins. Only where the cluster names none (a local test) is a
-    temporary folder made and recorded as the session's own.
+    ``spark.checkpoint.dir`` wins. Only a local session without one gets a temporary folder,
+    recorded as its own; a cluster must name a folder all its machines share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tidegauge-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
