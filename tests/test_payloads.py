@@ -40,6 +40,12 @@ def test_json_array_over_many_lines(spark, tmp_path):
     assert rows(payloads.read_json_array(spark, str(tmp_path), multiline=True)) == [("a", d(2000, 1, 3), 1.5)]
 
 
+def test_broken_json_is_an_error(spark, tmp_path):
+    land(tmp_path, "a", "1.json", '[{"data":"03/01/2000","valor":"1.5"')
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILED_READ_FILE"):
+        payloads.read_json_array(spark, str(tmp_path)).collect()
+
+
 def test_json_sentinel(spark, tmp_path):
     land(
         tmp_path,

@@ -5,7 +5,8 @@ of files, so one scan covers every series and the id comes from the path. Schema
 given, never inferred. Text numbers go through ``try_cast``: the optimiser may move a cast
 ahead of the filter that drops a sentinel.
 
-JSON files carry one document per line unless ``multiline`` is set.
+JSON files carry one document per line unless ``multiline`` is set. A document that cannot be
+parsed fails the job: a null row would pass for a missing value.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _long(df: DataFrame, data, value) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """``[{"data": "dd/mm/yyyy", "valor": "1.5"}, ...]``, many files per series."""
     raw = spark.read.schema("data STRING, valor STRING, series_id STRING").json(
-        path, multiLine=multiline
+        path, multiLine=multiline, mode="FAILFAST"
     )
     return _long(raw, parse_date(F.col("data"), "dd/MM/yyyy"), to_double(F.col("valor")))
 
@@ -42,7 +43,7 @@ def read_json_array(spark: SparkSession, path: str, multiline: bool = False) ->
 def read_json_sentinel(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Records with a ``yyyyMM`` code and a text value; header and missing rows dropped."""
     raw = spark.read.schema("D3C STRING, V STRING, series_id STRING").json(
-        path, multiLine=multiline
+        path, multiLine=multiline, mode="FAILFAST"
     )
     # NOT IN keeps a null value, as the source system's own filter does
     kept = raw.filter(F.coalesce(~F.col("V").isin(*SENTINELS), F.lit(True)))
