@@ -137,6 +137,22 @@ def test_power_search_finds_the_best_exponent(spark):
         assert (r.mu, r.sd) == (pytest.approx(t.mean()), pytest.approx(t.std()))
 
 
+def test_power_search_beyond_the_first_grid_and_without_variance():
+    rng = np.random.default_rng(4)
+    far, near = 30 - rng.gamma(1.2, 1.0, 150), 2 + rng.gamma(1.0, 0.25, 150)
+    rows = np.vstack([far, near, np.full(150, 3.0)])
+    got = power.search_exponents(rows, np.ones(rows.shape, bool), 4)
+    for v, (lam, _, _) in zip((far, near), got):
+        fine = np.arange(lam - 0.05, lam + 0.05, 0.0005)
+        assert abs(fine[np.argmax([loglik(v, x) for x in fine])] - lam) <= 0.001
+        wide = np.arange(-30, 30, 0.5)
+        with np.errstate(divide="ignore"):
+            score = np.array([loglik(v, x) for x in wide])
+        assert abs(wide[np.argmax(np.where(np.isfinite(score), score, -np.inf))] - lam) <= 0.5
+    assert got[0, 0] > 5.5 and got[1, 0] < -5.5
+    assert got[2].tolist() == [1.0, 3.0, 1.0]
+
+
 @pytest.mark.parametrize("lam", [-1.5, 0.0, 0.5, 1.0, 2.0, 3.5])
 def test_power_round_trip(spark, lam):
     df = spark.range(-50, 51).select((F.col("id") / 10).alias("v"))

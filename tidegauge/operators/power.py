@@ -19,8 +19,9 @@ from tidegauge.functions.power import yeo_johnson, yeo_johnson_inverse
 from tidegauge.operators.spread import spread
 from tidegauge.operators.stack import stacked
 
-# Search plan: half-width of the first grid around 0, points each side, rounds. Every round
-# is POINTS times finer and centred on the best exponent so far.
+# Search plan: half-width of the first grid around 0, points each side, rounds. The first grid
+# moves on while its best exponent is on an edge; every further round is POINTS times finer
+# and centred on the best exponent so far.
 FIRST_HALF_WIDTH = 5.0
 POINTS = 10
 ROUNDS = 4
@@ -46,19 +47,33 @@ def search_exponents(v: np.ndarray, present: np.ndarray, rounds: int) -> np.ndar
     """Best exponent of each key, with the mean and deviation of its transformed values."""
     n = present.sum(axis=1)[:, None]
     jacobian = (np.sign(v) * np.log1p(np.abs(v)) * present).sum(axis=1)[:, None]
-    best, step = np.zeros((len(v), 1)), FIRST_HALF_WIDTH / POINTS
+    step = FIRST_HALF_WIDTH / POINTS
+    # a constant series has no likelihood: it keeps the identity and is only centred
+    low, high = np.where(present, v, np.inf).min(axis=1), np.where(present, v, -np.inf).max(axis=1)
+    known = low < high
+    best = np.where(known, 0.0, 1.0)[:, None]
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        for _ in range(rounds):
-            grid = best + step * np.arange(-POINTS, POINTS + 1)
-            score = -n / 2 * np.log(_moments(v, present, grid)[1]) + (grid - 1) * jacobian
-            # no variance or overflow: not a candidate
-            score = np.where(np.isfinite(score), score, -np.inf)
-            best = np.take_along_axis(grid, score.argmax(axis=1)[:, None], axis=1)
+        for turn in range(rounds):
+            todo = np.flatnonzero(known)
+            while len(todo):
+                grid = best[todo] + step * np.arange(-POINTS, POINTS + 1)
+                var = _moments(v[todo], present[todo], grid)[1]
+                score = -n[todo] / 2 * np.log(var) + (grid - 1) * jacobian[todo]
+                # no variance or overflow: not a candidate
+                score = np.where(np.isfinite(score), score, -np.inf)
+                pick = score.argmax(axis=1)
+                valid = score.max(axis=1) > -np.inf
+                known[todo] = valid
+                best[todo] = np.where(
+                    valid[:, None], np.take_along_axis(grid, pick[:, None], axis=1), 1.0
+                )
+                # the first grid follows a best exponent that lies on its edge
+                edge = valid & ((pick == 0) | (pick == 2 * POINTS))
+                todo = todo[edge] if turn == 0 else todo[:0]
             step /= POINTS
         mean, var = _moments(v, present, best)
         sd = np.sqrt(var)
-    # a constant series is only centred
-    return np.hstack([best, mean, np.where(sd > 0, sd, 1.0)])
+    return np.hstack([best, mean, np.where(known[:, None] & (sd > 0), sd, 1.0)])
 
 
 def _search_udf(rounds: int):
