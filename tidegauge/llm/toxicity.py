@@ -5,10 +5,10 @@ the categories before it. In training those are out-of-fold predictions: the mod
 gives them has not seen the row, so later models learn from probabilities as unsure as the
 ones they meet when scoring.
 
-Features are the presence of words and of their first four and five letters. The models are
-fitted on at most ``SAMPLE`` labelled documents of each toxic label, chosen by the hash of
-their id, and on the ``FEATURES`` terms that tell the categories apart best; the scoring
-reads every whole text.
+Features are the presence of words and of their first letters. The models are fitted on at
+most ``SAMPLE`` labelled documents of each toxic label, chosen by the hash of their id, and
+on the ``FEATURES`` terms that point to a category most clearly; the scoring reads every
+whole text.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ CATEGORIES = (
 SAMPLE = 8000  # labelled documents of each toxic label
 FEATURES = 1024
 FOLDS = 5
-RIDGE = 1.0
+RIDGE = 0.05
 STEPS = 60
 REJECT = 0.5
+LEADING = (3, 4, 5, 6)  # letters: words are often built on one stem
 STRIP = ".,;:!?\"'()[]{}<>*#%$&|@+-=_/\\~^`"
 
 
@@ -44,7 +45,7 @@ def terms_of(word: str) -> tuple[str, ...]:
     word = word.strip(STRIP)
     if len(word) < 3:
         return ()
-    return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) >= n))
+    return (word, *(f"{word[:n]}*" for n in LEADING if len(word) >= n))
 
 
 def term_hashes(text: str) -> np.ndarray:
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     for c in names:
         share = (totals[c] or 0) / n
         spread = F.sqrt(F.col("n") * share * (1 - share) + 1e-9)
-        scores.append(F.abs(F.col(c) - F.col("n") * share) / spread)
+        scores.append((F.col(c) - F.col("n") * share) / spread)
     best = counted.select("h", F.greatest(*scores, F.lit(0.0)).alias("z")).orderBy(F.desc("z"), "h").limit(features)
     hashes = np.sort(np.array([r["h"] for r in best.collect()], np.int64))
     chosen = F.broadcast(best.select("h"))  # at most `features` rows
