@@ -32,8 +32,8 @@ from tidegauge.session import settle
 WIDTH = 100
 GRAM = 32
 REACH = WIDTH - GRAM  # bytes a string can lie before or after the anchor
-SHARD_BYTES = 4_000_000  # text of one suffix array
-HOT = 20_000  # contexts of one anchor that a shard takes
+SHARD_BYTES = 1_000_000  # text of one suffix array
+HOT = 6_000  # contexts of one anchor that a shard takes
 LOG2_BITS = 24
 
 TABLE = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, 256, np.uint64)
@@ -119,32 +119,33 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     """
 
     def scan(frames):
-        for frame in frames:
-            texts = [t.encode() for t in frame["text"]]
-            parts = []
-            for lo, hi in chunks(texts, 1_000_000):
-                h, owner, start, length, c = anchors(texts[lo:hi])
-                if h.size:
-                    parts.append((h, owner + lo, start, length, c))
-            if not parts:
-                continue
-            h, owner, start, length, c = (np.concatenate(x) for x in zip(*parts))
-            _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            known = count[inverse] > 1
-            goes = np.zeros(len(h), bool)
-            goes[first] = True
-            yield pd.DataFrame(
-                {
-                    "h": h.view(np.int64),
-                    "c": c.view(np.int64),
-                    "doc_id": frame["doc_id"].astype("Int64").take(owner).array,
-                    "text_key": frame["text_key"].to_numpy(np.int64)[owner],
-                    "start": start.astype(np.int32),
-                    "length": length.astype(np.int32),
-                    "known": known,
-                    "deal": np.where(goes, h, _mix(h + np.arange(len(h), dtype=np.uint64))).view(np.int64),
-                }
-            )
+        for whole in frames:
+            for first, last in chunks(whole["text"].tolist(), 8_000_000):
+                frame = whole.iloc[first:last]
+                texts = [t.encode() for t in frame["text"]]
+                parts = []
+                for lo, hi in chunks(texts, 1_000_000):
+                    h, owner, start, length, c = anchors(texts[lo:hi])
+                    if h.size:
+                        parts.append((h, owner + lo, start, length, c))
+                if not parts:
+                    continue
+                h, owner, start, length, c = (np.concatenate(x) for x in zip(*parts))
+                _, one, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                goes = np.zeros(len(h), bool)
+                goes[one] = True
+                yield pd.DataFrame(
+                    {
+                        "h": h.view(np.int64),
+                        "c": c.view(np.int64),
+                        "doc_id": frame["doc_id"].astype("Int64").take(owner).array,
+                        "text_key": frame["text_key"].to_numpy(np.int64)[owner],
+                        "start": start.astype(np.int32),
+                        "length": length.astype(np.int32),
+                        "known": count[inverse] > 1,
+                        "deal": np.where(goes, h, _mix(h + np.arange(len(h), dtype=np.uint64))).view(np.int64),
+                    }
+                )
 
     def keep(frames):
         """Rows sorted by ``deal``, then hash: a row stays if it is known or has a neighbour."""
@@ -479,7 +480,7 @@ def _hot_ranges(contexts: DataFrame) -> DataFrame:
                 out["text_key"] = key
                 yield out[["doc_id", "text_key", "start", "w"]]
 
-    each = contexts.mapInPandas(strings, "doc_id long, text_key long, start int, w binary").distinct()
+    each = settle(contexts.mapInPandas(strings, "doc_id long, text_key long, start int, w binary").distinct(), "strings")
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text_key", "start")
     first = each.groupBy("w").agg(F.min(place).alias("first"))
     return (
