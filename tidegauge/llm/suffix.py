@@ -3,8 +3,8 @@
 Every byte covered by a ``WIDTH``-byte string that also starts earlier goes. Two places can
 share such a string only if they share an anchor: the smallest hash of ``GRAM`` bytes in the
 string. Anchors are a few per cent of all places; those that occur once are dropped after
-one exchange, and the rest bring their context, the bytes that any string around the anchor
-can cover. Contexts equal to an earlier one are repeats as a whole. Of the different
+one exchange, and the rest bring their context, the bytes that the strings with this anchor
+cover. Contexts equal to an earlier one are repeats as a whole. Of the different
 contexts around one anchor, shards of suffix arrays find what they share:
 
 - suffixes are classed as S or L, leftmost S (LMS) substrings are sorted by induction and
@@ -31,15 +31,14 @@ from tidegauge.session import settle
 
 WIDTH = 100
 GRAM = 32
-REACH = WIDTH - GRAM  # bytes a string can lie before or after the anchor
-SHARD_BYTES = 1_000_000  # text of one suffix array
+REACH = WIDTH - GRAM  # places an anchor can have in a string, less one
+SHARD_BYTES = 2_000_000  # text of one suffix array
 HOT = 6_000  # contexts of one anchor that a shard takes
 LOG2_BITS = 24
 
 TABLE = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, 256, np.uint64)
 BASE = 0x9E3779B97F4A7C15
 POWER = {n: np.uint64(pow(BASE, n, 1 << 64)) for n in (1, 2, 4, 8, 16)}
-TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mix(x):
@@ -69,10 +68,12 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]):
-    """Anchors of several texts: hash, text number, context start and length, context hash.
+    """Contexts of several texts: anchor's hash, text number, start, length, context hash.
 
-    A gram is an anchor if it is the smallest of the grams of some ``WIDTH`` bytes of its
-    text; equal grams tie, and all of them are anchors.
+    The anchor of ``WIDTH`` bytes is the smallest of their grams. Strings that start one
+    after the other and have the same smallest gram make one context, so each string lies in
+    one context. Where that gram comes again within reach, as in periodic text, its last
+    place in the string counts, so that no context repeats a string of its own.
     """
     flat = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
@@ -81,31 +82,47 @@ def anchors(texts: list[bytes]):
     if len(flat) < WIDTH:
         return none.view(np.uint64), none, none, none, none.view(np.uint64)
     raw = gram_hashes(flat)
-    n = len(raw)
-    owner_end = np.repeat(ends, sizes)
-    place = np.arange(len(flat))
     h = _mix(raw)
-    h[place[:n] + GRAM > owner_end[:n]] = TOP
     least = _slide(h, REACH + 1, np.minimum)
-    m = len(least)
-    least[place[:m] + WIDTH > owner_end[:m]] = 0
-    padded = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(n - m, np.uint64)])
-    most = _slide(padded, REACH + 1, np.maximum)
-    at = np.flatnonzero((h == most[:n]) & (h != TOP))
-    owner = np.searchsorted(ends, at, side="right")
-    begin = ends - sizes
-    start = np.maximum(begin[owner], at - REACH)
-    length = np.minimum(ends[owner], at + WIDTH) - start
-    context = np.zeros(len(at), np.uint64)
-    full = length == WIDTH + REACH
-    s = start[full]
-    for i, step in enumerate((0, 32, 64, 96, 128, WIDTH + REACH - GRAM)):
-        context[full] += raw[s + step] * np.uint64(pow(BASE, 3 * i + 5, 1 << 64))
-    context = _mix(context)
-    view = memoryview(flat)
-    for i in np.flatnonzero(~full):
-        context[i] = xxhash.xxh64_intdigest(view[start[i] : start[i] + length[i]], int(length[i]))
-    return h[at], owner, start - begin[owner], length, context
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
+    inside = np.arange(len(least)) + WIDTH <= ends[owner]
+    first = np.ones(len(least), bool)
+    first[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    first |= _next_twin(h, least)
+    cut = np.flatnonzero(first | ~inside)
+    run = np.diff(np.append(cut, len(least)))
+    cut, run = cut[inside[cut]], run[inside[cut]]
+    length = run + WIDTH - 1
+    context = length.astype(np.uint64)
+    last = cut + length - GRAM
+    for i in range(-(-(WIDTH + REACH) // GRAM)):
+        context += raw[np.minimum(cut + GRAM * i, last)] * np.uint64(pow(BASE, 3 * i + 5, 1 << 64))
+    return least[cut], owner[cut], cut - (ends - sizes)[owner[cut]], length, _mix(context)
+
+
+def _next_twin(h: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Strings whose smallest gram is the same as before but has its last place further on."""
+    rest = np.zeros(REACH, np.uint64)
+    most = _slide(np.concatenate([rest, least, rest]), REACH + 1, np.maximum)
+    at = np.flatnonzero(h == most)  # all smallest grams
+    out = np.zeros(len(least), bool)
+    touched = np.zeros(len(h) + 1, np.int32)
+    for k in range(1, len(at)):
+        near = at[k:] - at[:-k] <= REACH + 1
+        if not near.any():
+            break
+        place = at[np.flatnonzero(near & (h[at[k:]] == h[at[:-k]])) + k]
+        np.add.at(touched, np.maximum(place - REACH, 0), 1)
+        np.add.at(touched, place + 1, -1)
+    strings = np.flatnonzero(np.cumsum(touched)[: len(least)] > 0)
+    if strings.size:
+        where = np.searchsorted(at, strings + REACH, side="right") - 1
+        while (other := h[at[where]] != least[strings]).any():
+            where[other] -= 1
+        new = np.ones(len(strings), bool)
+        new[1:] = (where[1:] != where[:-1]) | (strings[1:] != strings[:-1] + 1)
+        out[strings] = new
+    return out
 
 
 PLACES = "h long, c long, doc_id long, text_key long, start int, length int"
@@ -173,7 +190,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S); the sentinel is S."""
-    step = np.sign(np.diff(t))
+    step = np.sign(np.diff(t.astype(np.int32)))
     after = np.where(step != 0, np.arange(len(step)), len(step))
     after = np.minimum.accumulate(after[::-1])[::-1]
     s = np.ones(len(t), bool)
@@ -184,11 +201,14 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _deal(items: np.ndarray, keys: np.ndarray):
     """Items by key, in their order: pairs of a key and its items."""
-    order = np.argsort(keys, kind="stable")
+    if len(keys) == 1:
+        yield int(keys[0]), items
+        return
+    order = np.argsort(keys, kind="stable")  # 16-bit symbols are sorted by radix
     items, keys = items[order], keys[order]
-    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    for part, key in zip(np.split(items, cuts), keys[np.r_[0, cuts]].tolist()):
-        yield key, part
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(keys[a]), items[a:b]
 
 
 def induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -219,7 +239,7 @@ def induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
             push(ups, seeds[c], False)
     downs: list[list[np.ndarray]] = [[] for _ in range(size)]
     heads = [np.concatenate(u) if u else lms[:0] for u in ups]
-    downs[int(t[-1])].append(np.array([len(t) - 1]))
+    downs[int(t[-1])].append(np.array([len(t) - 1], np.int32))
     for c in range(size - 1, -1, -1):
         i = 0
         while i < len(downs[c]):
@@ -250,12 +270,12 @@ def _rank(names: np.ndarray, depth: int) -> np.ndarray:
 def suffix_array(t: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     """Suffixes ordered by their first ``depth`` symbols at least.
 
-    ``t`` holds non-negative numbers and ends with its only 0. Induced sorting: LMS
+    ``t`` holds small non-negative numbers and ends with its only 0. Induced sorting: LMS
     substrings are sorted by induction and named, names are ranked, and the array is induced
     from the LMS suffixes in order.
     """
     s = _types(t)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
     if not lms.size:
         return induce(t, s, lms)
     first = induce(t, s, lms)
@@ -263,7 +283,7 @@ def suffix_array(t: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     is_lms[lms] = True
     ordered = first[is_lms[first]]
     # equal LMS substrings get one name: compare each with the one before it, symbol by symbol
-    nxt = np.full(len(t), len(t) - 1)
+    nxt = np.full(len(t), len(t) - 1, np.int32)
     nxt[lms[:-1]] = lms[1:]
     span = nxt[ordered] - ordered + 1
     new = np.ones(len(ordered), bool)
@@ -280,26 +300,35 @@ def suffix_array(t: np.ndarray, depth: int = WIDTH) -> np.ndarray:
         offset += 1
     name = np.empty(len(t), np.int64)
     name[ordered] = np.cumsum(new) - 1
-    sorted_lms = lms[_rank(name[lms], depth)]  # a name covers one symbol at least
+    sorted_lms = lms[_rank(name[lms], depth // 2 + 1)]  # a name moves on by two symbols at least
     return induce(t, s, sorted_lms)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int = WIDTH) -> np.ndarray:
-    """For each place, symbols its suffix shares with the one before it in order, up to ``most``.
+def common_prefixes(data: np.ndarray, left: np.ndarray, order: np.ndarray, most: int = WIDTH) -> np.ndarray:
+    """For each place, bytes its suffix shares with the one before it in ``order``, up to ``most``.
 
-    Symbol 1 separates texts and equals nothing.
+    The permuted table: it is indexed by place, not by rank. ``left`` is how many bytes
+    remain to each place's text; eight bytes are compared at a time.
     """
-    shared = np.zeros(len(t), np.int64)
-    at, before = sa[1:], sa[:-1]
-    for step in range(most):
-        inside = (at + step < len(t)) & (before + step < len(t))
-        at, before = at[inside], before[inside]
-        a = t[at + step]
-        equal = (a == t[before + step]) & (a > 1)
-        at, before = at[equal], before[equal]
-        if not at.size:
-            break
-        shared[at] += 1
+    shared = np.zeros(len(data), np.int64)
+    if len(order) < 2:
+        return shared
+    padded = np.concatenate([data.astype(np.uint8), np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view("<u8")[:, 0]
+    at, before = order[1:], order[:-1]
+    limit = np.minimum(np.minimum(left[at], left[before]), most)
+    going = np.flatnonzero(limit > 0)
+    count = np.zeros(len(at), np.int64)
+    done = 0
+    while going.size:
+        a, b = at[going] + done, before[going] + done
+        differ = words[a] ^ words[b]
+        lowest = differ & (~differ + np.uint64(1))
+        equal = np.where(differ == 0, 8, np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) // 8)
+        count[going] += equal
+        done += 8
+        going = going[(differ == 0) & (limit[going] > done)]
+    shared[at] = np.minimum(count, limit)
     return shared
 
 
@@ -311,25 +340,24 @@ def shard_repeats(contexts: list[bytes], places: np.ndarray) -> np.ndarray:
     """
     lengths = np.array([len(c) for c in contexts])
     begin = np.cumsum(lengths + 1) - lengths - 1
-    t = np.ones(int(lengths.sum()) + len(contexts) + 1, np.int64)
+    raw = np.frombuffer(b"\0".join(contexts) + b"\0\0", np.uint8)
+    t = raw.astype(np.uint16) + np.uint16(2)
+    t[begin + lengths] = 1  # between texts
     t[-1] = 0
-    flat = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 2
-    owner = np.repeat(np.arange(len(contexts)), lengths)
-    inner = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    t[begin[owner] + inner] = flat
+    owner = np.repeat(np.arange(len(contexts)), lengths + 1)
+    inner = np.arange(len(owner)) - begin[owner]
+    left = np.append(lengths[owner] - inner, 0)
     sa = suffix_array(t)
-    shared = common_prefixes(t, sa)
-    joined = shared[sa] >= WIDTH
-    where = np.full(len(t), -1)
-    where[begin[owner] + inner] = places[owner] + inner
+    sa = sa[left[sa] >= WIDTH]  # places where a whole string starts
+    if not sa.size:
+        return np.zeros((0, 2), np.int64)
+    joined = common_prefixes(raw, left, sa)[sa] >= WIDTH
+    joined[0] = False
+    where = places[owner[sa]] + inner[sa]
     start = np.flatnonzero(~joined)
-    lowest = np.minimum.reduceat(np.where(where[sa] < 0, np.iinfo(np.int64).max, where[sa]), start)
-    run = np.cumsum(~joined) - 1
-    many = np.zeros(len(start), bool)
-    many[run[joined]] = True
-    repeat = sa[many[run] & (where[sa] > lowest[run])]
-    home = np.searchsorted(begin, repeat, side="right") - 1
-    return np.stack([home, repeat - begin[home]], axis=1)
+    lowest = np.minimum.reduceat(where, start)
+    repeat = sa[where > lowest[np.cumsum(~joined) - 1]]
+    return np.stack([owner[repeat], inner[repeat]], axis=1)
 
 
 def _merge(spans) -> list[tuple[int, int]]:
