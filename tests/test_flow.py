@@ -160,8 +160,7 @@ def test_monthly_table(spark, landed, stored):
     want = data["ipca"]
     for part in (data["ic_br"], means, first, pd.concat([target, tail]), ahead, rates, data["pim"], last, data["caged"], fred):
         want = want.join(part, how="outer")
-    got = wide(spark, f"{stored[0]}/monthly").dropna(how="all")
-    want = want.dropna(how="all")
+    got = wide(spark, f"{stored[0]}/monthly")
     assert "expec_pib" not in got.columns
     pd.testing.assert_frame_equal(got, want[list(got.columns)], check_freq=False, check_names=False, check_index_type=False)
 
@@ -229,3 +228,29 @@ def test_board(spark, published):
     assert made["fan_table"].count() == 24
     assert made["tracking"].filter("`Observado` IS NOT NULL").count() == 0
     assert made["fan_chart"].filter("modelo = 'Ridge'").count() == 126 + 12
+
+
+def test_a_short_survey_leaves_the_old_forecast(spark, landed, stored, published):
+    out, catalog = stored
+    monthly = spark.read.parquet(f"{out}/long").filter("freq = 'M'")
+    folder = f"{landed[0]}/bcb_odata/series_id=expec_ipca_top5_curto_prazo"
+    level = payloads.read_survey(spark, folder, since="2014-06-01").drop("series_id")
+    before = sorted(spark.read.parquet(f"{out}/forecast").toPandas()["valor"])
+    sparse = monthly.filter("series_id <> 'ic_br' or data >= '2013-06-01'")
+    for rows, survey in ((monthly, level.filter("ref_date < '2014-11-01'")), (sparse, level)):
+        with pytest.raises(Exception):
+            outlook.run(spark, rows, catalog, survey, survey, out)
+        assert sorted(spark.read.parquet(f"{out}/forecast").toPandas()["valor"]) == before
+
+
+def test_overlapping_files_leave_the_old_tables(spark, landed, stored, tmp_path):
+    import shutil
+
+    root = str(tmp_path / "landing")
+    shutil.copytree(landed[0], root)
+    copy = next(p for p in (tmp_path / "landing").rglob("series_id=selic/*.json"))
+    (copy.parent / "again.json").write_text(copy.read_text())
+    out = str(tmp_path / "out")
+    with pytest.raises(ValueError, match="duplicate key"):
+        etl.run(spark, root, stored[1], out)
+    assert not os.path.exists(f"{out}/long")

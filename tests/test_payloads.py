@@ -156,3 +156,19 @@ def test_backfill_windows(spark):
         ("b", d(2005, 1, 1), d(2009, 12, 31)),
         ("b", d(2010, 1, 1), d(2014, 12, 31)),
     ]
+
+
+@pytest.mark.parametrize(
+    "reader, text",
+    [
+        (payloads.read_json_nested, '{"value": [{"VALDATA": "2020-01-01T00:00:00-03:00", "VALV'),
+        (payloads.read_json_nested, '{"value": [{"VALDATA": "2020-01-01T00:00:00-03:00", "VALVALOR": "abc"}]}'),
+        (payloads.read_json_sentinel, '[{"D3C": "202013", "V": "1.5"}]'),
+        (payloads.read_json_sentinel, '[{"D3C": "202001", "V": "abc"}]'),
+        (payloads.read_csv_wide, "observation_date,CODE\n2020-01-01,abc\n"),
+    ],
+)
+def test_what_cannot_be_read_is_an_error(spark, tmp_path, reader, text):
+    land(tmp_path, "a", "0.json", text)
+    with pytest.raises(Exception, match="(?i)malformed|not a number|CANNOT_PARSE|parse"):
+        reader(spark, str(tmp_path)).collect()

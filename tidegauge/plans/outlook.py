@@ -99,6 +99,9 @@ def published_inputs(
     bounds = panel.target_bounds(y, [])
     wanted = on_grid.filter(F.col("series_id").isin(*REGRESSORS))
     x = settle(panel.prepare_regressors(wanted, catalog, bounds), "regressors")
+    kept = {r["series_id"] for r in x.select("series_id").distinct().collect()}  # at most four
+    if lost := [name for name in REGRESSORS if name not in kept]:
+        raise ValueError(f"regressors missing or too sparse: {lost}")
     named = union_all(y.withColumn("series_id", F.lit("y")), x).withColumn(
         "target_id", F.lit(TARGET_LABEL)
     )
@@ -124,6 +127,26 @@ def published_inputs(
     return frame, made.join(period, [*key, "data"])
 
 
+def require_scenario(scenario: DataFrame, h: int = forecast.HORIZON) -> DataFrame:
+    """The scenario unchanged, or an error that names the paths with months missing."""
+    found = scenario.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in REGRESSORS]).head()
+    short = [c for c in REGRESSORS if found[c] < h]
+    if found["rows"] != h or short:
+        raise ValueError(f"scenario has {found['rows']} of {h} months; incomplete paths: {short}")
+    return scenario
+
+
+def require_complete(rows: DataFrame, models: int, h: int = forecast.HORIZON) -> DataFrame:
+    """The forecast unchanged, or an error: ``h`` rows a model, no null value or bound."""
+    values = ["valor", "ic_inferior", "ic_superior"]
+    whole = F.count(F.when(F.forall(F.array(*values), lambda v: v.isNotNull()), 1))
+    groups = rows.groupBy("variavel", "tipo").agg(whole.alias("whole"), F.count(F.lit(1)).alias("n"))
+    found = groups.agg(F.count(F.lit(1)).alias("models"), F.count_if((F.col("whole") != h) | (F.col("n") != h)).alias("bad")).head()
+    if found["models"] != models or found["bad"]:
+        raise ValueError(f"forecast incomplete: {found['models']} of {models} models, {found['bad']} with gaps")
+    return rows
+
+
 def run(
     spark: SparkSession,
     monthly: DataFrame,
@@ -133,13 +156,18 @@ def run(
     out: str,
     run_at: datetime | None = None,
 ) -> None:
-    """Forecast, replace the current forecast and append to the log."""
+    """Forecast, replace the current forecast and append to the log.
+
+    Raises before anything is written when a regressor, a path or a forecast is incomplete.
+    """
     frame, scenario = published_inputs(monthly, catalog, survey_level, survey_change)
+    scenario = require_scenario(settle(scenario, "scenario"))
     made = fit_and_forecast(frame, scenario, ["target_id"], REGRESSORS)
     # one stamp for the whole run
     stamp = F.lit(run_at or datetime.now()).cast("timestamp")
     rows = settle(
         forecast.forecast_table(made, F.col("target_id"), F.col("tipo"), stamp), "forecast"
     )
+    require_complete(rows, len(MODELS))
     sinks.write_forecast(rows, f"{out}/forecast")
     sinks.append_tracking(rows, f"{out}/tracking")

@@ -22,7 +22,7 @@ from tidegauge.functions.power import yeo_johnson, yeo_johnson_inverse
 from tidegauge.operators import align, expectations, forecast, grid, models, panel, power
 from tidegauge.operators import relational as rel
 from tidegauge.operators import scenarios, serving, transforms
-from tidegauge.plans import landing, shapes
+from tidegauge.plans import landing, outlook, shapes
 from tidegauge.schema import CATALOG_HEADER
 from tidegauge.session import new_dir, settle
 from tidegauge.sources import payloads, sinks, tables
@@ -787,6 +787,14 @@ def fc_table(spark, sf_dir):
     return rounded(rows.withColumn("previsao", F.date_format("previsao", "yyyy-MM-dd HH:mm:ss")), 2)
 
 
+@query
+def fc_published(spark, sf_dir):
+    """The published chain for every supplier: searched exponents, 16 features, both models, 5,000 paths."""
+    frame = settle(shapes.supplier_frame(spark, sf_dir), "frame")
+    scenario = outlook.seasonal_scenario(frame, TARGET, shapes.EXOG)
+    return rounded(outlook.fit_and_forecast(frame, scenario, TARGET, shapes.EXOG), 4)
+
+
 # serving --------------------------------------------------------------------------------
 
 

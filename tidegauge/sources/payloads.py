@@ -1,12 +1,13 @@
 """Raw payload files to long rows.
 
 A payload folder holds one sub-folder ``series_id=<id>`` per series, each with any number
-of files, so one scan covers every series and the id comes from the path. Schemas are
-given, never inferred. Text numbers go through ``try_cast``: the optimiser may move a cast
-ahead of the filter that drops a sentinel.
+of files, so one scan covers every series and the id comes from the path. JSON and FRED files have
+given schemas; survey files take their column names from the header, all as text.
 
-JSON files carry one document per line unless ``multiline`` is set. A document that cannot be
-parsed fails the job: a null row would pass for a missing value.
+JSON files carry one document per line unless ``multiline`` is set. A document, date or
+number that cannot be parsed fails the job: a null would pass for a missing value. Empty
+text and listed sentinels are NULL. Only ``read_json_array`` takes any text for a value: its
+source system does not convert it, so what is no number is NULL there.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from tidegauge.functions import (
     decimal_comma,
     parse_date,
     parse_quarter,
+    strict_double,
     to_double,
     utc_date,
 )
@@ -47,16 +49,18 @@ def read_json_sentinel(spark: SparkSession, path: str, multiline: bool = False)
     )
     # NOT IN keeps a null value, as the source system's own filter does
     kept = raw.filter(F.coalesce(~F.col("V").isin(*SENTINELS), F.lit(True)))
-    return _long(kept, F.try_to_date("D3C", "yyyyMM"), to_double(F.col("V")))
+    # the header row's code is no date, and the optimiser may read dates before it filters
+    day = F.when(~F.coalesce(F.col("V").isin(*SENTINELS), F.lit(False)), F.to_date("D3C", "yyyyMM"))
+    return _long(kept, day, strict_double(F.col("V"), SENTINELS))
 
 
 def read_json_nested(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """``{"value": [{"VALDATA": <offset timestamp>, "VALVALOR": 1.5}, ...]}``."""
     raw = spark.read.schema(
         "value ARRAY<STRUCT<VALDATA: STRING, VALVALOR: STRING>>, series_id STRING"
-    ).json(path, multiLine=multiline)
+    ).json(path, multiLine=multiline, mode="FAILFAST")
     rows = raw.select("series_id", F.inline("value"))
-    return _long(rows, utc_date(F.col("VALDATA")), to_double(F.col("VALVALOR")))
+    return _long(rows, utc_date(F.col("VALDATA")), strict_double(F.col("VALVALOR")))
 
 
 def read_csv_wide(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +68,7 @@ def read_csv_wide(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("observation_date STRING, reading STRING, series_id STRING").csv(
         path, header=True
     )
-    return _long(raw, F.to_date("observation_date"), to_double(F.col("reading")))
+    return _long(raw, F.to_date("observation_date"), strict_double(F.col("reading"), (".",)))
 
 
 def read_decimal_comma(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
