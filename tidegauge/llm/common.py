@@ -95,3 +95,18 @@ def bits_of(hashes: DataFrame, column: str, log2_bits: int) -> bytes:
     bitmap = np.zeros(1 << (log2_bits - 6), np.uint64)
     bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     return bitmap.tobytes()
+
+
+def may_be_in(key: Column, bitmap: bytes, log2_bits: int) -> Column:
+    """Whether the 64-bit key's bit is set in a bitmap made by ``bits_of``."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        bits = np.frombuffer(bitmap, np.uint64)
+        at = keys.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - log2_bits)
+        got = bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+        return pd.Series(got.astype(bool))
+
+    return may(key)

@@ -18,15 +18,13 @@ An anchor with more contexts than a shard holds is resolved by grouping its stri
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bits_of, chunks, keyed
+from tidegauge.llm.common import bits_of, chunks, keyed, may_be_in
 from tidegauge.session import settle
 
 WIDTH = 100
@@ -431,15 +429,7 @@ def _id(df: DataFrame) -> DataFrame:
 def _some_of(rows: DataFrame, wanted: DataFrame, yes: bool = True) -> DataFrame:
     """Rows whose key may be among the wanted ones, by a bitmap of fixed size (or the others)."""
     bitmap = bits_of(wanted.select(F.xxhash64("i", "no", "text_key").alias("k")), "k", LOG2_BITS)
-
-    @F.pandas_udf("boolean")
-    def may(keys: pd.Series) -> pd.Series:
-        bits = np.frombuffer(bitmap, np.uint64)
-        at = keys.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - LOG2_BITS)
-        got = bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
-        return pd.Series(got.astype(bool))
-
-    test = may(F.xxhash64("i", "no", "text_key"))
+    test = may_be_in(F.xxhash64("i", "no", "text_key"), bitmap, LOG2_BITS)
     return rows.filter(test if yes else ~test)
 
 
@@ -561,7 +551,3 @@ def report(found: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import bits_of, may_be_in
 from tidegauge.session import new_dir, settle
 
 MIN_REVISIT = 100  # payload bytes
 RECORDS = 500  # a file
+LOG2_BITS = 24
 END = "\r\n\r\n"
 EPOCH = 1_704_067_200  # first capture, 2024-01-01; page n follows n seconds later
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -52,12 +54,17 @@ def with_types(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload")
     ).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    first = (
+    first = settle(
         rows.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1").drop("n")
+        .filter("n > 1").drop("n"),
+        "repeated",
     )
+    # a bitmap of fixed size lets most payloads that occur once pass by the exchange
+    bitmap = bits_of(first.select(F.xxhash64("digest").alias("k")), "k", LOG2_BITS)
+    repeated = may_be_in(F.xxhash64("digest"), bitmap, LOG2_BITS)
     refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
-    return rows.join(first, "digest", "left").withColumn("refers_to", refers).drop("first")
+    joined = rows.filter(repeated).join(first, "digest", "left").withColumn("refers_to", refers).drop("first")
+    return joined.unionByName(rows.filter(~repeated).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def records(typed: DataFrame) -> DataFrame:
