@@ -6,6 +6,8 @@ then get the same answer, and rows that share an id but not a text keep their ow
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,8 +85,6 @@ def bits_of(hashes: DataFrame, column: str, log2_bits: int) -> bytes:
     At most ``2 ** (log2_bits - 6)`` numbers reach the driver, however many rows there are.
     A hash is in the set only if its bit is set; the converse needs an exact check.
     """
-    import numpy as np
-
     place = F.shiftrightunsigned(F.col(column), 64 - log2_bits)
     words = (
         hashes.select(place.alias("p"))
@@ -99,9 +99,6 @@ def bits_of(hashes: DataFrame, column: str, log2_bits: int) -> bytes:
 
 def may_be_in(key: Column, bitmap: bytes, log2_bits: int) -> Column:
     """Whether the 64-bit key's bit is set in a bitmap made by ``bits_of``."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def may(keys: pd.Series) -> pd.Series:
         bits = np.frombuffer(bitmap, np.uint64)
