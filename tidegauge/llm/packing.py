@@ -26,6 +26,7 @@ CAPACITY = 4096
 GRAIN = 8
 END_ID = 2
 GAP = 1e-3  # the linear program stops this close to its bound
+POOL = 16  # patterns priced by one dynamic program
 MOST_WORDS = 400_000  # words a Python worker remembers
 BUCKET = 100_000  # pieces of one class that are ranked together
 
@@ -103,65 +104,96 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     )
 
 
-def best_pattern(values: np.ndarray, classes: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The knapsack: pieces of a sequence whose values add up to the most."""
+def knapsack(values: np.ndarray, classes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room, the most that pieces in it are worth, and the class to put in last (-1: none)."""
+    worth = np.full(capacity, -np.inf)
+    worth[classes - 1] = values
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1)
+    index = np.full(capacity, -1)
+    index[classes - 1] = np.arange(len(classes))
     for room in range(1, capacity + 1):
-        fits = np.searchsorted(classes, room, side="right")
-        if not fits:
-            continue
-        got = best[room - classes[:fits]] + values[:fits]
-        i = int(np.argmax(got))
+        got = worth[:room] + best[room - 1 :: -1]
+        i = got.argmax()
         if got[i] > best[room - 1]:
-            best[room], pick[room] = got[i], i
+            best[room], pick[room] = got[i], index[i]
         else:
             best[room] = best[room - 1]
+    return best, pick
+
+
+def fill(pick: np.ndarray, classes: np.ndarray, room: int) -> dict[int, int]:
+    """The pieces that the knapsack chose for a room."""
     counts: dict[int, int] = {}
-    room = capacity
     while room > 0:
-        if pick[room] < 0:
+        i = int(pick[room])
+        if i < 0:
             room -= 1
             continue
-        counts[int(pick[room])] = counts.get(int(pick[room]), 0) + 1
-        room -= int(classes[pick[room]])
-    return float(best[capacity]), counts
+        counts[i] = counts.get(i, 0) + 1
+        room -= int(classes[i])
+    return counts
+
+
+def priced_patterns(dual: np.ndarray, classes: np.ndarray, capacity: int) -> tuple[float, list[dict[int, int]]]:
+    """The worth of the best pattern, and for each class the best that holds it, if worth more than 1.
+
+    One dynamic program gives all of them, ``POOL`` at most, the best first.
+    """
+    best, pick = knapsack(dual, classes, capacity)
+    worth = dual + best[capacity - classes]
+    found: dict[tuple, dict[int, int]] = {}
+    for i in np.argsort(-worth, kind="stable").tolist():
+        if worth[i] <= 1 + 1e-9 or len(found) == POOL:
+            break
+        pattern = fill(pick, classes, int(capacity - classes[i]))
+        pattern[i] = pattern.get(i, 0) + 1
+        found[tuple(sorted(pattern.items()))] = pattern
+    return float(worth.max()), list(found.values())
 
 
 def column_generation(classes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP):
     """Patterns (as dictionaries) and how often to use each, fractional.
 
-    Starts with one class a pattern. Ends when no pattern is worth more than ``1 + gap``,
-    which bounds the distance to the optimum by the same share.
+    Starts with one class a pattern. Ends within a share ``gap`` of a lower bound: the room
+    that the pieces need in all, or the dual values scaled until no pattern is worth more
+    than 1. Patterns priced together enter one after the other while the changing dual
+    values leave them worth it.
     """
     m = len(classes)
     columns = [{i: int(capacity // c)} for i, c in enumerate(classes)]
     inverse = np.diag([1 / (capacity // c) for c in classes]).astype(float)
-    use = inverse @ demand
-    for step in range(1, 40 * m + 1):
-        dual = inverse.sum(axis=0)
-        value, pattern = best_pattern(dual, classes, capacity)
-        if value <= 1 + gap:
+    use, dual = inverse @ demand, inverse.sum(axis=0)
+    steps, bound = 0, float(classes @ demand) / capacity
+    while steps < 40 * m and use.sum() > (1 + gap) * bound:
+        value, pool = priced_patterns(dual, classes, capacity)
+        bound = max(bound, float(dual @ demand) / value)
+        if not pool or use.sum() <= (1 + gap) * bound:
             break
-        column = np.zeros(m)
-        for i, k in pattern.items():
-            column[i] = k
-        direction = inverse @ column
-        up = direction > 1e-9
-        ratio = np.full(m, np.inf)
-        ratio[up] = use[up] / direction[up]
-        leave = int(np.argmin(ratio))
-        row = inverse[leave] / direction[leave]
-        inverse -= np.outer(direction, row)
-        inverse[leave] = row
-        columns[leave] = pattern
-        if step % 200 == 0:  # against rounding errors
-            basis = np.zeros((m, m))
-            for j, c in enumerate(columns):
-                for i, k in c.items():
-                    basis[i, j] = k
-            inverse = np.linalg.inv(basis)
-        use = np.maximum(inverse @ demand, 0)
+        entries = np.zeros((len(pool), m))
+        for j, pattern in enumerate(pool):
+            entries[j, list(pattern)] = list(pattern.values())
+        while True:
+            values = entries @ dual
+            j = int(np.argmax(values))
+            if values[j] <= 1 + 1e-9 or steps >= 40 * m or use.sum() <= (1 + gap) * bound:
+                break
+            steps += 1
+            direction = inverse @ entries[j]
+            up = direction > 1e-9
+            ratio = np.full(m, np.inf)
+            ratio[up] = use[up] / direction[up]
+            leave = int(np.argmin(ratio))
+            row = inverse[leave] / direction[leave]
+            inverse -= np.outer(direction, row)
+            inverse[leave] = row
+            columns[leave] = pool[j]
+            if steps % 200 == 0:  # against rounding errors
+                basis = np.zeros((m, m))
+                for k, c in enumerate(columns):
+                    basis[list(c), k] = list(c.values())
+                inverse = np.linalg.inv(basis)
+            use, dual = np.maximum(inverse @ demand, 0), inverse.sum(axis=0)
     return columns, use
 
 
