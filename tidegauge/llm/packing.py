@@ -28,7 +28,7 @@ END_ID = 2
 GAP = 1e-3  # the linear program stops this close to its bound
 POOL = 16  # patterns priced by one dynamic program
 MOST_WORDS = 400_000  # words a Python worker remembers
-BUCKET = 100_000  # pieces of one class that are ranked together
+BUCKET = 10_000  # pieces of one class that are ranked together
 
 EDGE = re.compile(rb"(?<=[a-z])(?=[.,][\x20\n])")
 
