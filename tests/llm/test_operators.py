@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import tokenizers
 import xxhash
 
 import corpus_pipeline
@@ -155,6 +156,20 @@ def test_packing_round_trip(spark):
     assert check_packing(packing.pack_documents(df).collect(), docs_of(MEDIUM)) < 0.02
 
 
+def test_packing_ids_are_the_tokenizers():
+    texts = [
+        "Große Æther naïve É ß ŒUVRE don't it's İstanbul ΑΣ foo. bar, é. È,",
+        "x***y..Z $$$,%%% a<b c>d e_f-g 12,5é3 `q~{r}|s [t] cafe\u0301 \u00b5m ªº ÐÞ ÿþð ÷ ×",
+        "<|StartOfText|> ÀB<|endoftext|>x Hello",
+        "",
+        " \n\u00a0\u2003 ",
+    ]
+    path = packing.tokenizer_path()
+    plain = tokenizers.Tokenizer.from_file(path)
+    for text, ids in zip(texts, packing.encode(texts, path)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_edges(edge, none):
     check_packing(packing.pack_documents(edge).collect(), EDGE)
     assert packing.pack_documents(none).count() == 0

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 import numpy as np
 import pandas as pd
@@ -27,20 +28,29 @@ GRAIN = 8
 END_ID = 2
 GAP = 1e-3  # the linear program stops this close to its bound
 POOL = 16  # patterns priced by one dynamic program
-MOST_WORDS = 400_000  # words a Python worker remembers
+MOST_WORDS = 600_000  # words a Python worker remembers
 BUCKET = 10_000  # pieces of one class that are ranked together
 
 EDGE = re.compile(rb"(?<=[a-z])(?=[.,][\x20\n])")
+# Parts of a word that are pre-tokens by themselves. The apostrophe (contractions) and ``<``
+# (special tokens) are not among the signs, so words that hold them are left to the tokenizer.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PART = re.compile(rf"[{LETTERS}]+|[0-9]|[!-&(-/:;=>?@\[-`{{-~]+")
 
 
 @functools.cache
 def _tokenizer(path: str):
+    """The tokenizer, its merges alone, how letters are spelled for them, and the words met so far."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = [c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c)]
+    spelling = {ord(c): bytewise.pre_tokenize_str(c.lower())[0][0] for c in letters}
+    return tokenizer, tokenizer.model, spelling, {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,22 +63,36 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, without special tokens.
 
     This vocabulary drops white space and lowers letters, so a text's ids are those of its
-    words in turn. Words met before are looked up, new ones are encoded in one call. Texts
-    that hold ``<|`` keep their case, because special tokens are read from the raw text.
+    words in turn. Words met before are looked up. New ones made of ``PART`` need only the
+    merges; the others are encoded in one call. Texts that hold ``<|`` keep their case,
+    because special tokens are read from the raw text.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, merges, spelling, known = _tokenizer(path)
     split = []
     for text in texts:
         raw = text.encode()
         if b"<|" not in raw:
             raw = EDGE.sub(b" ", raw.lower())
         split.append(raw.split())
-    new = list({w for words in split for w in words if w not in known})
+    met = set().union(*split)
+    new = met.difference(known)
     if len(known) + len(new) > MOST_WORDS:
         known.clear()
-        new = list({w for words in split for w in words})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
+        new = met
+    others = []
+    for word in new:
+        plain = word.decode()
+        if word.isalpha() and word.islower():
+            ids = [token.id for token in merges.tokenize(plain)]
+        else:
+            parts = PART.findall(plain)
+            if sum(map(len, parts)) < len(plain):
+                others.append(word)
+                continue
+            ids = [token.id for part in parts for token in merges.tokenize(part.translate(spelling))]
+        known[word] = struct.pack(f"<{len(ids)}I", *ids)
+    for i in range(0, len(others), 20_000):
+        part = others[i : i + 20_000]
         got = tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, "<u4")
         owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
