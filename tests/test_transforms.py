@@ -122,3 +122,12 @@ def test_year_filter_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(path).filter(rel.in_year(F.col("data"), 2020))
     assert df.count() == 3
     assert "GreaterThanOrEqual(data,2020-01-01)" in df._jdf.queryExecution().toString()
+
+
+def test_both_extremes_keep_ties_and_skip_null(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 0), ("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 5, 4), ("b", None, 5), ("c", None, 6)],
+        "k string, v int, n int",
+    )
+    got = {(r["n"], r["edge"]) for r in rel.at_extremes(rows, ["k"], "v").collect()}
+    assert got == {(0, "first"), (1, "first"), (3, "last"), (4, "first"), (4, "last")}

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegauge.session import settle
+
 
 def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Strict column list: an absent column is an error."""
@@ -53,6 +55,21 @@ def at_extreme(df: DataFrame, by: Sequence[str], column: str, largest: bool = Tr
     )
 
 
+def at_extremes(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """Rows at the key's first and last ``column``, ties included, labelled in ``edge``.
+
+    One aggregate gives both. The edges, two rows a key, are stored, so their size is known:
+    Spark broadcasts them while they are small, and the rows themselves are not shuffled.
+    Runs one job; ``df`` is read twice.
+    """
+    ends = df.groupBy(*by).agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
+    pairs = F.array(
+        *[F.struct(F.lit(n).alias("edge"), F.col(f"_{n}").alias(column)) for n in ("first", "last")]
+    )
+    edges = ends.select(*by, F.inline(pairs)).filter(F.col(column).isNotNull())
+    return df.join(settle(edges, "edges"), [*by, column]).select(*df.columns, "edge")
+
+
 def drop_null(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     return df.dropna(subset=list(subset) if subset else None)
 

@@ -57,11 +57,15 @@ def _survey(unit: str) -> str:
     return (
         "survey AS (SELECT l_returnflag AS series_id, CAST(o_orderdate AS DATE) AS survey_date, "
         f"CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS ref_date, "
-        "round_even(l_discount * 100, 0) AS mean "
+        "round_even(l_discount * 100, 0) AS mean, l_quantity AS median "
         "FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
     )
 
 
+def _before_end(months: int) -> str:
+    return f"(SELECT max(data) - INTERVAL {months} MONTH FROM rates)"
+
+
 _MODEL = [("Ridge", 1.015625, 0.875, 1.125), ("Huber", 0.984375, 0.75, 1.25)]
 _MODEL_ROWS = ", ".join(f"('{n}', {m}, {lo}, {hi})" for n, m, lo, hi in _MODEL)
 
@@ -100,7 +104,8 @@ CTE = {
     ),
     "last_seen": (
         f"last_seen AS (SELECT l_returnflag AS series_id, {_month('max(l_shipdate)')} AS last "
-        "FROM lineitem WHERE l_shipdate < DATE '2000-09-01' GROUP BY 1)"
+        "FROM lineitem WHERE date_trunc('month', l_shipdate) <= "
+        "(SELECT date_trunc('month', max(l_shipdate)) - INTERVAL 15 MONTH FROM lineitem) GROUP BY 1)"
     ),
     "period": (
         "period AS (SELECT series_id, CAST(step AS INTEGER) AS step, "
@@ -109,13 +114,13 @@ CTE = {
     ),
     "history": (
         "history AS (SELECT series_id AS variavel, data, value AS valor FROM rates "
-        "WHERE data <= DATE '2000-10-01')"
+        f"WHERE data <= {_before_end(13)})"
     ),
     "ahead": (
         "ahead AS (SELECT data, value * mid AS valor, value * lo AS ic_inferior, value * hi AS ic_superior, "
         "series_id AS variavel, tipo FROM rates, "
         f"(VALUES {_MODEL_ROWS}) AS m(tipo, mid, lo, hi) "
-        "WHERE data BETWEEN DATE '2000-10-01' AND DATE '2001-09-01')"
+        f"WHERE data >= {_before_end(13)})"
     ),
     "served": (
         "served AS (SELECT variavel, data, valor, 'Histórico' AS tipo, CAST(NULL AS DOUBLE) AS ic_inferior, "
@@ -216,7 +221,12 @@ ORACLES: dict[str, str] = {}
 
 # sources and sinks
 ORACLES["src_catalog"] = _with(
-    [], f"SELECT * FROM catalog WHERE series_id IN (SELECT o_orderpriority FROM orders)", _catalog()
+    [],
+    "SELECT series_id, source, input, freq, transform FROM catalog "
+    "WHERE series_id IN (SELECT o_orderpriority FROM orders) UNION ALL "
+    "SELECT concat('part ', p_partkey), p_brand, p_name, CASE WHEN p_size % 2 = 0 THEN 'Diária' ELSE 'Mensal' END, "
+    "CAST(p_size % 6 + 1 AS VARCHAR) FROM part",
+    _catalog(),
 )
 ORACLES["src_json_array"] = _with(["daily"], f"SELECT series_id, {_text()}, value FROM daily")
 ORACLES["src_json_sentinel"] = _with(
@@ -227,7 +237,7 @@ ORACLES["src_csv_wide"] = ORACLES["src_json_nested"]
 ORACLES["src_decimal_comma"] = "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders"
 ORACLES["src_survey"] = _with(
     ["survey_month"],
-    f"SELECT series_id, {_text('survey_date')}, {_text('ref_date')}, mean FROM survey "
+    f"SELECT series_id, {_text('survey_date')}, {_text('ref_date')}, mean, median FROM survey "
     "WHERE survey_date >= DATE '1998-01-01'",
 )
 ORACLES["src_parquet"] = "SELECT o_orderkey, o_totalprice FROM orders"
@@ -242,7 +252,9 @@ ORACLES["snk_append"] = _with(
     "(VALUES ('2000-10-03 12:00:00'), ('2000-10-10 12:00:00')) AS r(previsao)",
 )
 ORACLES["snk_parquet"] = _with(
-    ["monthly"], f"SELECT {_text()}, {_pivot(PRIORITIES, 6)} FROM monthly GROUP BY data"
+    ["daily", "monthly"],
+    f"SELECT {_text()}, {_pivot(PRIORITIES, 6)}, 'D' AS freq FROM daily GROUP BY data UNION ALL "
+    f"SELECT {_text()}, {_pivot(PRIORITIES, 6)}, 'M' AS freq FROM monthly GROUP BY data",
 )
 ORACLES["route_by_freq"] = _with(
     ["daily", "rates"],
@@ -341,7 +353,7 @@ ORACLES["jn_left_monthlyised"] = _with(
     + ", "
     + ", ".join(f'round_even(m."{p}", 6) AS "{p}"' for p in PRIORITIES)
     + " FROM a LEFT JOIN m ON a.data = m.data",
-    f"a AS (SELECT data, {_pivot(FLAGS)} FROM rates WHERE data < DATE '2001-06-01' GROUP BY data)",
+    f"a AS (SELECT data, {_pivot(FLAGS)} FROM rates WHERE data <= {_before_end(6)} GROUP BY data)",
     f"m AS (SELECT data, {_pivot(PRIORITIES)} FROM monthly GROUP BY data)",
 )
 _ANNUAL_EXTENDED = (
@@ -669,14 +681,14 @@ ORACLES["mod_yeo_johnson_inverse"] = (
 )
 
 
+_PSI = "CASE WHEN l.lam = 0 THEN ln(1 + f.quantity) ELSE (pow(f.quantity + 1, l.lam) - 1) / l.lam END"
+
+
 def _lambda_round(name: str, before: str, step: float) -> str:
     lam = "r.lam + g.k * CAST({s} AS DOUBLE)".replace("{s}", repr(step))
-    psi = (
-        "CASE WHEN l.lam = 0 THEN ln(1 + f.quantity) ELSE (pow(f.quantity + 1, l.lam) - 1) / l.lam END"
-    )
     return (
         f"{name} AS (SELECT target_id, max_by(lam, loglik) AS lam FROM (SELECT f.target_id, l.lam, "
-        f"-count(*) / 2 * ln(var_pop({psi})) + (l.lam - 1) * sum(ln(1 + f.quantity)) AS loglik "
+        f"-count(*) / 2 * ln(var_pop({_PSI})) + (l.lam - 1) * sum(ln(1 + f.quantity)) AS loglik "
         f"FROM frame f JOIN (SELECT r.target_id, {lam} AS lam FROM {before} r, "
         "(SELECT unnest(generate_series(-10, 10)) AS k) g) l ON f.target_id = l.target_id "
         "GROUP BY 1, 2) GROUP BY 1)"
@@ -685,11 +697,13 @@ def _lambda_round(name: str, before: str, step: float) -> str:
 
 ORACLES["mod_yeo_johnson_lambda"] = _with(
     ["frame"],
-    f"SELECT target_id, {_r('lam', 'lam', 3)} FROM r3",
+    f"SELECT f.target_id, {_r('l.lam', 'lam', 4)}, {_r(f'avg({_PSI})', 'mu', 4)}, "
+    f"{_r(f'stddev_pop({_PSI})', 'sd', 4)} FROM frame f JOIN r4 l ON f.target_id = l.target_id GROUP BY 1, l.lam",
     "r0 AS (SELECT DISTINCT target_id, CAST(0 AS DOUBLE) AS lam FROM frame)",
     _lambda_round("r1", "r0", 0.5),
     _lambda_round("r2", "r1", 0.05),
     _lambda_round("r3", "r2", 0.005),
+    _lambda_round("r4", "r3", 0.0005),
 )
 
 # scenarios
@@ -829,7 +843,7 @@ def _forecast_rows(alpha: float, label: str) -> str:
         _ridge(alpha),
         _SUPPLIER_SCENARIO,
         _PATH,
-        _bootstrap(500),
+        _bootstrap(5000),
         recursive=True,
     )
     return f"SELECT * FROM ({inner})"
@@ -847,8 +861,8 @@ ORACLES["serve_tracking"] = _with(
     'SELECT a.variavel AS "Variável", \'2000-10-03\' AS "Data de Previsão", '
     'CAST(a.data AS VARCHAR) AS "Horizonte da Previsão", tipo AS "Modelo", '
     'round_even(o.value, 2) AS "Observado", round_even(valor, 2) AS "Previsto", '
-    'round_even(o.value - valor, 2) AS "Erro de Previsão" FROM ahead a LEFT JOIN rates o '
-    "ON o.series_id = a.variavel AND o.data = a.data AND o.data <= DATE '2001-05-01'",
+    'round_even(o.value - valor, 2) AS "Erro de Previsão" FROM ahead a LEFT JOIN '
+    f"(SELECT * FROM rates WHERE data <= {_before_end(6)}) o ON o.series_id = a.variavel AND o.data = a.data",
 )
 ORACLES["serve_forecast_year"] = _with(["years"], "SELECT variavel, tipo, ano FROM years")
 ORACLES["serve_yoy"] = _with(

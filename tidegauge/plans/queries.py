@@ -62,10 +62,18 @@ def catalog_rows(spark: SparkSession) -> DataFrame:
 
 @query
 def src_catalog(spark, sf_dir):
-    # the catalog of the series that have rows
+    # the catalog of the series that have rows, and an entry for every part
     seen = shapes.daily_orders(spark, sf_dir).select("series_id").distinct()
+    parts = shapes.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("series_id"),
+        F.col("p_brand").alias("source"),
+        F.col("p_name").alias("input"),
+        F.when(F.col("p_size") % 2 == 0, "Diária").otherwise("Mensal").alias("freq"),
+        (F.col("p_size") % 6 + 1).cast("string").alias("transform"),
+    )
     path = new_dir(spark, "catalog")
-    landing.land_catalog(catalog_rows(spark).join(seen, "series_id"), path, CATALOG_HEADER)
+    rows = rel.union_all(catalog_rows(spark).join(seen, "series_id"), parts)
+    landing.land_catalog(rows, path, CATALOG_HEADER)
     return tables.read_catalog(spark, path)
 
 
@@ -114,10 +122,9 @@ def src_decimal_comma(spark, sf_dir):
 def src_survey(spark, sf_dir):
     path = new_dir(spark, "survey")
     landing.land_survey(shapes.survey(spark, sf_dir), path)
-    rows = payloads.read_survey(
+    return payloads.read_survey(
         spark, path, ref="month", since="1998-01-01", indicator="IPCA", calc="C"
     )
-    return rows.drop("median")
 
 
 @query
@@ -163,9 +170,12 @@ def snk_parquet(spark, sf_dir):
     stored = spark.read.schema(
         "series_id string, data date, value double, freq string, year int"
     ).parquet(path)
-    wide = new_dir(spark, "wide")
-    sinks.write_wide(align.to_wide(stored.filter("freq = 'M'"), shapes.PRIORITIES), wide)
-    return rounded(spark.read.parquet(wide))
+    halves = []
+    for freq in ("D", "M"):
+        wide = new_dir(spark, "wide")
+        sinks.write_wide(align.to_wide(stored.filter(F.col("freq") == freq), shapes.PRIORITIES), wide)
+        halves.append(spark.read.parquet(wide).withColumn("freq", F.lit(freq)))
+    return rounded(rel.union_all(*halves))
 
 
 @query
@@ -260,10 +270,7 @@ def flt_at_extreme(spark, sf_dir):
         "l_orderkey",
         "l_linenumber",
     )
-    return rel.union_all(
-        rel.at_extreme(lines, SERIES, "data").withColumn("edge", F.lit("last")),
-        rel.at_extreme(lines, SERIES, "data", largest=False).withColumn("edge", F.lit("first")),
-    )
+    return rel.at_extremes(lines, SERIES, "data")
 
 
 @query
@@ -284,11 +291,13 @@ def flt_dropna(spark, sf_dir):
 
 @query
 def flt_in_period(spark, sf_dir):
-    period = grid.forecast_period(shapes.last_observed(spark, sf_dir), SERIES, H)
-    rows = shapes.survey(spark, sf_dir)
-    return rel.in_period(rows, period, "ref_date", SERIES).groupBy(*SERIES, "ref_date").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("mean").alias("total")
+    cells = shapes.line_cells(spark, sf_dir)
+    period = settle(grid.forecast_period(shapes.last_observed(cells), SERIES, H), "period")
+    # reduced to months before it meets the period
+    rows = shapes.asked(cells).groupBy(*SERIES, "ref_date").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("percent").alias("total")
     )
+    return rel.in_period(rows, period, "ref_date", SERIES)
 
 
 # joins ----------------------------------------------------------------------------------
@@ -308,8 +317,10 @@ def jn_outer_nway(spark, sf_dir):
 
 @query
 def jn_left_monthlyised(spark, sf_dir):
+    # the anchors end before the other series
+    rates = settle(shapes.rates(spark, sf_dir), "rates")
     both = rel.union_all(
-        shapes.rates(spark, sf_dir).filter("data < DATE'2001-06-01'"),
+        rates.filter(F.col("data") <= shapes.months_back(rates, 6)),
         shapes.monthly_orders(spark, sf_dir),
     )
     wide = align.to_wide(both, [*shapes.FLAGS, *shapes.PRIORITIES], anchors=shapes.FLAGS)
@@ -318,17 +329,17 @@ def jn_left_monthlyised(spark, sf_dir):
 
 @query
 def panel_monthly(spark, sf_dir):
-    daily = shapes.daily_orders(spark, sf_dir)
+    daily = settle(shapes.daily_orders(spark, sf_dir), "daily")
     urgent = F.col("series_id") == "1-URGENT"
     # one daily series enters by its first row of the month, the others by their mean
     means = grid.month_mean(daily.filter(~urgent), SERIES)
     first = grid.month_first(daily.filter(urgent), SERIES)
     target = grid.upsample_ffill(
-        shapes.annual_orders(spark, sf_dir).filter(F.col("series_id") == "5-LOW"), SERIES, extend=11
+        shapes.annual(daily.filter(F.col("series_id") == "5-LOW")), SERIES, extend=11
     ).withColumn("series_id", F.lit("target"))
     asked = shapes.survey(spark, sf_dir)
     ahead = expectations.expectation(asked, expectations.Expectation("ref", steps=1))
-    shipped = shapes.monthly_lineitem(spark, sf_dir)
+    shipped = grid.month_mean(settle(shapes.daily_lineitem(spark, sf_dir), "shipped"), SERIES)
     rows = rel.union_all(
         means, first, target, ahead.select(F.lit("expected").alias("series_id"), "data", "value"), shipped
     )
@@ -410,7 +421,8 @@ def agg_month_median(spark, sf_dir):
 
 @query
 def agg_latest_complete(spark, sf_dir):
-    rows = expectations.latest_complete(_asked(spark, sf_dir), _period(spark, sf_dir), H, SERIES)
+    asked, _, last = _lines(spark, sf_dir)
+    rows = expectations.latest_complete(asked, grid.forecast_period(last, SERIES, H), H, SERIES)
     return rows.groupBy(*SERIES, "survey_date").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -441,7 +453,8 @@ def ts_asfreq_month(spark, sf_dir):
 
 @query
 def ts_forecast_period(spark, sf_dir):
-    return grid.forecast_period(shapes.last_observed(spark, sf_dir), SERIES, H)
+    daily = settle(shapes.daily_lineitem(spark, sf_dir), "shipped")
+    return grid.forecast_period(shapes.last_observed(daily), SERIES, H)
 
 
 @query
@@ -668,50 +681,45 @@ def mod_yeo_johnson_inverse(spark, sf_dir):
 @query
 def mod_yeo_johnson_lambda(spark, sf_dir):
     frame = shapes.supplier_frame(spark, sf_dir)
-    return rounded(power.power_params(frame, TARGET, "quantity", rounds=3).select("target_id", "lam"), 3)
+    return rounded(power.power_params(frame, TARGET, "quantity"), 4)
 
 
 # scenarios and forecasts ----------------------------------------------------------------
 
 
-def _last(spark, sf_dir):
-    return settle(shapes.last_observed(spark, sf_dir), "last")
-
-
-def _period(spark, sf_dir):
-    return grid.forecast_period(_last(spark, sf_dir), SERIES, H)
-
-
-def _asked(spark, sf_dir):
-    """The survey table, stored: its raw join runs once."""
-    return settle(shapes.survey_table(spark, sf_dir), "survey")
+def _lines(spark, sf_dir):
+    """Survey table, daily history and last months, from one pass over the raw tables."""
+    cells = shapes.line_cells(spark, sf_dir)
+    last = settle(shapes.last_observed(cells), "last")
+    return settle(shapes.survey_table(cells), "survey"), shapes.shipped(cells), last
 
 
 @query
 def scn_survey(spark, sf_dir):
-    path = scenarios.survey_path(_asked(spark, sf_dir), _period(spark, sf_dir), H, SERIES)
-    return rounded(path)
+    asked, _, last = _lines(spark, sf_dir)
+    return rounded(scenarios.survey_path(asked, grid.forecast_period(last, SERIES, H), H, SERIES))
 
 
 @query
 def scn_survey_transformed(spark, sf_dir):
-    last = _last(spark, sf_dir)
+    asked, _, last = _lines(spark, sf_dir)
     period = grid.forecast_period(last, SERIES, H)
     path = scenarios.survey_path_transformed(
-        _asked(spark, sf_dir), period, last.withColumnRenamed("last", "data"), H, "5", SERIES
+        asked, period, last.withColumnRenamed("last", "data"), H, "5", SERIES
     )
     return rounded(path)
 
 
 @query
 def scn_seasonal_median(spark, sf_dir):
-    x = shapes.monthly_lineitem(spark, sf_dir)
-    return rounded(scenarios.seasonal_path(x, _period(spark, sf_dir), SERIES))
+    daily = settle(shapes.daily_lineitem(spark, sf_dir), "shipped")
+    period = grid.forecast_period(shapes.last_observed(daily), SERIES, H)
+    return rounded(scenarios.seasonal_path(grid.month_mean(daily, SERIES), period, SERIES))
 
 
 @query
 def scn_assemble(spark, sf_dir):
-    asked, last = _asked(spark, sf_dir), _last(spark, sf_dir)
+    asked, daily, last = _lines(spark, sf_dir)
     period = grid.forecast_period(last, SERIES, H)
     keyed = lambda df: df.withColumnRenamed("series_id", "target_id")
     paths = {
@@ -721,9 +729,7 @@ def scn_assemble(spark, sf_dir):
                 asked, period, last.withColumnRenamed("last", "data"), H, "5", SERIES
             )
         ),
-        "shipped": keyed(
-            scenarios.seasonal_path(shapes.monthly_lineitem(spark, sf_dir), period, SERIES)
-        ),
+        "shipped": keyed(scenarios.seasonal_path(grid.month_mean(daily, SERIES), period, SERIES)),
     }
     return rounded(scenarios.assemble(paths, TARGET))
 
@@ -776,7 +782,7 @@ def fc_table(spark, sf_dir):
     frame = settle(shapes.supplier_frame(spark, sf_dir), "frame")
     parts = [
         forecast.forecast_table(
-            _interval(frame, alpha, n_boot=500),
+            _interval(frame, alpha),
             F.col("target_id").cast("string"),
             F.lit(name),
             F.lit("2001-12-03 15:35:45").cast("timestamp_ntz"),
@@ -809,9 +815,10 @@ def serve_history_union(spark, sf_dir):
 
 @query
 def serve_tracking(spark, sf_dir):
-    _, ahead = shapes.served(spark, sf_dir)
+    rates = settle(shapes.rates(spark, sf_dir), "rates")
+    _, ahead = shapes.split_served(rates)
     log = ahead.withColumn("previsao", F.lit("2000-10-03"))
-    observed = shapes.rates(spark, sf_dir).filter("data <= DATE'2001-05-01'").select(
+    observed = rates.filter(F.col("data") <= shapes.months_back(rates, 6)).select(
         F.col("series_id").alias("variavel"), "data", F.col("value").alias("ipca")
     )
     return serving.tracking_errors(log, observed)

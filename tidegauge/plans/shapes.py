@@ -60,13 +60,20 @@ def monthly_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.month_mean(daily_lineitem(spark, sf_dir), ["series_id"])
 
 
+def annual(daily: DataFrame) -> DataFrame:
+    """Yearly totals of daily ones, dated 1 January."""
+    year = F.trunc("data", "YEAR").alias("data")
+    return daily.groupBy("series_id", year).agg(F.sum("value").alias("value"))
+
+
 def annual_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order value per priority and year, dated 1 January."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.groupBy(
-        F.col("o_orderpriority").alias("series_id"),
-        F.trunc("o_orderdate", "YEAR").cast("date").alias("data"),
-    ).agg(F.sum(F.floor("o_totalprice").cast("double")).alias("value"))
+    """Order value per priority and year."""
+    return annual(daily_orders(spark, sf_dir))
+
+
+def months_back(df: DataFrame, months: int) -> Column:
+    """The month that many months before the last date of ``data``, as a scalar subquery."""
+    return df.agg(F.add_months(month_start(F.max("data")), -months).alias("end")).scalar()
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +88,7 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def survey(spark: SparkSession, sf_dir: str, ref: str = "MM") -> DataFrame:
     """Survey rows: asked on the order date, about the period the line shipped in."""
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_returnflag", "l_shipdate", "l_discount"
+        "l_orderkey", "l_returnflag", "l_shipdate", "l_discount", "l_quantity"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -90,39 +97,73 @@ def survey(spark: SparkSession, sf_dir: str, ref: str = "MM") -> DataFrame:
         F.to_date("o_orderdate").alias("survey_date"),
         F.trunc("l_shipdate", ref).cast("date").alias("ref_date"),
         percent(F.col("l_discount")).alias("mean"),
+        F.col("l_quantity").alias("median"),
     )
 
 
-def survey_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per survey month and reference month."""
+def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums per flag, order month and ship day, stored: both raw tables are scanned once.
+
+    The survey, the daily history and the last months are made of these cells, whose number
+    is bounded by the calendar. The sums are of whole numbers, so means of them are exact.
+    A line without an order has no order month.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_returnflag", "l_shipdate", "l_quantity"
+        "l_orderkey", "l_returnflag", "l_shipdate", "l_quantity", "l_discount", "l_extendedprice"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy(
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    cells = joined.groupBy(
         F.col("l_returnflag").alias("series_id"),
         month_start(F.col("o_orderdate")).alias("survey_date"),
-        month_start(F.col("l_shipdate")).alias("ref_date"),
-    ).agg(F.avg("l_quantity").alias("median"))
+        F.to_date("l_shipdate").alias("data"),
+    ).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("l_quantity").alias("quantity"),
+        F.sum(percent(F.col("l_discount"))).alias("percent"),
+        F.sum(F.floor("l_extendedprice").cast("double")).alias("value"),
+    )
+    return settle(cells, "line_cells")
 
 
-def last_observed(spark: SparkSession, sf_dir: str, day: str = "2000-08-01") -> DataFrame:
-    """Last month of each flag's history on or before ``day`` (columns series_id, last)."""
-    lines = table(spark, sf_dir, "lineitem")
-    seen = lines.filter(F.col("l_shipdate") < F.add_months(F.lit(day).cast("date"), 1))
-    return seen.groupBy(F.col("l_returnflag").alias("series_id")).agg(
-        month_start(F.max("l_shipdate")).alias("last")
+def shipped(cells: DataFrame) -> DataFrame:
+    """``daily_lineitem`` from the cells."""
+    return cells.groupBy("series_id", "data").agg(F.sum("value").alias("value"))
+
+
+def asked(cells: DataFrame) -> DataFrame:
+    """The cells' rows that have an order, per survey month and reference month."""
+    rows = cells.filter(F.col("survey_date").isNotNull())
+    return rows.withColumn("ref_date", month_start(F.col("data")))
+
+
+def survey_table(cells: DataFrame) -> DataFrame:
+    """One row per survey month and reference month."""
+    return asked(cells).groupBy("series_id", "survey_date", "ref_date").agg(
+        (F.sum("quantity") / F.sum("n_rows")).alias("median")
     )
 
 
-def served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """History and forecasts of two models; both hold the month 2000-10.
+def last_observed(rows: DataFrame, back: int = 15) -> DataFrame:
+    """Last month of each series up to ``back`` months before the table's end.
 
-    Both come from a stored monthly table, as published forecasts do.
+    ``rows`` has ``series_id`` and ``data``; the columns are series_id, last. What comes
+    after stands for what is not yet known.
     """
-    base = settle(rates(spark, sf_dir), "rates")
-    history = base.filter("data <= DATE'2000-10-01'").select(
+    months = rows.select("series_id", month_start(F.col("data")).alias("data"))
+    known = months.filter(F.col("data") <= months_back(months, back))
+    return known.groupBy("series_id").agg(F.max("data").alias("last"))
+
+
+def served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``split_served`` of the rates, stored as published forecasts are."""
+    return split_served(settle(rates(spark, sf_dir), "rates"))
+
+
+def split_served(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """History and forecasts of two models, split 13 months before the end; both hold that month."""
+    split = months_back(base, 13)
+    history = base.filter(F.col("data") <= split).select(
         F.col("series_id").alias("variavel"), "data", F.col("value").alias("valor")
     )
     # per model: label and the factors of value, lower and upper bound
@@ -137,7 +178,7 @@ def served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             for name, mid, lo, hi in (("Ridge", 1.015625, 0.875, 1.125), ("Huber", 0.984375, 0.75, 1.25))
         ]
     )
-    ahead = base.filter("data BETWEEN DATE'2000-10-01' AND DATE'2001-09-01'")
+    ahead = base.filter(F.col("data") >= split)
     forecast = ahead.select(F.col("series_id").alias("variavel"), "data", F.inline(models))
     return history, forecast.select(
         "data", "valor", "ic_inferior", "ic_superior", "variavel", "tipo"
