@@ -245,6 +245,36 @@ def test_decontamination_finds_every_whole_item(spark):
     assert whole and whole <= set(zip(found["doc_id"], found["item_id"]))
 
 
+def tolerant_stretch(doc, item):
+    """Whether any aligned stretch is long enough and four fifths equal, by trying them all."""
+    least = min(13, len(item))
+    for shift in range(-len(item) + 1, len(doc)):
+        same = [doc[i + shift] == item[i] for i in range(max(0, -shift), min(len(item), len(doc) - shift))]
+        if any(5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(same)) for b in range(a + least, len(same) + 1)):
+            return True
+    return False
+
+
+def test_decontamination_finds_replaced_tokens_anywhere(spark):
+    rng = np.random.default_rng(3)
+    sizes = (5, 6, 7, 8, 9, 10, 12, 13, 15, 18, 20, 25, 40)
+    items = [(n, [f"w{n}x{j}" for j in range(n)]) for n in sizes]
+    docs = []
+    for n, item in items:
+        places = [[p] for p in range(n)] + [rng.choice(n, k, replace=False) for k in (2, 3, 4, 5, 8) for _ in range(8) if k < n]
+        for at in places:
+            text = [f"other{j}" if j in at else w for j, w in enumerate(item)]
+            docs.append((len(docs), ["before"] * int(rng.integers(0, 3)) + text + ["after"] * int(rng.integers(0, 3))))
+    want = {(i, n) for i, d in docs for n, item in items if tolerant_stretch(d, item)}
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(b)) for n, b in items], "item_id long, text string")
+    found = decontaminate.overlaps(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert {n for _, n in want} == set(sizes) and len(want) < len(docs)
+    for r in found:
+        assert 5 * r["matched"] >= 4 * r["length"] and r["length"] >= min(13, r["item_id"])
+
+
 def test_decontamination_edges(spark, edge, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(edge, bench).count() == 0

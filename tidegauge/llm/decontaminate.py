@@ -3,8 +3,11 @@
 A spaced seed hashes the tokens at fixed places of a window and ignores the rest, so a
 replaced token at an ignored place leaves the hash as it is. Hashes of the benchmark and of
 every window of every document are joined; around each hit the two texts are compared token
-by token along the hit's diagonal, and an overlap counts if it is long enough and agrees in
-``AGREE`` of its tokens.
+by token along the hit's diagonal, and any stretch counts that is long enough and has at
+least ``PER_OTHER`` equal tokens for each other one.
+
+The seeds of weight 5 hit every such stretch of 11 tokens or more. Whole items of 5 to 10
+tokens need the seeds of weight 4, which are used only if the benchmark has such items.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ from tidegauge.session import settle
 
 # places that count, five of each window; the first seed has no gaps
 SEEDS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 1, 2, 5, 7), (0, 2, 3, 6, 7), (0, 3, 4, 5, 8))
+# of items of 5 to 10 tokens: a window of five with any one token replaced
+SHORT_SEEDS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+SHORT = 10
 MIN_TOKENS = 13  # of an overlap; a shorter item has to match as a whole
-AGREE = 0.8
+PER_OTHER = 4  # equal tokens for one that is not: four fifths are equal
 LOG2_BITS = 24
 
 WORD = re.compile(r"\w+")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+SHORT_ODD = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -34,18 +41,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def seed_hashes(tokens: np.ndarray, seed: int) -> np.ndarray:
+def seed_hashes(tokens: np.ndarray, seed: int, short: bool = False) -> np.ndarray:
     """Hash of every window of the token array under one seed."""
-    places = SEEDS[seed]
+    places = (SHORT_SEEDS if short else SEEDS)[seed]
     n = len(tokens) - places[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, ODD[seed])
+    total = np.full(n, (SHORT_ODD if short else ODD)[seed])
     for place, odd in zip(places, ODD):
         total += tokens[place : place + n] * odd
     return _mix(total)
 
 
+def _all_hashes(tokens: np.ndarray, short: bool) -> list[np.ndarray]:
+    """``seed_hashes`` of each seed, those for short items last."""
+    made = [seed_hashes(tokens, s) for s in range(len(SEEDS))]
+    return made + [seed_hashes(tokens, s, True) for s in range(len(SHORT_SEEDS))] if short else made
+
+
 def tokens_of(text: str, hashes: WordHashes) -> np.ndarray:
     words = WORD.findall(text.lower())
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -75,19 +88,19 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         for frame in frames:
             for item, tokens in zip(frame["item_id"], frame["tokens"]):
                 t = np.asarray(tokens, np.int64).view(np.uint64)
-                for s in range(len(SEEDS)):
-                    h = seed_hashes(t, s)
+                for h in _all_hashes(t, len(t) <= SHORT):
                     yield pd.DataFrame({"h": h.view(np.int64), "item_id": item, "place": np.arange(len(h))})
 
     index = items.dropna(subset=["item_id"]).mapInPandas(windows, "h long, item_id long, place int")
     return items, settle(index.dropDuplicates(), "index")
 
 
-def regions(docs: DataFrame, bitmap: bytes, margin: int, log2_bits: int = LOG2_BITS) -> DataFrame:
+def regions(docs: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits: int = LOG2_BITS) -> DataFrame:
     """Stretches of documents around windows whose hash may be in the benchmark.
 
     ``start`` and ``tokens`` of the stretch, and its hits as ``(h, place)``. Two bits of a
-    bitmap of fixed size are asked for each hash; the join that follows is exact.
+    bitmap of fixed size are asked for each hash; the join that follows is exact. ``short``
+    asks for the seeds of short items too.
     """
 
     def scan(frames):
@@ -109,8 +122,7 @@ def regions(docs: DataFrame, bitmap: bytes, margin: int, log2_bits: int = LOG2_B
                 owner = np.repeat(np.arange(hi - lo), sizes)
                 begin = np.cumsum(sizes) - sizes
                 places, hashes = [], []
-                for s, seed in enumerate(SEEDS):
-                    h = seed_hashes(flat, s)
+                for seed, h in zip(SEEDS + SHORT_SEEDS, _all_hashes(flat, short)):
                     if not len(h):
                         continue
                     # the second bit is taken from the mixed hash
@@ -149,20 +161,25 @@ def regions(docs: DataFrame, bitmap: bytes, margin: int, log2_bits: int = LOG2_B
     )
 
 
-def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Start in ``doc``, length and equal tokens of the best aligned stretch.
+def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, min_tokens: int = MIN_TOKENS) -> tuple[int, int, int]:
+    """Start in ``doc``, length and equal tokens of the best aligned stretch; zeros if none.
 
-    The stretch has the largest sum of 1 for an equal token and -4 for another, so that at
-    least four fifths of it are equal.
+    Only stretches of at least ``min_tokens`` tokens, or the whole item if it is shorter, with
+    four fifths of them equal. The best has the largest sum of 1 for an equal token and -4
+    for another, which is not negative exactly if four fifths are equal.
     """
+    least = min(min_tokens, len(item))
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    if hi <= lo:
+    if not 0 < least <= hi - lo:
         return 0, 0, 0
     same = doc[lo + shift : hi + shift] == item[lo:hi]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1.0, -AGREE / (1 - AGREE)))])
-    floor = np.minimum.accumulate(total)
-    end = int(np.argmax(total - floor))
-    start = int(np.argmin(total[: end + 1]))
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -PER_OTHER))])
+    # each end's lowest start that is at least that far before it
+    gain = total[least:] - np.minimum.accumulate(total[: len(total) - least])
+    at = int(np.argmax(gain))
+    if gain[at] < 0:
+        return 0, 0, 0
+    start, end = int(np.argmin(total[: at + 1])), at + least
     return start + lo + shift, end - start, int(same[start:end].sum())
 
 
@@ -173,10 +190,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS
     five tokens, have no overlap; null texts are empty; other columns are not read.
     """
     items, index = benchmark_index(benchmark)
-    size = items.agg(F.max(F.size("tokens")).alias("m")).head()["m"] or 0
+    sizes = items.agg(F.max(F.size("tokens")).alias("most"), F.min(F.size("tokens")).alias("least")).head()
+    size, short = sizes["most"] or 0, (sizes["least"] or SHORT + 1) <= SHORT
     both = index.select("h").union(index.select(_mixed("h").alias("h")))
     bitmap = bits_of(both, "h", LOG2_BITS)
-    found = settle(regions(docs, bitmap, max(size, SEEDS[-1][-1] + 1)), "regions")
+    found = settle(regions(docs, bitmap, max(size, SEEDS[-1][-1] + 1), short), "regions")
     one = ["doc_id", "text_key", "start"]
     hits = found.select(*one, F.explode("hits").alias("x")).select(*one, "x.h", "x.place")
     lined = (
@@ -187,15 +205,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS
 
     @F.pandas_udf("start int, length int, matched int")
     def verify(tokens: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame:
-        got = [best_overlap(np.asarray(a), np.asarray(b), int(s)) for a, b, s in zip(tokens, item, shift)]
+        got = [best_overlap(np.asarray(a), np.asarray(b), int(s), min_tokens) for a, b, s in zip(tokens, item, shift)]
         return pd.DataFrame(got, columns=["start", "length", "matched"])
 
     compared = (
         lined.join(found.select(*one, "tokens").dropDuplicates(one), one)
         .join(items.select("item_id", F.col("tokens").alias("item")), "item_id")
-        .select(*one, "item_id", F.size("item").alias("n"), verify("tokens", "item", "shift").alias("v"))
+        .select(*one, "item_id", verify("tokens", "item", "shift").alias("v"))
     )
-    good = compared.filter(F.col("v.length") >= F.least(F.lit(min_tokens), F.col("n")))
+    good = compared.filter("v.length > 0")
     best = F.max(F.struct("v.matched", -(F.col("start") + F.col("v.start")), "v.length")).alias("b")
     return good.groupBy("doc_id", "text_key", "item_id").agg(best).select(
         "doc_id", "text_key", "item_id", (-F.col("b.col2")).alias("start"), F.col("b.length").alias("length"), F.col("b.matched").alias("matched")
