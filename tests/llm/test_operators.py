@@ -687,6 +687,25 @@ def test_pii_terms_against_brute_force(spark):
     assert all(clean[i] == t for i, t in plain if not naive_pii(t))
 
 
+def terms_of(docs, spark):
+    rows = pii.scan_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    return {r["doc_id"]: [dict(docs)[r["doc_id"]][t["start"] : t["end"]] for t in r["terms"]] for r in rows}
+
+
+def test_pii_terms_of_entities_in_few_documents(spark):
+    plain = [(100 + i, t) for i, t in docs_of(SMALL)]
+    # six addresses of one firm, one document each; one that spells the name; one in two documents
+    docs = [(i, f"the Zorblax desk of clerk{'abcdef'[i] * 3}@zorb.example.net will answer") for i in range(6)]
+    docs += [(10, "the lodger Quimby wrote from z.quimby@home.example.net at last")]
+    docs += [(20 + i, f"it was Vexford who rang +49 30 55512{1:03} on day {i}") for i in range(2)]
+    docs += [(30, "the Solitaire sits by 10.77.1.9 and that is all")]
+    got = terms_of(docs + plain, spark)
+    assert all("Zorblax" in got[i] for i in range(6))
+    assert "Quimby" in got[10] and "lodger" not in got[10]
+    assert all("Vexford" in got[20 + i] for i in range(2))
+    assert got[30] == [] and not any("the" in w for w in got.values())
+
+
 def test_pii_edges(edge, none):
     got = by_id(pii.report(pii.scan_documents(edge)))
     assert sum(map(len, got.values())) == len(EDGE)

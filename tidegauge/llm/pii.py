@@ -1,16 +1,25 @@
 """Personal data: fixed patterns, and the terms that give a protected entity away.
 
 Patterns find e-mail and IP addresses, card and phone numbers. Each different value is a
-protected entity. How strongly a term beside it reveals it is estimated from the corpus: the
-pointwise mutual information of term and entity over the entity's own information,
+protected entity. How strongly a term reveals it is estimated from the corpus: the pointwise
+mutual information of term and entity over the entity's own information,
 
-    disclosure = log(N n(t,e) / n(t) n(e)) / log(N / n(e)),
+    disclosure = log(N n(t,g) / n(t) n(g)) / log(N / n(e)),
 
-with N documents, n(t) and n(e) those that hold the term or the entity, and n(t,e) those
-that hold the term beside the entity. It is 1 where the term names the entity and 0 where
-the two are independent. A term above the threshold, seen beside the entity in at least
-``SUPPORT`` documents, is generalised to its first letters, or removed if those still
-disclose as much. Only documents that hold the entity itself are changed.
+with N documents, n(t) and n(g) those that hold the term or an entity of the group, and
+n(t,g) those that hold both, wherever in the text. A group is the entity itself, or those
+that share a domain, a name part, a network, an issuer or all but the last digits of a
+number (``groups``): given the group, entity and term are taken for independent, so a group
+scores the terms of entities that are in one document. It is 1 where the term names the
+entity and 0 where the two are independent.
+
+The ratio n(t,g) / n(t) is taken as it is from ``SUPPORT`` documents on, and where the
+address itself spells the term. Below that it is the lower end (``Z`` deviations, Wilson) of
+the ratio in the other documents: one document cannot tell its entity from its other words.
+
+Only terms that stand within ``WINDOW`` words of some entity of the group are scored. One
+above the threshold is generalised to its first letters, or removed if those still disclose
+as much, beside the entity. Only documents that hold the entity itself are changed.
 """
 
 from __future__ import annotations
@@ -30,7 +39,8 @@ from tidegauge.session import settle
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 WINDOW = 8  # terms looked at on each side of an entity
-SUPPORT = 3  # documents that must hold term and entity together
+SUPPORT = 3  # documents with term and group from which their plain ratio counts
+Z = 3.0
 THRESHOLD = 0.6
 STEM = 3  # letters that a generalised term keeps
 LOG2_BITS = 24
@@ -42,6 +52,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"\w+")
+NAME = re.compile(r"[a-z]{3,}")
 
 
 def _emails(text: str):
@@ -94,6 +105,17 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}"
 
 
+def groups(name: str) -> list[str]:
+    """The entity and what it shares with others: ``entity`` names, the entity first."""
+    kind, value = name.split(":", 1)
+    if kind == "email":
+        local, _, domain = value.partition("@")
+        return [name, f"domain:{domain}", *(f"name:{x}" for x in dict.fromkeys(NAME.findall(local)))]
+    if kind == "ip":
+        return [name, f"net:{value.rpartition('.')[0]}"]
+    return [name, f"{kind}s:{value[:6] if kind == 'card' else value[:-4]}"]
+
+
 def beside(text: str, spans, window: int = WINDOW):
     """Terms within ``window`` words of each entity: ``(entity, term, start, end)``, no repeats."""
     covered = sorted((s, e) for _, s, e in spans)
@@ -117,23 +139,25 @@ def beside(text: str, spans, window: int = WINDOW):
 
 SCANNED = (
     "array<struct<kind string, start int, end int>>",
-    "array<struct<entity string, term string, start int, end int>>",
+    "array<struct<entity string, part string>>",
+    "array<struct<part string, term string>>",
 )
 
 
 def scan_column(text: Column) -> Column:
-    """``spans`` of the patterns and the terms ``near`` them."""
+    """``spans`` of the patterns, their entities' groups as ``parts``, and the terms ``near`` them."""
 
-    @F.pandas_udf(f"spans {SCANNED[0]}, near {SCANNED[1]}")
+    @F.pandas_udf(f"spans {SCANNED[0]}, parts {SCANNED[1]}, near {SCANNED[2]}")
     def scan(texts: pd.Series) -> pd.DataFrame:
-        spans, near = [], []
+        spans, parts, near = [], [], []
         for t in texts:
             got = find(t)
             spans.append([{"kind": k, "start": s, "end": e} for k, s, e in got])
-            near.append(
-                [{"entity": n, "term": w, "start": a, "end": b} for n, w, a, b in beside(t, got)] if got else []
-            )
-        return pd.DataFrame({"spans": pd.Series(spans, dtype=object), "near": pd.Series(near, dtype=object)})
+            held = {n: groups(n) for n in dict.fromkeys(entity(k, t[s:e]) for k, s, e in got)}
+            parts.append([{"entity": n, "part": g} for n, gs in held.items() for g in gs])
+            both = dict.fromkeys((g, w) for n, w, _, _ in beside(t, got) for g in held[n]) if got else ()
+            near.append([{"part": g, "term": w} for g, w in both])
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in (("spans", spans), ("parts", parts), ("near", near))})
 
     return scan(F.coalesce(text, F.lit("")))
 
@@ -143,6 +167,47 @@ def _forms(term: Column) -> Column:
     return F.array(F.concat(F.lit("w"), term), F.concat(F.lit("s"), F.substring(term, 1, STEM)))
 
 
+def forms_of(text: str) -> set[str]:
+    """``_forms`` of every word of a text."""
+    words = {w for w in WORD.findall(text.lower()) if len(w) >= STEM}
+    return {"w" + w for w in words} | {"s" + w[:STEM] for w in words}
+
+
+def together(scanned: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS) -> DataFrame:
+    """``(part, form, n)``: documents that hold a group and a form of each wanted pair.
+
+    ``wanted`` has ``part``, ``form``; a bitmap of its hashes keeps other pairs in the scan.
+    """
+    key = F.xxhash64("form").bitwiseXOR(F.xxhash64("part"))
+    bitmap = bits_of(wanted.select(key.alias("h")), "h", log2_bits)
+
+    def pairs(frames):
+        bits = np.frombuffer(bitmap, np.uint64)
+        known: dict[str, int] = {}
+        shift = np.uint64(64 - log2_bits)
+
+        def hash_of(x: str) -> int:
+            if x not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[x] = xxhash.xxh64_intdigest(x, 42)
+            return known[x]
+
+        for frame in frames:
+            for text, parts in zip(frame["text"], frame["parts"]):
+                forms = list(forms_of(text))
+                h = np.fromiter(map(hash_of, forms), np.uint64, len(forms))
+                for part in sorted({p["part"] for p in parts}):
+                    at = (h ^ np.uint64(xxhash.xxh64_intdigest(part, 42))) >> shift
+                    hit = bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+                    some = np.flatnonzero(hit)
+                    if some.size:
+                        yield pd.DataFrame({"part": part, "form": [forms[i] for i in some]})
+
+    held = scanned.filter(F.size("parts") > 0).select("text", "parts").mapInPandas(pairs, "part string, form string")
+    return held.groupBy("part", "form").agg(F.count("*").alias("n")).join(wanted, ["part", "form"], "left_semi")
+
+
 def term_counts(docs: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS) -> DataFrame:
     """``(form, n)``: documents that hold each wanted form, counted over all of them.
 
@@ -185,47 +250,56 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD
 
     ``keep`` is the first letters where they disclose less than the threshold, else empty.
     """
-    near = scanned.select(F.col("near.entity").alias("e"), "near")
-    per_doc = near.select(
-        F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))))
-    ).select("col.*")
-    pairs = settle(
-        per_doc.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support), "pairs"
+    total = docs.agg(F.count("*").alias("n")).head()["n"]
+    parts = scanned.select(F.explode("parts").alias("x")).select("x.*")
+    n_e = parts.select("entity", "part").filter("entity = part").groupBy("entity").agg(F.count("*").alias("n_e"))
+    per_doc = scanned.select(F.explode(F.array_distinct(F.transform("parts", lambda x: x["part"]))).alias("part"))
+    n_g = per_doc.groupBy("part").agg(F.count("*").alias("n_g"))
+    members = settle(parts.distinct().join(n_e, "entity").join(n_g, "part"), "members")
+    # a group says no more of an entity than its own size allows
+    info = lambda n: F.greatest(F.log(total / F.col(n)), F.lit(1e-9))
+    of_use = members.filter(F.col("n_e") < total).filter(F.log(total / F.col("n_g")) / info("n_e") >= threshold)
+    spells = F.col("part") == F.concat(F.lit("name:"), F.col("term"))
+    near = scanned.select(F.explode("near").alias("x")).select("x.*").distinct()
+    near = near.join(of_use.groupBy("part").agg(F.max("n_e").alias("most_e"), F.first("n_g").alias("n_g")), "part")
+    near = settle(near.filter((F.col("n_g") > 1) | spells), "near")
+    if not near.limit(1).count():
+        return near.select(F.col("part").alias("entity"), "term", F.lit("").alias("keep"))
+    wanted = near.select("part", F.explode(_forms(F.col("term"))).alias("form")).distinct()
+    both = settle(together(scanned, wanted), "together")
+    pairs = (
+        near.withColumns({"stem": F.substring("term", 1, STEM), "w": _forms(F.col("term"))[0], "s": _forms(F.col("term"))[1]})
+        .join(both.select("part", F.col("form").alias("w"), F.col("n").alias("both_w")), ["part", "w"])
+        .join(both.select("part", F.col("form").alias("s"), F.col("n").alias("both_s")), ["part", "s"])
     )
-    stems = (
-        near.select(
-            F.explode(
-                F.array_distinct(
-                    F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), F.substring(x["term"], 1, STEM).alias("stem")))
-                )
-            )
-        )
-        .select("col.*")
-        .groupBy("entity", "stem")
-        .agg(F.count("*").alias("stem_together"))
-    )
-    holders = near.select(F.explode(F.array_distinct("e")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = settle(pairs.filter((F.col("both_w") > 1) | spells), "pairs")
     if not pairs.limit(1).count():
-        return pairs.select("entity", "term", F.lit("").alias("keep"))
+        return pairs.select(F.col("part").alias("entity"), "term", F.lit("").alias("keep"))
     counts = settle(
-        term_counts(docs, pairs.select(F.explode(_forms(F.col("term"))).alias("form")).distinct()), "term_counts"
+        term_counts(docs, pairs.select(F.explode(F.array("w", "s")).alias("form")).distinct()), "term_counts"
     )
-    total = docs.agg(F.count("*").alias("n_docs"))
-    forms = pairs.withColumns({"stem": F.substring("term", 1, STEM), "w": _forms(F.col("term"))[0], "s": _forms(F.col("term"))[1]})
-    joined = (
-        forms.join(holders, "entity")
-        .join(stems, ["entity", "stem"])
-        .join(counts.select(F.col("form").alias("w"), F.col("n").alias("n_w")), "w")
+
+    def gain(k: str, n: str) -> Column:
+        """Information on the group; of few documents, by the others' lower end."""
+        k, n, g = F.col(k).cast("double"), F.col(n).cast("double"), F.col("n_g").cast("double")
+        rest, m = k - 1, F.greatest(n - 1, F.lit(1.0))
+        p = rest / m
+        low = (p + Z * Z / (2 * m) - Z * F.sqrt(p * (1 - p) / m + Z * Z / (4 * m * m))) / (1 + Z * Z / m)
+        few = F.when(rest > 0, F.log(low * (total - 1) / F.greatest(g - 1, F.lit(1.0)))).otherwise(F.lit(float("-inf")))
+        return F.when((k >= support) | spells, F.log(total * k / (n * g))).otherwise(few)
+
+    scored = (
+        pairs.join(counts.select(F.col("form").alias("w"), F.col("n").alias("n_w")), "w")
         .join(counts.select(F.col("form").alias("s"), F.col("n").alias("n_s")), "s")
-        .withColumn("n_docs", F.lit(total.head()[0]))
-    )
-    score = lambda both, one: F.log(F.col("n_docs") * F.col(both) / (F.col(one) * F.col("n_e"))) / F.log(
-        F.col("n_docs") / F.col("n_e")
+        .select("part", "term", "stem", "most_e", gain("both_w", "n_w").alias("gain"), gain("both_s", "n_s").alias("gain_s"))
+        .filter(F.col("gain") / info("most_e") >= threshold)
     )
-    return joined.filter("n_docs > n_e").filter(score("together", "n_w") >= threshold).select(
-        "entity",
-        "term",
-        F.when(score("stem_together", "n_s") < threshold, F.col("stem")).otherwise("").alias("keep"),
+    own = info("n_e")
+    return (
+        scored.join(of_use.select("part", "entity", "n_e"), "part")
+        .filter(F.col("gain") / own >= threshold)
+        .groupBy("entity", "term")
+        .agg(F.min(F.when(F.col("gain_s") / own < threshold, F.col("stem")).otherwise("")).alias("keep"))
     )
 
 
@@ -236,29 +310,52 @@ def scan_documents(docs: DataFrame, threshold: float = THRESHOLD, support: int =
     what may stay of each. Null texts are empty and have neither; other columns are not read.
     """
     rows = keyed(docs)
-    scanned = settle(
-        rows.select("doc_id", "text_key", scan_column(F.col("text")).alias("x")).select("doc_id", "text_key", "x.*"), "scanned"
-    )
+    found = rows.select("doc_id", "text_key", "text", scan_column(F.col("text")).alias("x")).select("doc_id", "text_key", "text", "x.*")
+    # texts without an entity are not read again
+    scanned = settle(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "scanned")
     flagged = disclosing(docs, scanned, threshold, support)
+    scanned = scanned.withColumns({"i": F.coalesce("doc_id", F.lit(0)), "no": F.col("doc_id").isNull()})
     hit = (
-        scanned.filter(F.size("near") > 0)
-        .select("doc_id", "text_key", F.explode("near").alias("x"))
-        .select("doc_id", "text_key", "x.*")
+        scanned.filter(F.size("parts") > 0)
+        .select("i", "no", "text_key", F.explode("parts").alias("x"))
+        .filter("x.entity = x.part")
+        .select("i", "no", "text_key", "x.entity")
         .distinct()
-        .join(flagged, ["entity", "term"])
-        # beside two entities, the stricter answer holds
-        .groupBy("doc_id", "text_key", "start", "end")
+        .join(flagged, "entity")
+        # of two entities, the stricter answer holds
+        .groupBy("i", "no", "text_key", "term")
         .agg(F.min("keep").alias("keep"))
-        .groupBy(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no"), "text_key")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "keep"))).alias("terms"))
+        .groupBy("i", "no", "text_key")
+        .agg(F.collect_list(F.struct("term", "keep")).alias("named"))
     )
-    return (
-        scanned.withColumns({"i": F.coalesce("doc_id", F.lit(0)), "no": F.col("doc_id").isNull()})
-        .join(hit, ["i", "no", "text_key"], "left")
-        .select("doc_id", "text_key", "spans", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,keep:string>>")).alias("terms"))
+    hit = settle(hit, "named")
+    kind = "array<struct<start:int,end:int,keep:string>>"
+
+    @F.pandas_udf(kind)
+    def places(texts: pd.Series, spans: pd.Series, named: pd.Series) -> pd.Series:
+        return pd.Series([occurrences(t, s, {x["term"]: x["keep"] for x in n}) for t, s, n in zip(texts, spans, named)], dtype=object)
+
+    joined = scanned.join(hit, ["i", "no", "text_key"], "left")
+    some = joined.filter("named is not null").select("doc_id", "text_key", "spans", places("text", "spans", "named").alias("terms"))
+    return some.unionByName(
+        joined.filter("named is null").select("doc_id", "text_key", "spans", F.array().cast(kind).alias("terms"))
     )
 
 
+def occurrences(text: str, spans, keep: dict[str, str]) -> list[dict]:
+    """Every place of the terms beside an entity of a text."""
+    covered = sorted((s["start"], s["end"]) for s in spans)
+    near = {(a, b) for _, _, a, b in beside(text, [(s["kind"], s["start"], s["end"]) for s in spans])}
+    out, i = [], 0
+    for m in WORD.finditer(text):
+        while i < len(covered) and covered[i][1] <= m.start():
+            i += 1
+        term = m[0].lower()
+        if term in keep and m.span() in near and (i == len(covered) or covered[i][0] >= m.end()):
+            out.append({"start": m.start(), "end": m.end(), "keep": keep[term]})
+    return out
+
+
 def report(found: DataFrame) -> DataFrame:
     """Counts by kind, a digest of the patterns' spans, and all spans as text."""
     spans = F.col("spans")
