@@ -706,6 +706,21 @@ def test_pii_terms_of_entities_in_few_documents(spark):
     assert got[30] == [] and not any("the" in w for w in got.values())
 
 
+def test_pii_terms_in_the_whole_text(spark):
+    plain = [(100 + i, t) for i, t in docs_of(SMALL)[:60]]
+    far = " ".join(["and so it went on"] * 8)
+    # beside the address in one document, far from it in the others
+    docs = [(0, f"ask Zorblax at boss@corp.example.com today {far} said Zorblax, zorblax")]
+    docs += [(i, f"Zorblax was heard {far} by boss@corp.example.com on day {i}") for i in range(1, 4)]
+    docs += [(9, f"an other text {far} of no address")]
+    df = spark.createDataFrame(docs + plain, "doc_id long, text string")
+    got = terms_of(docs + plain, spark)
+    assert [got[0].count("Zorblax"), got[0].count("zorblax")] == [2, 1] and got[9] == []
+    assert all("Zorblax" in got[i] for i in range(1, 4))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not any("zorblax" in clean[i].lower() for i in range(4)) and clean[9] == dict(docs)[9]
+
+
 def test_pii_edges(edge, none):
     got = by_id(pii.report(pii.scan_documents(edge)))
     assert sum(map(len, got.values())) == len(EDGE)

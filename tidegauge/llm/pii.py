@@ -19,7 +19,7 @@ the ratio in the other documents: one document cannot tell its entity from its o
 
 Only terms that stand within ``WINDOW`` words of some entity of the group are scored. One
 above the threshold is generalised to its first letters, or removed if those still disclose
-as much, beside the entity. Only documents that hold the entity itself are changed.
+as much, wherever it stands in the documents that hold the entity. No other is changed.
 """
 
 from __future__ import annotations
@@ -343,15 +343,14 @@ def scan_documents(docs: DataFrame, threshold: float = THRESHOLD, support: int =
 
 
 def occurrences(text: str, spans, keep: dict[str, str]) -> list[dict]:
-    """Every place of the terms beside an entity of a text."""
+    """Every place of the terms in a text, outside the patterns' spans."""
     covered = sorted((s["start"], s["end"]) for s in spans)
-    near = {(a, b) for _, _, a, b in beside(text, [(s["kind"], s["start"], s["end"]) for s in spans])}
     out, i = [], 0
     for m in WORD.finditer(text):
         while i < len(covered) and covered[i][1] <= m.start():
             i += 1
         term = m[0].lower()
-        if term in keep and m.span() in near and (i == len(covered) or covered[i][0] >= m.end()):
+        if term in keep and (i == len(covered) or covered[i][0] >= m.end()):
             out.append({"start": m.start(), "end": m.end(), "keep": keep[term]})
     return out
 
