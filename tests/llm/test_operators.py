@@ -115,6 +115,28 @@ def test_secrets_base_and_method(spark):
     assert got[n - 1][0]["spans"] == ""
 
 
+def test_secrets_finds_random_strings_wherever_they_stand():
+    path = secrets.tokenizer_path()
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda n, of=letters: "".join(rng.choice(list(of), n))
+
+    def hits(text, secret):
+        at = text.index(secret)
+        return any(k == "random" and a < at + len(secret) and at < b for k, a, b in secrets.find(text, path))
+
+    url = "https://www.example.com/articles/summer/holiday/pictures/"
+    cases = []
+    for _ in range(100):
+        cases += [(f"see {s} there", s) for s in (draw(20), draw(32), draw(24) + "7", draw(22, letters + "0123456789"))]
+        s = draw(24, letters + "0123456789")
+        cases += [(f"at {url}{s} now", s), (f"{'ab12' * 10}.{s}", s), (f"{url}{draw(8)}-{s[:12]}_{s[12:]}/", s[:12])]
+    assert sum(hits(t, s) for t, s in cases) >= 0.98 * len(cases)
+    plain = [url + "index.html", "src/main/java/com/example/Application2", "AbstractSingletonProxyFactoryBean internationalization"]
+    plain += ["=" * 60, "-" * 60, "/img/123E4567-E89B-12D3-A456-426614174000/D41D8CD98F00B204E9800998ECF8427E"]
+    assert not [t for t in plain if secrets.find(t, path)]
+
+
 def test_secrets_edges(edge, none):
     got = by_id(secrets.report(secrets.scan_documents(edge)))
     assert sum(map(len, got.values())) == len(EDGE)

@@ -1,8 +1,11 @@
 """Secret scan: fixed patterns, and random strings that a tokenizer cannot shorten.
 
 A byte-pair vocabulary is learnt from written text, so words take few tokens and random
-strings take many. Runs of code characters with few characters per token are reported,
-unless they are a known digest or identifier. Every whole text is scanned; null is empty.
+strings take many. Runs of code characters are cut at the fixed patterns' spans, at known
+digests and at UUIDs; what is left is reported if it has few characters per token, as a
+whole, by the parts between separators, or by a stretch of a long one. Words and numbers
+joined by separators are judged by their longer words alone. Every whole text is scanned;
+null is empty.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ SPANS = "array<struct<kind string, start int, end int>>"
 TOKENIZER = "byte_bpe_50k.tiktoken"
 MIN_LENGTH = 20
 MAX_RATIO = 2.2  # characters a token
+LONG = 2 * MIN_LENGTH  # of a run that is searched for a random stretch
+WORDY = 6  # letters of a joined word that is judged
 
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -34,6 +39,9 @@ WORDS = ("passw", "secret", "token", "api")
 # digests by length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and identifiers
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+KNOWN = re.compile(f"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9+_]+")
+PLAIN = re.compile(r"[A-Za-z]*[0-9]*")
 DOTTED = re.compile(r"[A-Za-z]+[0-9]*(?:[._/-]+[A-Za-z]+[0-9]*)*|[0-9]+(?:[._/-]+[0-9]+)*")
 
 
@@ -61,9 +69,86 @@ def chars_per_token(run: str, path: str) -> float:
     return len(run) / sum(len(encode(run[i : i + 1000])) for i in range(0, len(run), 1000))
 
 
-def is_known(run: str) -> bool:
-    """A digest, a UUID, or words and numbers joined by separators."""
-    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or DOTTED.fullmatch(run))
+def random_stretch(run: str, path: str, max_ratio: float) -> tuple[int, int] | None:
+    """The stretch of at least ``MIN_LENGTH`` characters that most exceeds the tokens allowed."""
+    encoding = _encoding(path)
+    sizes = [
+        len(b)
+        for i in range(0, len(run), 1000)
+        for b in encoding.decode_tokens_bytes(encoding.encode_ordinary(run[i : i + 1000]))
+    ]
+    best, low, low_at = 0.0, 0.0, 0
+    ends, total, sums, first = [0], 0.0, [0.0], 0
+    found = None
+    for size in sizes:
+        total += max_ratio - size
+        ends.append(ends[-1] + size)
+        sums.append(total)
+        while ends[-1] - ends[first] >= MIN_LENGTH:
+            if first == 0 or sums[first] < low:
+                low, low_at = sums[first], first
+            first += 1
+        if first and total - low > best:
+            best, found = total - low, (ends[low_at], ends[-1])
+    return found
+
+
+def is_random(run: str, path: str, max_ratio: float) -> bool:
+    """Whether a whole run is long enough and takes many tokens for its length."""
+    if len(run) < MIN_LENGTH:
+        return False
+    parts = PART.findall(run)
+    if len(parts) > 1 and DOTTED.fullmatch(run):
+        words = [p for p in parts if len(p) >= WORDY and not p.isdigit()]
+        return sum(map(len, words)) >= MIN_LENGTH and sum(map(len, words)) < max_ratio * sum(
+            len(p) / chars_per_token(p, path) for p in words
+        )
+    return chars_per_token(run, path) < max_ratio
+
+
+def random_spans(run: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
+    """Spans of a run that read as random: the whole, else its parts, else stretches."""
+    kept = run.strip("./-=")
+    if len(kept) < MIN_LENGTH:
+        return []
+    at = run.index(kept)
+    if is_random(kept, path, max_ratio):
+        return [(at, at + len(kept))]
+    spans = [m.span() for m in PART.finditer(run) if is_random(m[0], path, max_ratio)]
+    out, todo = list(spans), _between(0, len(run), spans)
+    while todo:
+        start, end = todo.pop()
+        if end - start < LONG:
+            continue
+        got = random_stretch(run[start:end], path, max_ratio)
+        if not got:
+            continue
+        a, b = start + got[0], start + got[1]
+        parts = PART.findall(run[a:b])
+        # plain words and numbers that separators alone make long are none
+        if len(parts) == 1 or not all(PLAIN.fullmatch(p) for p in parts):
+            out.append((a, b))
+        todo += [(start, a), (b, end)]
+    return sorted(out)
+
+
+def _between(start: int, end: int, spans) -> list[tuple[int, int]]:
+    """What sorted spans leave of a range."""
+    out = []
+    for a, b in spans:
+        if b > start and a < end:
+            out.append((start, a))
+            start = max(start, b)
+    return [(a, b) for a, b in [*out, (start, end)] if a < b]
+
+
+def _overlapping(taken, at: int, end: int) -> list[tuple[int, int]]:
+    """Sorted spans from ``at`` on that start before ``end``."""
+    out = []
+    while at < len(taken) and taken[at][0] < end:
+        out.append(taken[at])
+        at += 1
+    return out
 
 
 def find(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
@@ -79,18 +164,12 @@ def find(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[str,
         taken = sorted((s, e) for _, s, e in out)
         at = 0
         for m in RUN.finditer(text):
-            run = m[0].strip("./-")
-            start = m.start() + m[0].index(run) if run else m.start()
-            end = start + len(run)
-            while at < len(taken) and taken[at][1] <= start:
+            while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
-            if at < len(taken) and taken[at][0] < end:
-                continue
-            mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-            if len(run) < MIN_LENGTH or not mixed or is_known(run):
-                continue
-            if chars_per_token(run, path) < max_ratio:
-                out.append(("random", start, end))
+            cuts = [m.start() + c for k in KNOWN.finditer(m[0]) for c in k.span()]
+            cuts = sorted([*zip(cuts[::2], cuts[1::2]), *_overlapping(taken, at, m.end())])
+            for a, b in _between(*m.span(), cuts):
+                out += [("random", a + x, a + y) for x, y in random_spans(text[a:b], path, max_ratio)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
