@@ -297,6 +297,18 @@ def test_decontamination_finds_replaced_tokens_anywhere(spark):
         assert 5 * r["matched"] >= 4 * r["length"] and r["length"] >= min(13, r["item_id"])
 
 
+def test_decontamination_of_short_items_and_rows_without_id(spark, tmp_path):
+    item = "seven words that nobody else would write"
+    bench = [(1, "Blue-green kelpie"), (2, "xylograph"), (3, item), (4, ""), (None, "kelpie sat")]
+    docs = [(1, "a blue green KELPIE sat"), (2, "a blue kelpie green"), (3, "one xylograph, xylograph"), (4, "none"), (None, f"so {item} here"), (None, "xylograph"), (None, "free"), (0, "free")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {tuple(r) for r in queries.op3_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 1, 3, 3), (3, 2, 1, 1, 1), (None, 3, 1, 7, 7), (None, 2, 0, 1, 1)}
+    kept = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {tuple(r) for r in kept.collect()} == {docs[1], docs[3], docs[6], docs[7]}
+
+
 def test_decontamination_edges(spark, edge, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(edge, bench).count() == 0

@@ -7,7 +7,8 @@ by token along the hit's diagonal, and any stretch counts that is long enough an
 least ``PER_OTHER`` equal tokens for each other one.
 
 The seeds of weight 5 hit every such stretch of 11 tokens or more. Whole items of 5 to 10
-tokens need the seeds of weight 4, which are used only if the benchmark has such items.
+tokens need the seeds of weight 4, which are used only if the benchmark has such items. Of
+fewer than five tokens all have to be equal, so those items are found by their whole hash.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ SEEDS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 1, 2, 5, 7), (0, 2, 3, 6, 7), (0,
 # of items of 5 to 10 tokens: a window of five with any one token replaced
 SHORT_SEEDS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 SHORT = 10
+WHOLE = 5  # shorter items are looked for as they are
 MIN_TOKENS = 13  # of an overlap; a shorter item has to match as a whole
 PER_OTHER = 4  # equal tokens for one that is not: four fifths are equal
 LOG2_BITS = 24
 
+# a row's id, zero if it has none, and whether it has none
+ROW = "i long, no boolean, text_key long"
 WORD = re.compile(r"\w+")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 SHORT_ODD = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -67,7 +71,8 @@ def tokens_of(text: str, hashes: WordHashes) -> np.ndarray:
 def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items as token hashes, and their windows' hashes with item and place.
 
-    Items of fewer than five tokens are left out: they have no window.
+    Items of fewer than ``WHOLE`` tokens are among the items but have no window; those of
+    none are left out.
     """
 
     def read(frames):
@@ -79,7 +84,7 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = settle(
         benchmark.select("item_id", text_or_empty().alias("text"))
         .mapInPandas(read, "item_id long, tokens array<long>")
-        .filter(F.size("tokens") >= 5)
+        .filter(F.size("tokens") > 0)
         .distinct(),
         "items",
     )
@@ -91,12 +96,13 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for h in _all_hashes(t, len(t) <= SHORT):
                     yield pd.DataFrame({"h": h.view(np.int64), "item_id": item, "place": np.arange(len(h))})
 
-    index = items.dropna(subset=["item_id"]).mapInPandas(windows, "h long, item_id long, place int")
+    long = items.dropna(subset=["item_id"]).filter(F.size("tokens") >= WHOLE)
+    index = long.mapInPandas(windows, "h long, item_id long, place int")
     return items, settle(index.dropDuplicates(), "index")
 
 
-def regions(docs: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits: int = LOG2_BITS) -> DataFrame:
-    """Stretches of documents around windows whose hash may be in the benchmark.
+def regions(rows: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits: int = LOG2_BITS) -> DataFrame:
+    """Stretches of ``rows`` (``ROW`` and ``text``) around windows whose hash may be in the benchmark.
 
     ``start`` and ``tokens`` of the stretch, and its hits as ``(h, place)``. Two bits of a
     bitmap of fixed size are asked for each hash; the join that follows is exact. ``short``
@@ -146,18 +152,62 @@ def regions(docs: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits:
                     b = min(int(p[-1]) + margin + 1, int(begin[d] + sizes[d]))
                     out.append(
                         (
-                            frame["doc_id"].iloc[lo + d],
+                            frame["i"].iloc[lo + d],
+                            frame["no"].iloc[lo + d],
                             frame["text_key"].iloc[lo + d],
                             a - int(begin[d]),
                             flat[a:b].view(np.int64),
                             [{"h": x, "place": y} for x, y in zip(hs.view(np.int64).tolist(), (p - a).tolist())],
                         )
                     )
-                yield pd.DataFrame(out, columns=["doc_id", "text_key", "start", "tokens", "hits"])
+                yield pd.DataFrame(out, columns=["i", "no", "text_key", "start", "tokens", "hits"])
 
-    rows = docs.filter("doc_id is not null").select("doc_id", text_key().alias("text_key"), text_or_empty().alias("text"))
     return rows.mapInPandas(
-        scan, "doc_id long, text_key long, start int, tokens array<long>, hits array<struct<h long, place int>>"
+        scan, f"{ROW}, start int, tokens array<long>, hits array<struct<h long, place int>>"
+    )
+
+
+def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of ``size`` adjacent tokens."""
+    n = len(tokens) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.full(n, np.uint64(size) * ODD[-1])
+    for place in range(size):
+        total += tokens[place : place + n] * ODD[place]
+    return _mix(total)
+
+
+def whole_items(rows: DataFrame, items: DataFrame, log2_bits: int = LOG2_BITS) -> DataFrame:
+    """First place of each item of fewer than ``WHOLE`` tokens in each row: as ``overlaps``."""
+
+    def hashed(frames):
+        for frame in frames:
+            made = [int(window_hashes(np.asarray(t, np.int64).view(np.uint64), len(t)).view(np.int64)[0]) for t in frame["tokens"]]
+            yield pd.DataFrame({"item_id": frame["item_id"], "h": made, "length": [len(t) for t in frame["tokens"]]})
+
+    wanted = settle(items.mapInPandas(hashed, "item_id long, h long, length int"), "whole")
+    bitmap = bits_of(wanted, "h", log2_bits)
+    sizes = sorted(r["length"] for r in wanted.select("length").distinct().collect())
+
+    def scan(frames):
+        known = WordHashes()
+        bits = np.frombuffer(bitmap, np.uint64)
+        for frame in frames:
+            for i, no, key, text in frame.itertuples(index=False, name=None):
+                tokens = tokens_of(text, known)
+                for size in sizes:
+                    h, first = np.unique(window_hashes(tokens, size), return_index=True)
+                    at = h >> np.uint64(64 - log2_bits)
+                    hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    if hit.any():
+                        yield pd.DataFrame(
+                            {"i": i, "no": no, "text_key": key, "h": h[hit].view(np.int64), "length": size, "start": first[hit]}
+                        )
+
+    found = rows.mapInPandas(scan, f"{ROW}, h long, length int, start int").distinct()
+    return found.join(wanted, ["h", "length"]).select(
+        "i", "no", "text_key", "item_id", "start", "length", F.col("length").alias("matched")
     )
 
 
@@ -183,19 +233,26 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, min_tokens: int
     return start + lo + shift, end - start, int(same[start:end].sum())
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, unnamed: bool = False) -> DataFrame:
     """``(doc_id, text_key, item_id)`` with the best overlap: ``start``, ``length``, ``matched``.
 
-    ``start`` counts tokens. Rows without an id, and items without an id or with fewer than
-    five tokens, have no overlap; null texts are empty; other columns are not read.
+    ``start`` counts tokens. Rows without an id are looked at only if ``unnamed``; items
+    without an id have no overlap; null texts are empty; other columns are not read.
     """
     items, index = benchmark_index(benchmark)
-    sizes = items.agg(F.max(F.size("tokens")).alias("most"), F.min(F.size("tokens")).alias("least")).head()
+    rows = (docs if unnamed else docs.filter("doc_id is not null")).select(
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"),
+        F.col("doc_id").isNull().alias("no"),
+        text_key().alias("text_key"),
+        text_or_empty().alias("text"),
+    )
+    few = items.dropna(subset=["item_id"]).filter(F.size("tokens") < WHOLE)
+    sizes = items.filter(F.size("tokens") >= WHOLE).agg(F.max(F.size("tokens")).alias("most"), F.min(F.size("tokens")).alias("least")).head()
     size, short = sizes["most"] or 0, (sizes["least"] or SHORT + 1) <= SHORT
     both = index.select("h").union(index.select(_mixed("h").alias("h")))
     bitmap = bits_of(both, "h", LOG2_BITS)
-    found = settle(regions(docs, bitmap, max(size, SEEDS[-1][-1] + 1), short), "regions")
-    one = ["doc_id", "text_key", "start"]
+    found = settle(regions(rows, bitmap, max(size, SEEDS[-1][-1] + 1), short), "regions")
+    one = ["i", "no", "text_key", "start"]
     hits = found.select(*one, F.explode("hits").alias("x")).select(*one, "x.h", "x.place")
     lined = (
         hits.join(index.withColumnRenamed("place", "item_place"), "h")
@@ -213,10 +270,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS
         .join(items.select("item_id", F.col("tokens").alias("item")), "item_id")
         .select(*one, "item_id", verify("tokens", "item", "shift").alias("v"))
     )
-    good = compared.filter("v.length > 0")
-    best = F.max(F.struct("v.matched", -(F.col("start") + F.col("v.start")), "v.length")).alias("b")
-    return good.groupBy("doc_id", "text_key", "item_id").agg(best).select(
-        "doc_id", "text_key", "item_id", (-F.col("b.col2")).alias("start"), F.col("b.length").alias("length"), F.col("b.matched").alias("matched")
+    good = compared.filter("v.length > 0").select(
+        "i", "no", "text_key", "item_id", (F.col("start") + F.col("v.start")).alias("start"), "v.length", "v.matched"
+    )
+    if few.limit(1).count():
+        good = good.unionByName(whole_items(rows, few))
+    best = F.max(F.struct("matched", -F.col("start"), "length")).alias("b")
+    return good.groupBy("i", "no", "text_key", "item_id").agg(best).select(
+        F.when(~F.col("no"), F.col("i")).alias("doc_id"),
+        "text_key",
+        "item_id",
+        (-F.col("b.col2")).alias("start"),
+        F.col("b.length").alias("length"),
+        F.col("b.matched").alias("matched"),
     )
 
 
@@ -230,11 +296,16 @@ def _mixed(column: str):
     return mixed(column)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """The rows of ``docs`` that share no overlap with the benchmark, columns as they are."""
-    leaked = settle(overlaps(docs, benchmark, min_tokens).select("doc_id", "text_key").distinct(), "leaked")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, unnamed: bool = False
+) -> DataFrame:
+    """The rows of ``docs`` that share no overlap with the benchmark, columns as they are.
+
+    Rows without an id all stay unless ``unnamed``.
+    """
+    leaked = settle(overlaps(docs, benchmark, min_tokens, unnamed).select("doc_id", "text_key").distinct(), "leaked")
     key, one = fresh(docs.columns, "_key", "_leaked_id")
     leaked = leaked.select(F.col("doc_id").alias(one), F.col("text_key").alias(key))
     tagged = docs.withColumn(key + "_own", text_key())
-    kept = tagged.join(leaked, (tagged["doc_id"] == leaked[one]) & (tagged[key + "_own"] == leaked[key]), "left_anti")
+    kept = tagged.join(leaked, tagged["doc_id"].eqNullSafe(leaked[one]) & (tagged[key + "_own"] == leaked[key]), "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
