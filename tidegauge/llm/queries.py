@@ -9,12 +9,15 @@ from tidegauge.llm import (
     decontaminate,
     minhash,
     packing,
+    piecewise,
     pii,
     secrets,
     sharding,
     simhash,
     suffix,
     toxicity,
+    turntrie,
+    variants,
     warc,
 )
 from tidegauge.llm.common import table
@@ -66,6 +69,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.scan_documents(table(spark, sf_dir, "documents")))
 
 
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +94,9 @@ QUERIES = {
         op8_sharding,
         op9_fingerprints,
         op10_pii,
+        op11_piece_encoding,
+        op12_spelling_variants,
+        op13_prefix_trie,
     )
 }
 
