@@ -6,14 +6,24 @@ then get the same answer, and rows that share an id but not a text keep their ow
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8 << 20  # of rows that a Python worker gets at a time
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Its session hands rows to Python in batches of ``BATCH_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,20 +75,67 @@ def chunks(texts, most_bytes: int = 2_000_000):
         yield start, len(texts)
 
 
-class WordHashes(dict):
-    """Word to its 64-bit hash, kept while there are fewer than ``most`` words."""
+_kept: dict[str, dict] = {}
+
+
+def trim() -> None:
+    """Give memory that Python and Arrow hold without need back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def worker_memory(owner: str) -> dict:
+    """What one operator remembers in this Python worker from task to task.
+
+    Workers serve one operator after the other; what the others remember is dropped.
+    """
+    others = [o for o in _kept if o != owner]
+    for other in others:
+        del _kept[other]
+    if others:
+        trim()
+    return _kept.setdefault(owner, {})
+
+
+def tidy(run):
+    """A function of batches that begins without other operators' memory and leaves none."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        worker_memory("")
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
+class Remembered(dict):
+    """A dictionary of words that is emptied when its words exceed ``most_bytes``."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most_bytes: int = 40_000_000, each: int = 180):
         super().__init__()
-        self.most = most
+        self.most_bytes, self.each, self.held = most_bytes, each, 0
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
+    def keep(self, word, value, size: int = 0):
+        """Remember the value, which is returned; an entry counts ``each`` bytes, its word's and ``size``."""
+        self.held += self.each + len(word) + size
+        if self.held > self.most_bytes:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+            self.held = self.each + len(word) + size
+        self[word] = value
         return value
 
 
+class WordHashes(Remembered):
+    """Word to its 64-bit hash."""
+
+    def __missing__(self, word: str) -> int:
+        return self.keep(word, xxhash.xxh64_intdigest(word))
+
+
 def bits_of(hashes: DataFrame, column: str, log2_bits: int) -> bytes:
     """A bitmap of ``2 ** log2_bits`` bits with the top bits of each hash set.
 

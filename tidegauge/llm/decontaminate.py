@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WordHashes, bits_of, chunks, fresh, text_key, text_or_empty
+from tidegauge.llm.common import WordHashes, bits_of, chunks, fresh, text_key, text_or_empty, tidy
 from tidegauge.session import settle
 
 # places that count, five of each window; the first seed has no gaps
@@ -83,7 +83,7 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     items = settle(
         benchmark.select("item_id", text_or_empty().alias("text"))
-        .mapInPandas(read, "item_id long, tokens array<long>")
+        .mapInPandas(tidy(read), "item_id long, tokens array<long>")
         .filter(F.size("tokens") > 0)
         .distinct(),
         "items",
@@ -97,7 +97,7 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield pd.DataFrame({"h": h.view(np.int64), "item_id": item, "place": np.arange(len(h))})
 
     long = items.dropna(subset=["item_id"]).filter(F.size("tokens") >= WHOLE)
-    index = long.mapInPandas(windows, "h long, item_id long, place int")
+    index = long.mapInPandas(tidy(windows), "h long, item_id long, place int")
     return items, settle(index.dropDuplicates(), "index")
 
 
@@ -163,7 +163,7 @@ def regions(rows: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits:
                 yield pd.DataFrame(out, columns=["i", "no", "text_key", "start", "tokens", "hits"])
 
     return rows.mapInPandas(
-        scan, f"{ROW}, start int, tokens array<long>, hits array<struct<h long, place int>>"
+        tidy(scan), f"{ROW}, start int, tokens array<long>, hits array<struct<h long, place int>>"
     )
 
 
@@ -186,7 +186,7 @@ def whole_items(rows: DataFrame, items: DataFrame, log2_bits: int = LOG2_BITS) -
             made = [int(window_hashes(np.asarray(t, np.int64).view(np.uint64), len(t)).view(np.int64)[0]) for t in frame["tokens"]]
             yield pd.DataFrame({"item_id": frame["item_id"], "h": made, "length": [len(t) for t in frame["tokens"]]})
 
-    wanted = settle(items.mapInPandas(hashed, "item_id long, h long, length int"), "whole")
+    wanted = settle(items.mapInPandas(tidy(hashed), "item_id long, h long, length int"), "whole")
     bitmap = bits_of(wanted, "h", log2_bits)
     sizes = sorted(r["length"] for r in wanted.select("length").distinct().collect())
 
@@ -205,7 +205,7 @@ def whole_items(rows: DataFrame, items: DataFrame, log2_bits: int = LOG2_BITS) -
                             {"i": i, "no": no, "text_key": key, "h": h[hit].view(np.int64), "length": size, "start": first[hit]}
                         )
 
-    found = rows.mapInPandas(scan, f"{ROW}, h long, length int, start int").distinct()
+    found = rows.mapInPandas(tidy(scan), f"{ROW}, h long, length int, start int").distinct()
     return found.join(wanted, ["h", "length"]).select(
         "i", "no", "text_key", "item_id", "start", "length", F.col("length").alias("matched")
     )

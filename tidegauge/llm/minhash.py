@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WordHashes, text_key, text_or_empty
+from tidegauge.llm.common import WordHashes, text_key, text_or_empty, tidy
 
 SHINGLE = 5
 LOG2_BINS = 9
@@ -177,4 +177,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         got["doc_id"] = got["doc_id"].astype("Int64")
         return got
 
-    return in_order(docs, parts).mapInPandas(walk, RESULT)
+    return in_order(docs, parts).mapInPandas(tidy(walk), RESULT)

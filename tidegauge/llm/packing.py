@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import text_or_empty
+from tidegauge.llm.common import text_or_empty, worker_memory
 from tidegauge.session import settle
 
 CAPACITY = 4096
@@ -28,7 +28,7 @@ GRAIN = 8
 END_ID = 2
 GAP = 1e-3  # the linear program stops this close to its bound
 POOL = 16  # patterns priced by one dynamic program
-MOST_WORDS = 600_000  # words a Python worker remembers
+KNOWN_BYTES = 90_000_000  # of words a Python worker remembers
 BUCKET = 10_000  # pieces of one class that are ranked together
 
 EDGE = re.compile(rb"(?<=[a-z])(?=[.,][\x20\n])")
@@ -40,7 +40,7 @@ PART = re.compile(rf"[{LETTERS}]+|[0-9]|[!-&(-/:;=>?@\[-`{{-~]+")
 
 @functools.cache
 def _tokenizer(path: str):
-    """The tokenizer, its merges alone, how letters are spelled for them, and the words met so far."""
+    """The tokenizer, its merges alone and how letters are spelled for them."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,7 +50,7 @@ def _tokenizer(path: str):
     bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     letters = [c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c)]
     spelling = {ord(c): bytewise.pre_tokenize_str(c.lower())[0][0] for c in letters}
-    return tokenizer, tokenizer.model, spelling, {}
+    return tokenizer, tokenizer.model, spelling
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -67,7 +67,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     merges; the others are encoded in one call. Texts that hold ``<|`` keep their case,
     because special tokens are read from the raw text.
     """
-    tokenizer, merges, spelling, known = _tokenizer(path)
+    tokenizer, merges, spelling = _tokenizer(path)
+    memory = worker_memory(f"packing {path}")
+    known, held = memory.setdefault("words", {}), memory.get("bytes", 0)
     split = []
     for text in texts:
         raw = text.encode()
@@ -76,9 +78,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         split.append(raw.split())
     met = set().union(*split)
     new = met.difference(known)
-    if len(known) + len(new) > MOST_WORDS:
+    if held > KNOWN_BYTES:
         known.clear()
-        new = met
+        new, held = met, 0
     others = []
     for word in new:
         plain = word.decode()
@@ -99,6 +101,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         cuts = np.searchsorted(owner, np.arange(len(part) + 1))
         for j, word in enumerate(part):
             known[word] = ids[cuts[j] : cuts[j + 1]].tobytes()
+    memory["bytes"] = held + sum(170 + len(w) + len(known[w]) for w in new)
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

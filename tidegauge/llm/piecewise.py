@@ -11,7 +11,6 @@ looked up. Only byte-pair models with the identity normaliser are taken; others
 from __future__ import annotations
 
 import codecs
-import functools
 import hashlib
 import re
 
@@ -19,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegauge.llm.common import chunks, text_or_empty
+from tidegauge.llm.common import chunks, text_or_empty, worker_memory
 
 MARK = "▁"  # stands for a space
 NONE = np.iinfo(np.int32).max  # rank of a pair that does not merge
@@ -327,9 +326,11 @@ class Encoder:
         return gather(self.ids, self.begin[which], count), run[ends] - run[ends - sizes]
 
 
-@functools.cache
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    memory = worker_memory("pieces")
+    if path not in memory:
+        memory[path] = Encoder(path)
+    return memory[path]
 
 
 def parts(text: str, most: int = PART):

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bits_of, fresh, keyed, spans_text, text_key, text_or_empty
+from tidegauge.llm.common import Remembered, bits_of, fresh, keyed, spans_text, text_key, text_or_empty, tidy
 from tidegauge.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -148,16 +149,18 @@ def scan_column(text: Column) -> Column:
     """``spans`` of the patterns, their entities' groups as ``parts``, and the terms ``near`` them."""
 
     @F.pandas_udf(f"spans {SCANNED[0]}, parts {SCANNED[1]}, near {SCANNED[2]}")
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        spans, parts, near = [], [], []
-        for t in texts:
-            got = find(t)
-            spans.append([{"kind": k, "start": s, "end": e} for k, s, e in got])
-            held = {n: groups(n) for n in dict.fromkeys(entity(k, t[s:e]) for k, s, e in got)}
-            parts.append([{"entity": n, "part": g} for n, gs in held.items() for g in gs])
-            both = dict.fromkeys((g, w) for n, w, _, _ in beside(t, got) for g in held[n]) if got else ()
-            near.append([{"part": g, "term": w} for g, w in both])
-        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in (("spans", spans), ("parts", parts), ("near", near))})
+    @tidy
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            spans, parts, near = [], [], []
+            for t in texts:
+                got = find(t)
+                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in got])
+                held = {n: groups(n) for n in dict.fromkeys(entity(k, t[s:e]) for k, s, e in got)}
+                parts.append([{"entity": n, "part": g} for n, gs in held.items() for g in gs])
+                both = dict.fromkeys((g, w) for n, w, _, _ in beside(t, got) for g in held[n]) if got else ()
+                near.append([{"part": g, "term": w} for g, w in both])
+            yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in (("spans", spans), ("parts", parts), ("near", near))})
 
     return scan(F.coalesce(text, F.lit("")))
 
@@ -183,15 +186,12 @@ def together(scanned: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS)
 
     def pairs(frames):
         bits = np.frombuffer(bitmap, np.uint64)
-        known: dict[str, int] = {}
+        known = Remembered()
         shift = np.uint64(64 - log2_bits)
 
         def hash_of(x: str) -> int:
-            if x not in known:
-                if len(known) > 500_000:
-                    known.clear()
-                known[x] = xxhash.xxh64_intdigest(x, 42)
-            return known[x]
+            got = known.get(x)
+            return known.keep(x, xxhash.xxh64_intdigest(x, 42)) if got is None else got
 
         for frame in frames:
             for text, parts in zip(frame["text"], frame["parts"]):
@@ -204,7 +204,7 @@ def together(scanned: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS)
                     if some.size:
                         yield pd.DataFrame({"part": part, "form": [forms[i] for i in some]})
 
-    held = scanned.filter(F.size("parts") > 0).select("text", "parts").mapInPandas(pairs, "part string, form string")
+    held = scanned.filter(F.size("parts") > 0).select("text", "parts").mapInPandas(tidy(pairs), "part string, form string")
     return held.groupBy("part", "form").agg(F.count("*").alias("n")).join(wanted, ["part", "form"], "left_semi")
 
 
@@ -218,7 +218,7 @@ def term_counts(docs: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS)
 
     def count(frames):
         bits = np.frombuffer(bitmap, np.uint64)
-        hits: dict[str, tuple[str, ...]] = {}
+        hits = Remembered()
 
         def in_set(form: str) -> bool:
             place = xxhash.xxh64_intdigest(form, 42) >> (64 - log2_bits)
@@ -231,17 +231,16 @@ def term_counts(docs: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS)
                 for word in set(WORD.findall(text.lower())):
                     got = hits.get(word)
                     if got is None:
-                        if len(hits) > 500_000:
-                            hits.clear()
                         both = ("w" + word, "s" + word[:STEM]) if len(word) >= STEM else ()
-                        got = hits[word] = tuple(f for f in both if in_set(f))
+                        got = tuple(f for f in both if in_set(f))
+                        hits.keep(word, got, sum(map(len, got)) + 100 * len(got))
                     if got:
                         forms.update(got)
                 seen.update(forms)
             if seen:
                 yield pd.DataFrame({"form": list(seen), "n": list(seen.values())})
 
-    counted = docs.select(text_or_empty().alias("text")).mapInPandas(count, "form string, n long")
+    counted = docs.select(text_or_empty().alias("text")).mapInPandas(tidy(count), "form string, n long")
     return counted.groupBy("form").agg(F.sum("n").alias("n")).join(wanted, "form", "left_semi")
 
 

@@ -15,6 +15,7 @@ for one task is cut into parts, and every pair of parts becomes a group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import fresh, text_key, text_or_empty
+from tidegauge.llm.common import fresh, text_key, text_or_empty, tidy
 from tidegauge.llm.components import components
 from tidegauge.session import settle
 
@@ -67,8 +68,10 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed 64-bit number."""
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+    @tidy
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -189,7 +192,7 @@ def links(prints: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFram
         for a, b in _group_links(rest_g, rest_f, radius):
             yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return grouped.repartition("g").sortWithinPartitions("g").mapInPandas(compare, "a long, b long")
+    return grouped.repartition("g").sortWithinPartitions("g").mapInPandas(tidy(compare), "a long, b long")
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -13,6 +13,7 @@ whole text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import text_or_empty
+from tidegauge.llm.common import Remembered, text_or_empty, tidy
 from tidegauge.session import settle
 
 # category and its definition over the label columns, in chain order
@@ -164,8 +165,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cate
     chosen = chosen.dropDuplicates(["doc_id"])
 
     @F.pandas_udf("array<long>")
-    def terms(texts: pd.Series) -> pd.Series:
-        return pd.Series([term_hashes(t) for t in texts], dtype=object)
+    @tidy
+    def terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([term_hashes(t) for t in texts], dtype=object)
 
     # the chosen ids are at most 2 * sample rows
     picked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -210,24 +213,24 @@ def probabilities(text: Column, chain: Chain) -> Column:
     fields = ", ".join(f"{n} double" for n in chain.names)
 
     @F.pandas_udf(fields)
-    def score(texts: pd.Series) -> pd.DataFrame:
+    @tidy
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = {int(h): i for i, h in enumerate(chain.hashes.view(np.uint64))}
-        words: dict[str, tuple[int, ...]] = {}
-        sums = np.zeros((len(texts), len(chain.names)))
-        for r, text in enumerate(texts):
-            found = set()
-            for word in set(text.lower().split()):
-                got = words.get(word)
-                if got is None:
-                    if len(words) > 500_000:
-                        words.clear()
-                    ids = (known.get(xxhash.xxh64_intdigest(t)) for t in terms_of(word))
-                    got = words[word] = tuple(i for i in ids if i is not None)
-                if got:
-                    found.update(got)
-            if found:
-                sums[r] = chain.weights[sorted(found)].sum(axis=0)
-        return pd.DataFrame(chain.score(sums), columns=list(chain.names))
+        words = Remembered()
+        for texts in batches:
+            sums = np.zeros((len(texts), len(chain.names)))
+            for r, text in enumerate(texts):
+                found = set()
+                for word in set(text.lower().split()):
+                    got = words.get(word)
+                    if got is None:
+                        ids = (known.get(xxhash.xxh64_intdigest(t)) for t in terms_of(word))
+                        got = words.keep(word, tuple(i for i in ids if i is not None))
+                    if got:
+                        found.update(got)
+                if found:
+                    sums[r] = chain.weights[sorted(found)].sum(axis=0)
+            yield pd.DataFrame(chain.score(sums), columns=list(chain.names))
 
     return score(F.coalesce(text, F.lit("")))
 
