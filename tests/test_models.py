@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.dates import MONTH_NAMES
 from tidegauge.functions.power import yeo_johnson, yeo_johnson_inverse
-from tidegauge.operators import forecast, models, panel, power
+from tidegauge.operators import forecast, models, moments, panel, power, rounds
 from tidegauge.plans import outlook
 
 BY = ["target_id"]
@@ -255,3 +255,125 @@ def test_fit_and_forecast_many_targets(spark):
         want = np.where(v >= 0, up, down)
         rows = got.filter((F.col("target_id") == t) & (F.col("tipo") == "Ridge")).orderBy("step").collect()
         assert np.allclose([r.valor for r in rows], want, atol=1e-6)
+
+
+# moments, proofs and rounds -------------------------------------------------------------
+
+
+def test_moments_of_blocks_merge_without_cancellation():
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(4000, 3)) + np.array([1e8, -1e8, 0.0])
+    weight = rng.uniform(0.5, 2.0, 4000)
+    blocks = [
+        moments.batch_blocks(values[a : a + 100], weight[a : a + 100], np.zeros(100, int), 1)[0] for a in range(0, 4000, 100)
+    ]
+    got = moments.merged(np.stack(blocks), 3)
+    mean = np.average(values.astype(np.longdouble), axis=0, weights=weight.astype(np.longdouble))
+    away = values - mean
+    want = ((weight[:, None] * away).T @ away).astype(float)
+    assert got[0] == 4000 and got[1] == pytest.approx(weight.sum())
+    assert np.allclose(moments.full_matrix(got[None], 3)[0], want, rtol=1e-8, atol=1e-4)  # raw sums would be off by thousands
+
+
+def test_moments_of_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(moments, "HELD_KEYS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 7 == 0 else f"k{i % 11}", float(rng.normal()), None if i % 13 == 0 else float(rng.normal())) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(5)
+    got = {r.k: moments.merged(np.reshape(r.blocks, (-1, 7)), 2) for r in moments.moments(df, ["k"], ["a", "b"]).collect()}
+    pdf = df.toPandas().dropna(subset=["a", "b"])
+    assert set(got) == set(pdf["k"])
+    for key, block in got.items():
+        own = pdf[pdf["k"].isna() if key is None else pdf["k"] == key][["a", "b"]].to_numpy()
+        away = own - own.mean(0)
+        assert block[0] == len(own) and np.allclose(block[2:4], own.mean(0))
+        assert np.allclose(block[4:], [away[:, 0] @ away[:, 0], away[:, 0] @ away[:, 1], away[:, 1] @ away[:, 1]])
+
+
+def test_ridge_keeps_digits_of_a_large_mean(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 2))
+    y = 2 * x[:, 0] - 3 * x[:, 1] + rng.normal(size=3000) * 0.1
+    wide = spark.createDataFrame([(1, float(a + 1e8), float(b - 1e8), float(c + 1e8)) for (a, b), c in zip(x, y)], "k int, a double, b double, y double")
+    r = models.fit_ridge(wide.repartition(6), ["k"], ["a", "b"]).head()
+    # the values as they are after adding the mean
+    away = np.array([[v.a - 1e8, v.b + 1e8, v.y - 1e8] for v in wide.collect()])
+    away -= away.mean(0)
+    w = np.linalg.solve(away[:, :2].T @ away[:, :2] + np.eye(2), away[:, :2].T @ away[:, 2])
+    assert np.allclose(r.coef, w, atol=1e-8)
+
+
+def skewed(spark, n=150, targets=("a", "b", "c")):
+    return made_frame(spark, n=n, targets=targets).withColumn(
+        "y", F.col("y") + F.when(F.month("data") == 6, 5.0).otherwise(0.0)
+    )
+
+
+def test_stationarity_proves_a_fit_and_finds_a_wrong_one(spark):
+    names = panel.features(["x1", "x2"])
+    rows = panel.design_matrix(skewed(spark), BY, ["x1", "x2"]).cache()
+    ridge = models.fit_ridge(rows, BY, names)
+    huber = models.fit_huber(rows, BY, names)
+    for fitted, more in ((ridge, {}), (huber, {"alpha": models.HUBER_ALPHA, "epsilon": models.HUBER_EPSILON})):
+        proof = {r.target_id: r for r in models.stationarity(rows, fitted, BY, names, **more).collect()}
+        assert set(proof) == {"a", "b", "c"} and all(r.gradient < 1e-8 and r.n_rows == 149 for r in proof.values())
+        off = fitted.withColumn("coef", F.transform("coef", lambda c: c * 1.001))
+        assert all(r.gradient > 1e-5 for r in models.stationarity(rows, off, BY, names, **more).collect())
+    assert all(r.converged and r.scale > 0 and r.steps < 60 for r in huber.collect())
+    # the wrong scale is found as well
+    off = huber.withColumn("scale", F.col("scale") * 1.01)
+    wrong = models.stationarity(rows, off, BY, names, alpha=models.HUBER_ALPHA, epsilon=models.HUBER_EPSILON)
+    assert all(r.gradient > 1e-4 for r in wrong.collect())
+
+
+def test_fits_that_do_not_converge_say_so():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2, 40, 2))
+    y = np.stack([x[0] @ [1.0, 2.0], rng.standard_t(2, size=40)])
+    present = np.ones((2, 40), bool)
+    _, _, converged, _ = models.huber_solutions(x, y, present, alpha=0.0)
+    assert converged.tolist() == [False, True]  # the first is fitted exactly
+    _, _, converged, steps = models.huber_solutions(x[1:], y[1:], present[1:], max_iter=1)
+    assert not converged[0] and steps[0] == 1
+
+
+def test_a_strict_forecast_wants_fits_at_rest(spark):
+    fitted = spark.createDataFrame([("a", True), ("b", False)], "target_id string, converged boolean")
+    assert outlook.require_converged(fitted.filter("converged"), "Huber").count() == 1
+    with pytest.raises(ValueError, match="not converged"):
+        outlook.require_converged(fitted, "Huber")
+
+
+def test_huber_by_rounds_equals_the_fit_in_arrays(spark):
+    names = panel.features(["x1", "x2"])
+    rows = panel.design_matrix(skewed(spark), BY, ["x1", "x2"])
+    rows = rows.repartition(7).cache()
+    whole = {r.target_id: r for r in models.fit_huber(rows, BY, names).collect()}
+    by_rounds = {r.target_id: r for r in rounds.fit_huber_by_rounds(rows, BY, names).collect()}
+    assert set(whole) == set(by_rounds)
+    for t, r in by_rounds.items():
+        assert r.converged and r.gradient < 1e-8 and r.n_rows == whole[t].n_rows
+        assert np.allclose(r.coef, whole[t].coef, rtol=1e-6, atol=1e-6)
+        assert r.intercept == pytest.approx(whole[t].intercept, rel=1e-6)
+        assert r.scale == pytest.approx(whole[t].scale, rel=1e-6)
+
+
+def test_huber_by_rounds_of_one_long_target(spark):
+    n = 400_000
+    noise = F.when(F.rand(2) < 0.1, F.randn(3) * 50).otherwise(F.randn(4))
+    rows = spark.range(n, numPartitions=16).select(
+        F.lit("long").alias("target_id"), F.randn(5).alias("x1"), (F.randn(6) + 1e6).alias("x2"), noise.alias("e")
+    )
+    rows = rows.withColumn("y", F.col("x1") * 2 - (F.col("x2") - 1e6) + F.col("e"))
+    r = rounds.fit_huber_by_rounds(rows, BY, ["x1", "x2"]).head()
+    assert r.converged and r.n_rows == n and np.allclose(r.coef, [2, -1], atol=0.02)
+
+
+def test_huber_by_rounds_of_odd_targets(spark):
+    rows = [("exact", float(i), 3.0 * i) for i in range(20)] + [("flat", float(i), 7.0) for i in range(20)]
+    rows += [("gaps", None, 1.0), (None, 1.0, 2.0), (None, 2.0, 4.5), (None, 3.0, 5.5), (None, 4.0, 9.0)]
+    df = spark.createDataFrame(rows, "target_id string, x double, y double")
+    got = {r.target_id: r for r in rounds.fit_huber_by_rounds(df, BY, ["x"]).collect()}
+    assert set(got) == {"exact", "flat", None} and not got["flat"].converged
+    none = df.filter("y < 0")
+    assert rounds.fit_huber_by_rounds(none, BY, ["x"]).count() == 0 == models.fit_ridge(none, BY, ["x"]).count()

@@ -1,8 +1,10 @@
 """Linear models for many targets in one job.
 
-Ridge needs only sums, so Spark reduces the rows (map-side first) and Python sees one small
-matrix per target. The Huber fit iterates on a target's rows; those are one per month, so a
-target's array is as long as the calendar, and a stack of targets is solved at once.
+Ridge needs only moments, so every task reduces its rows and Python sees one small matrix
+per target. The Huber fit iterates on a target's rows; those are one per month, so a target's
+array is as long as the calendar, and a stack of targets is solved at once. For targets whose
+rows do not fit in an array there is ``operators.rounds``. A fit tells whether it converged,
+and ``stationarity`` proves any fit from the rows alone.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.operators import moments
 from tidegauge.operators.spread import spread
 from tidegauge.operators.stack import stacked
 
@@ -31,16 +34,16 @@ INTERCEPT = "intercept"
 
 
 def _ridge_solver(k: int, alpha: float):
-    upper = np.triu_indices(k)
+    width = moments.width_of(k + 1)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for gram, cross in batches:
-            a = np.zeros((len(gram), k, k))
-            a[:, upper[0], upper[1]] = np.stack(gram.to_numpy())
-            a = a + np.triu(a, 1).transpose(0, 2, 1) + alpha * np.eye(k)
-            b = np.stack(cross.to_numpy())[:, :, None]
-            yield pd.Series(list(np.linalg.solve(a, b)[:, :, 0]))
+    def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            blocks = np.array([moments.merged(np.reshape(b, (-1, width)), k + 1) for b in batch]).reshape(-1, width)
+            mean, products = blocks[:, 2 : 3 + k], moments.full_matrix(blocks, k + 1)
+            coef = np.linalg.solve(products[:, :k, :k] + alpha * np.eye(k), products[:, :k, k:])[:, :, 0]
+            intercept = mean[:, k] - (mean[:, :k] * coef).sum(axis=1)
+            yield pd.Series(list(np.column_stack([blocks[:, 0], intercept, coef])))
 
     return solve
 
@@ -54,33 +57,26 @@ def fit_ridge(
 ) -> DataFrame:
     """Ridge per key: key columns, ``intercept``, ``coef``, ``n_rows``.
 
-    The intercept is not penalised: products are centred on the key's means.
+    The intercept is not penalised: products are centred on the key's means. Rows meet as
+    merged moments, so a level series with a large mean keeps its digits.
     """
-    x, y = list(features), F.col(target)
-    k = len(x)
-    sums = [F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg(y).alias("_my")]
-    sums += [F.avg(c).alias(f"_m{i}") for i, c in enumerate(x)]
-    sums += [F.sum(F.col(c) * y).alias(f"_c{i}") for i, c in enumerate(x)]
-    sums += [
-        F.sum(F.col(x[i]) * F.col(x[j])).alias(f"_g{i}_{j}") for i in range(k) for j in range(i, k)
-    ]
-    n, my = F.col("n_rows"), F.col("_my")
-    means = [F.col(f"_m{i}") for i in range(k)]
-    gram = F.array(
-        *[F.col(f"_g{i}_{j}") - n * means[i] * means[j] for i in range(k) for j in range(i, k)]
-    )
-    cross = F.array(*[F.col(f"_c{i}") - n * means[i] * my for i in range(k)])
-    reduced = rows.dropna(subset=[target, *x]).groupBy(*by).agg(*sums)
-    solved = reduced.select(
-        *by, "n_rows", "_my", F.array(*means).alias("_means"), gram.alias("_gram"), cross.alias("_cross")
-    ).withColumn(COEF, _ridge_solver(k, alpha)("_gram", "_cross"))
-    fitted = dot(F.col(COEF), [F.col("_means")[i] for i in range(k)])
+    k = len(features)
+    reduced = moments.moments(rows, by, [*features, target])
+    solved = reduced.withColumn("_fit", _ridge_solver(k, alpha)(moments.BLOCKS))
     return solved.select(
-        *by, (F.col("_my") - fitted).alias(INTERCEPT), COEF, F.col("n_rows").cast("long")
+        *by,
+        F.col("_fit")[1].alias(INTERCEPT),
+        F.slice("_fit", 3, k).alias(COEF),
+        F.col("_fit")[0].cast("long").alias("n_rows"),
     )
 
 
-def huber_coefficients(
+def huber_coefficients(*args, **kwargs) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (intercept last) and scales of ``huber_solutions``."""
+    return huber_solutions(*args, **kwargs)[:2]
+
+
+def huber_solutions(
     x: np.ndarray,
     y: np.ndarray,
     present: np.ndarray,
@@ -88,14 +84,15 @@ def huber_coefficients(
     alpha: float = HUBER_ALPHA,
     tol: float = 1e-11,
     max_iter: int = 100,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (intercept last) and scales of a stack of targets.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients (intercept last), scales, convergence and steps of a stack of targets.
 
     Minimises ``n s + sum s H((y - Xw - c) / s) + alpha |w|^2`` over w, c and the scale s.
     Each iteration tries shares of a Newton step and a reweighted least-squares step and
     keeps the lowest objective: the second always descends, the first ends quickly. Shapes: (targets,
     rows, features), (targets, rows); ``present`` marks real rows, the rest is padding. A
-    target leaves the stack when its coefficients stand still.
+    target leaves the stack when its coefficients stand still. One that never does, or whose
+    scale falls to the floor because the rows are fitted exactly, has not converged.
     """
     k = x.shape[2] + 1
     design = np.concatenate([x, np.ones((*y.shape, 1))], axis=2) * present[:, :, None]
@@ -147,7 +144,9 @@ def huber_coefficients(
     floor = 1e-9 * np.maximum(1e-300, np.abs(y).max(axis=1))
     scale = np.maximum(np.sqrt((residual(design, y, beta) ** 2).sum(axis=1) / n), floor)
     live = np.arange(len(y))
+    steps = np.zeros(len(y), np.int64)
     for _ in range(max_iter):
+        steps[live] += 1
         d, goal, count, low = design[live], y[live], n[live], floor[live]
         coef, wide = beta[live], scale[live]
         resid = residual(d, goal, coef)
@@ -170,7 +169,9 @@ def huber_coefficients(
         live = live[moved]
         if not len(live):
             break
-    return beta, scale
+    converged = np.ones(len(y), bool)
+    converged[live] = False
+    return beta, scale, converged & (scale > floor), steps
 
 
 def _huber_udf(width: int, epsilon: float, alpha: float):
@@ -179,7 +180,8 @@ def _huber_udf(width: int, epsilon: float, alpha: float):
         for batch in batches:
             out = []
             for rows, present in stacked(batch, width):
-                out.extend(huber_coefficients(rows[:, :, 1:], rows[:, :, 0], present, epsilon, alpha)[0])
+                fit_of = huber_solutions(rows[:, :, 1:], rows[:, :, 0], present, epsilon, alpha)
+                out.extend(np.column_stack(fit_of))
             yield pd.Series(out)
 
     return fit
@@ -193,7 +195,11 @@ def fit_huber(
     epsilon: float = HUBER_EPSILON,
     alpha: float = HUBER_ALPHA,
 ) -> DataFrame:
-    """Huber regression per key: key columns, ``intercept``, ``coef``, ``n_rows``."""
+    """Huber regression per key: key columns, ``intercept``, ``coef``, ``n_rows``, and the proof.
+
+    ``scale`` is the fitted one, ``converged`` whether the iteration came to rest at a
+    positive scale, ``steps`` how many it took.
+    """
     cells = [F.col(c).cast("double") for c in (target, *features)]
     used = spread(rows.dropna(subset=[target, *features]).select(*by, F.array(*cells).alias("_r")), by)
     gathered = used.groupBy(*by).agg(
@@ -202,7 +208,13 @@ def fit_huber(
     beta = _huber_udf(len(cells), epsilon, alpha)("_table")
     k = len(features)
     return gathered.withColumn("_beta", beta).select(
-        *by, F.col("_beta")[k].alias(INTERCEPT), F.slice("_beta", 1, k).alias(COEF), "n_rows"
+        *by,
+        F.col("_beta")[k].alias(INTERCEPT),
+        F.slice("_beta", 1, k).alias(COEF),
+        "n_rows",
+        F.col("_beta")[k + 1].alias("scale"),
+        (F.col("_beta")[k + 2] == 1).alias("converged"),
+        F.col("_beta")[k + 3].cast("int").alias("steps"),
     )
 
 
@@ -223,6 +235,45 @@ def predict(
     return joined.withColumn("fitted", fitted).drop(INTERCEPT, COEF)
 
 
+def stationarity(
+    rows: DataFrame,
+    fitted: DataFrame,
+    by: Sequence[str],
+    features: Sequence[str],
+    target: str = "y",
+    alpha: float = RIDGE_ALPHA,
+    epsilon: float | None = None,
+) -> DataFrame:
+    """Key columns, ``n_rows`` and ``gradient`` of the fits, taken from the rows alone.
+
+    The largest partial derivative of the objective at the solution, each relative to the
+    sum of its terms' sizes: zero at a minimum of a convex objective, whoever found it. With
+    ``epsilon`` the objective is Huber's, whose scale is a variable too.
+    """
+    k, x = len(features), [*features]
+    state = [INTERCEPT, COEF] + (["scale"] if epsilon else [])
+    joined = rows.dropna(subset=[target, *x]).join(fitted.select(*by, *state), list(by))
+    miss = F.col(target) - F.col(INTERCEPT) - dot(F.col(COEF), [F.col(c) for c in x])
+    pull, terms = F.col("_miss"), []
+    if epsilon:
+        over = F.abs("_miss") / F.col("scale")
+        pull = F.when(over <= epsilon, F.col("_miss") / F.col("scale")).otherwise(epsilon * F.signum("_miss"))
+        own = F.when(over <= epsilon, over * over).otherwise(epsilon**2)
+        terms = [(1.0 - own, F.greatest(F.lit(1.0), own))]
+    pulls = [(F.col(c) * F.col("_pull"), F.abs(F.col(c) * F.col("_pull"))) for c in x]
+    pulls += [(F.col("_pull"), F.abs("_pull")), *terms]
+    sums = [f(v).alias(f"_{n}{i}") for i, p in enumerate(pulls) for n, f, v in (("g", F.sum, p[0]), ("m", F.sum, p[1]))]
+    keep = [F.first(COEF).alias(COEF), F.count("*").alias("n_rows")]
+    reduced = joined.withColumn("_miss", miss).withColumn("_pull", pull).groupBy(*by).agg(*keep, *sums)
+
+    def share(i: int) -> Column:
+        penalty = alpha * F.col(COEF)[i] if i < k else F.lit(0.0)
+        size = F.col(f"_m{i}") + F.abs(penalty)
+        return F.when(size > 0, F.abs(F.col(f"_g{i}") - penalty) / size).otherwise(0.0)
+
+    return reduced.select(*by, "n_rows", F.greatest(*[share(i) for i in range(len(pulls))]).alias("gradient"))
+
+
 def residuals(
     rows: DataFrame,
     models: DataFrame,

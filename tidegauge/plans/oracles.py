@@ -647,6 +647,16 @@ def _huber(rounds: int, epsilon: float = 1.35, alpha: float = 1e-4) -> list[str]
 
 
 ORACLES["mod_huber"] = _with(["frame", "design"], _weights("fit40", 2), _ridge(), *_huber(40))
+# a proved fit: its rows, and the gradient of its objective vanishes
+_PROVED = "count(*) AS n_rows, 1 AS converged, 1 AS stationary"
+ORACLES["mod_ridge_proof"] = ORACLES["mod_huber_proof"] = _with(
+    ["frame", "design"], f"SELECT target_id, {_PROVED} FROM design GROUP BY 1"
+)
+ORACLES["fc_published_proof"] = _with(
+    ["frame", "design"],
+    f"SELECT target_id, tipo, {_PROVED} FROM design, (VALUES ('Ridge'), ('Huber')) t(tipo) GROUP BY 1, 2",
+)
+ORACLES["mod_huber_rounds"] = f"SELECT l_returnflag AS flag, {_PROVED} FROM lineitem GROUP BY 1"
 ORACLES["mod_residuals"] = _with(
     ["frame", "design"],
     f"SELECT d.target_id, CAST(d.data AS VARCHAR) AS data, {_r(f'd.y - {_FITTED}', 'resid', 4)} "

@@ -26,6 +26,49 @@ SURVEY_PATH, SURVEY_DIFFERENCED = "expec_ipca_top5_curto_prazo", "cambio_brl_eur
 SEASONAL_PATHS = ["ic_br", "ipc_s"]
 
 MODELS = {"Ridge": models.fit_ridge, "Huber": models.fit_huber}
+OBJECTIVES = {
+    "Ridge": {"alpha": models.RIDGE_ALPHA},
+    "Huber": {"alpha": models.HUBER_ALPHA, "epsilon": models.HUBER_EPSILON},
+}
+
+
+def scaled_design(frame: DataFrame, by: Sequence[str], exog: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Transform parameters per key, and the rows the published models are fitted on.
+
+    The target and regressors are power-transformed and standardised per key, the dummies
+    standardised; each key's first row is dropped.
+    """
+    by = list(by)
+    full = panel.add_dummies(frame)
+    continuous = ["y", *exog]
+    params = settle(power.frame_params(full, by, continuous, DUMMIES), "params")
+    scaled = power.frame_apply(full.select(*by, "data", *continuous, *DUMMIES), params, by, continuous, DUMMIES)
+    rows = panel.add_lag(scaled, by).filter(F.col(panel.LAG).isNotNull())
+    return params, settle(rows.select(*by, "data", "y", *panel.features(exog)), "design")
+
+
+def proofs(rows: DataFrame, by: Sequence[str], exog: Sequence[str], kinds: Sequence[str] = ("Ridge", "Huber")) -> DataFrame:
+    """Key columns, ``tipo``, ``n_rows``, ``converged`` and ``gradient`` of each model fitted on the rows.
+
+    The gradient is taken from the rows at the fitted coefficients, see ``models.stationarity``.
+    """
+    names, out = panel.features(exog), []
+    for kind in kinds:
+        fitted = settle(MODELS[kind](rows, by, names), "model")
+        proof = models.stationarity(rows, fitted, by, names, **OBJECTIVES[kind])
+        if "converged" in fitted.columns:
+            proof = proof.join(fitted.select(*by, "converged"), list(by))
+        else:  # solved directly
+            proof = proof.withColumn("converged", F.lit(True))
+        out.append(proof.withColumn("tipo", F.lit(kind)))
+    return union_all(*out)
+
+
+def require_converged(fitted: DataFrame, kind: str) -> DataFrame:
+    """The fits unchanged, or an error if one of them has not come to rest."""
+    if "converged" in fitted.columns and not fitted.filter(~F.col("converged")).isEmpty():
+        raise ValueError(f"{kind}: a fit has not converged")
+    return fitted
 
 
 def fit_and_forecast(
@@ -36,20 +79,16 @@ def fit_and_forecast(
     n_boot: int = forecast.N_BOOT,
     seed: int = forecast.SEED,
     kinds: Sequence[str] = ("Ridge", "Huber"),
+    strict: bool = False,
 ) -> DataFrame:
     """Key columns, ``tipo``, ``step``, ``data``, ``valor`` and the interval.
 
-    The target and regressors are power-transformed and standardised per key, the dummies
-    standardised; models are fitted on that scale and the paths brought back.
+    Models are fitted on the transformed scale of ``scaled_design`` and the paths brought
+    back. ``strict`` raises if a fit has not converged.
     """
     by = list(by)
-    full = panel.add_dummies(frame)
-    continuous, regressors = ["y", *exog], [*exog, *DUMMIES]
-    names = panel.features(exog)
-    params = settle(power.frame_params(full, by, continuous, DUMMIES), "params")
-    scaled = power.frame_apply(full.select(*by, "data", "y", *regressors), params, by, continuous, DUMMIES)
-    rows = panel.add_lag(scaled, by).filter(F.col(panel.LAG).isNotNull())
-    rows = settle(rows.select(*by, "data", "y", *names), "design")
+    regressors, names = [*exog, *DUMMIES], panel.features(exog)
+    params, rows = scaled_design(frame, by, exog)
     ahead = power.frame_apply(
         panel.add_dummies(scenario).select(*by, "step", "data", *regressors), params, by, exog, DUMMIES
     )
@@ -60,6 +99,8 @@ def fit_and_forecast(
     out = []
     for kind in kinds:
         fitted = settle(MODELS[kind](rows, by, names), "model")
+        if strict:
+            require_converged(fitted, kind)
         resid = forecast.residual_lists(models.residuals(rows, fitted, by, names), by)
         steps = forecast.step_inputs(ahead, fitted, by, regressors)
         inputs = steps.join(start, by).join(scale, by).join(resid, by)
@@ -158,11 +199,12 @@ def run(
 ) -> None:
     """Forecast, replace the current forecast and append to the log.
 
-    Raises before anything is written when a regressor, a path or a forecast is incomplete.
+    Raises before anything is written when a regressor, a path or a forecast is incomplete,
+    or a fit has not converged.
     """
     frame, scenario = published_inputs(monthly, catalog, survey_level, survey_change)
     scenario = require_scenario(settle(scenario, "scenario"))
-    made = fit_and_forecast(frame, scenario, ["target_id"], REGRESSORS)
+    made = fit_and_forecast(frame, scenario, ["target_id"], REGRESSORS, strict=True)
     # one stamp for the whole run
     stamp = F.lit(run_at or datetime.now()).cast("timestamp")
     rows = settle(

@@ -19,7 +19,7 @@ from tidegauge.functions import (
     safe_ln,
 )
 from tidegauge.functions.power import yeo_johnson, yeo_johnson_inverse
-from tidegauge.operators import align, expectations, forecast, grid, models, panel, power
+from tidegauge.operators import align, expectations, forecast, grid, models, panel, power, rounds
 from tidegauge.operators import relational as rel
 from tidegauge.operators import scenarios, serving, transforms
 from tidegauge.plans import landing, outlook, shapes
@@ -597,6 +597,7 @@ def fn_numeric(spark, sf_dir):
 TARGET = ["target_id"]
 EXOG = ["quantity", "discount"]
 PLAIN = panel.features(EXOG, dummies=False)
+STILL = 1e-6  # largest gradient of a proved fit, relative to its terms
 
 
 def _rows(spark, sf_dir, exog=EXOG, dummies=False):
@@ -657,6 +658,51 @@ def mod_huber(spark, sf_dir):
     )
 
 
+def _proved(proof, by):
+    """Proofs as 0/1 columns; a gradient is zero up to ``STILL`` of the sizes of its terms."""
+    return proof.select(
+        *by,
+        "n_rows",
+        F.col("converged").cast("int").alias("converged"),
+        (F.col("gradient") < STILL).cast("int").alias("stationary"),
+    )
+
+
+@query
+def mod_ridge_proof(spark, sf_dir):
+    """All 16 features of every supplier: the objective's gradient vanishes at the fit."""
+    rows = settle(_rows(spark, sf_dir, shapes.EXOG, dummies=True), "design")
+    return _proved(outlook.proofs(rows, TARGET, shapes.EXOG, ["Ridge"]), TARGET)
+
+
+@query
+def mod_huber_proof(spark, sf_dir):
+    """The same for the Huber fits, whose scale is a variable as well."""
+    rows = settle(_rows(spark, sf_dir, shapes.EXOG, dummies=True), "design")
+    return _proved(outlook.proofs(rows, TARGET, shapes.EXOG, ["Huber"]), TARGET)
+
+
+@query
+def mod_huber_rounds(spark, sf_dir):
+    """Huber by distributed rounds, 16 features, one target a return flag, every line a row."""
+    lines = shapes.table(spark, sf_dir, "lineitem")
+    day = F.to_date("l_shipdate")
+    rows = lines.select(
+        F.col("l_returnflag").alias("flag"),
+        day.alias("data"),
+        F.floor("l_extendedprice").cast("double").alias("y"),
+        F.col("l_quantity").cast("double").alias(panel.LAG),
+        F.col("l_discount").cast("double").alias("quantity"),
+        F.col("l_tax").cast("double").alias("discount"),
+        F.col("l_linenumber").cast("double").alias("tax"),
+        F.dayofmonth(day).cast("double").alias("line"),
+    )
+    rows, by = settle(panel.add_dummies(rows), "design"), ["flag"]
+    fitted = rounds.fit_huber_by_rounds(rows, by, panel.features(shapes.EXOG))
+    proof = models.stationarity(rows, fitted, by, panel.features(shapes.EXOG), **outlook.OBJECTIVES["Huber"])
+    return _proved(proof.join(fitted.select("flag", "converged"), "flag"), by)
+
+
 @query
 def mod_yeo_johnson_apply(spark, sf_dir):
     rows = shapes.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("v"))
@@ -801,6 +847,14 @@ def fc_published(spark, sf_dir):
     return rounded(outlook.fit_and_forecast(frame, scenario, TARGET, shapes.EXOG), 4)
 
 
+@query
+def fc_published_proof(spark, sf_dir):
+    """The fits behind ``fc_published``, on their own scale: both models, 16 features."""
+    frame = settle(shapes.supplier_frame(spark, sf_dir), "frame")
+    _, rows = outlook.scaled_design(frame, TARGET, shapes.EXOG)
+    return _proved(outlook.proofs(rows, TARGET, shapes.EXOG), [*TARGET, "tipo"])
+
+
 # serving --------------------------------------------------------------------------------
 
 
