@@ -546,6 +546,28 @@ ORACLES["fn_numeric"] = (
     "replace(l_returnflag, 'N', 'none') AS flag FROM lineitem"
 )
 
+# every row of a raw table as one series
+_PLACE = " || ".join(
+    f"lpad(CAST(CAST({p} AS BIGINT) AS VARCHAR), 12, '0')"
+    for p in ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "floor(l_extendedprice)", "round(l_tax * 100)"]
+)
+ORACLES["win_long_diff2"] = (
+    "SELECT 'lines' AS series_id, data, round_even(value - 2 * lag(value, 1) OVER w + lag(value, 2) OVER w, 6) AS value "
+    f"FROM (SELECT {_PLACE} AS data, CAST(floor(l_extendedprice) AS DOUBLE) AS value FROM lineitem) WINDOW w AS (ORDER BY data)"
+)
+ORACLES["win_long_compound12"] = (
+    "SELECT 'lines' AS series_id, data, round_even(value, 6) AS value, "
+    "round_even(CASE WHEN count(value) OVER w = 12 THEN (product(value / 100 + 1) OVER w - 1) * 100 END, 6) AS compound "
+    f"FROM (SELECT {_PLACE} AS data, CAST(round(l_tax * 100) AS DOUBLE) AS value FROM lineitem) "
+    "WINDOW w AS (ORDER BY data ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
+)
+ORACLES["win_long_fill"] = (
+    "SELECT 'events' AS series_id, data, round_even(coalesce("
+    "first_value(value IGNORE NULLS) OVER (ORDER BY data ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), "
+    "last_value(value IGNORE NULLS) OVER (ORDER BY data ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS value "
+    "FROM (SELECT event_id AS data, CASE WHEN event_type = 'error' THEN value END AS value FROM events)"
+)
+
 # models
 _DUMMIES = {
     "April": 4, "August": 8, "February": 2, "January": 1, "July": 7, "June": 6, "March": 3, "May": 5,

@@ -19,7 +19,7 @@ from tidegauge.functions import (
     safe_ln,
 )
 from tidegauge.functions.power import yeo_johnson, yeo_johnson_inverse
-from tidegauge.operators import align, expectations, forecast, grid, models, panel, power, rounds
+from tidegauge.operators import align, blocks, expectations, forecast, grid, models, panel, power, rounds
 from tidegauge.operators import relational as rel
 from tidegauge.operators import scenarios, serving, transforms
 from tidegauge.plans import landing, outlook, shapes
@@ -479,6 +479,42 @@ def win_compound12(spark, sf_dir):
     return rounded(transforms.rolling_compound(shapes.rates(spark, sf_dir), SERIES))
 
 
+LONG_BLOCK = 5_000  # rows; small, so that the given tables have several blocks
+
+
+def _lines_as_one(spark, sf_dir, value):
+    """Every line a row of one series, in the order of its keys; where they are equal, of its price and tax."""
+    places = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "floor(l_extendedprice)", "round(l_tax * 100)"]
+    spelled = [F.lpad(F.expr(f"cast({p} as bigint)").cast("string"), 12, "0") for p in places]
+    return shapes.table(spark, sf_dir, "lineitem").select(
+        F.lit("lines").alias("series_id"), F.concat(*spelled).alias("data"), value.cast("double").alias("value")
+    )
+
+
+@query
+def win_long_diff2(spark, sf_dir):
+    step = lambda df, by: transforms.transform(df, "3", by)
+    rows = _lines_as_one(spark, sf_dir, F.floor("l_extendedprice"))
+    return rounded(blocks.over_blocks(rows, SERIES, step, before=2, block_rows=LONG_BLOCK))
+
+
+@query
+def win_long_compound12(spark, sf_dir):
+    step = lambda df, by: transforms.rolling_compound(df, by)
+    rows = _lines_as_one(spark, sf_dir, F.round(F.col("l_tax") * 100))
+    return rounded(blocks.over_blocks(rows, SERIES, step, before=11, block_rows=LONG_BLOCK))
+
+
+@query
+def win_long_fill(spark, sf_dir):
+    """All events as one series, known where an error was seen; backward, then forward fill."""
+    seen = F.when(F.col("event_type") == "error", F.col("value"))
+    rows = shapes.table(spark, sf_dir, "events").select(
+        F.lit("events").alias("series_id"), F.col("event_id").alias("data"), seen.alias("value")
+    )
+    return rounded(blocks.over_blocks(rows, SERIES, grid.fill_both, fill=["value"], block_rows=LONG_BLOCK))
+
+
 def _transformed(spark, sf_dir, code):
     return rounded(transforms.transform(shapes.monthly_orders(spark, sf_dir), code))
 
