@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from tidegauge.llm import piecewise, queries, turntrie, variants
+from tidegauge.llm import minhash, piecewise, queries, turntrie, variants
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
@@ -281,3 +281,15 @@ def test_radix_nodes_grow_and_keep_their_order():
         assert first == sorted(first)
         stack += [(c, spelled + bytes([b])) for b, c in reversed(list(zip(first, below)))]
     assert found == sorted(keys) and layouts == {16, 256, "wide"}
+
+
+# ---- 9 tasks by size
+
+
+def test_fingerprint_ranges_follow_the_bytes(spark):
+    df = spark.createDataFrame([(i, "ab" * 50) for i in range(90)], "doc_id long, text string")
+    assert minhash.ranges(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert minhash.ranges(df, 100) == 90
+    assert minhash.ranges(df.filter("doc_id < 0"), 100) == minhash.ranges(df)
+    few, many = minhash.in_order(df, 2), minhash.in_order(df, 30)
+    assert few.select("part").distinct().count() == 2 and many.select("part").distinct().count() == 30

@@ -25,6 +25,7 @@ SHINGLE = 5
 LOG2_BINS = 9
 BINS = 1 << LOG2_BINS
 BITS = 4
+PART_BYTES = 64 << 20  # of text in a range of ids
 ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -97,6 +98,13 @@ RESULT = (
 )
 
 
+def ranges(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """How many ranges of ids hold ``part_bytes`` of text each, the session's partitions at least."""
+    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()).cast("long"))).head()[0] or 0
+    return max(own, -(-size // part_bytes), 1)
+
+
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """Rows dealt to ranges of ``doc_id``, each followed by the first row of the next range.
 
@@ -105,7 +113,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """
     rows = docs.select("doc_id", text_key().alias("text_key"), text_or_empty().alias("text"))
     shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10_000)).head()[0] or [])) if shares else []
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts))).head()[0] or [])) if shares else []
 
     @F.pandas_udf("int")
     def part_of(ids: pd.Series) -> pd.Series:
@@ -139,8 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     document in order of ``doc_id`` (after the last comes the first; null ids come first;
     rows of one id are ordered by the hash of their text). Null texts are empty.
     """
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = ranges(docs)
 
     def walk(frames):
         known = WordHashes()
