@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.plans import board, etl, outlook
-from tidegauge.sources import payloads, tables
+from tidegauge.sources import payloads, publish, tables
 
 CATALOG = [
     # id, source, frequency, transform
@@ -207,11 +207,11 @@ def test_frame_follows_the_preparation_order(spark, landed, stored):
 
 
 def test_forecast_and_log(spark, published):
-    now = spark.read.parquet(f"{published}/forecast")
+    now = publish.read_current(spark, f"{published}/published", "forecast")
     assert now.columns == ["data", "valor", "ic_inferior", "ic_superior", "variavel", "tipo"]
     assert now.count() == 24
     assert now.filter("ic_inferior < valor AND valor < ic_superior").count() == 24
-    log = tables.read_tracking(spark, f"{published}/tracking")
+    log = publish.read_all(spark, f"{published}/published", "tracking")
     assert log.count() == 48
     assert log.select("previsao").distinct().count() == 2
     months = {r.data for r in now.select("data").collect()}
@@ -235,12 +235,12 @@ def test_a_short_survey_leaves_the_old_forecast(spark, landed, stored, published
     monthly = spark.read.parquet(f"{out}/long").filter("freq = 'M'")
     folder = f"{landed[0]}/bcb_odata/series_id=expec_ipca_top5_curto_prazo"
     level = payloads.read_survey(spark, folder, since="2014-06-01").drop("series_id")
-    before = sorted(spark.read.parquet(f"{out}/forecast").toPandas()["valor"])
+    before = sorted(publish.read_current(spark, f"{out}/published", "forecast").toPandas()["valor"])
     sparse = monthly.filter("series_id <> 'ic_br' or data >= '2013-06-01'")
     for rows, survey in ((monthly, level.filter("ref_date < '2014-11-01'")), (sparse, level)):
         with pytest.raises(Exception):
             outlook.run(spark, rows, catalog, survey, survey, out)
-        assert sorted(spark.read.parquet(f"{out}/forecast").toPandas()["valor"]) == before
+        assert sorted(publish.read_current(spark, f"{out}/published", "forecast").toPandas()["valor"]) == before
 
 
 def test_overlapping_files_leave_the_old_tables(spark, landed, stored, tmp_path):

@@ -63,7 +63,12 @@ def draw_base(n_boot: int, h: int, seed: int) -> np.ndarray:
 
     Pure integer arithmetic: the same on any partitioning, and in SQL.
     """
-    cell = np.arange(n_boot, dtype=np.int64)[:, None] * h + np.arange(h, dtype=np.int64)[None, :]
+    return draw_range(0, n_boot, h, seed)
+
+
+def draw_range(first: int, end: int, h: int, seed: int) -> np.ndarray:
+    """The draws of the paths from ``first`` up to but not including ``end``."""
+    cell = np.arange(first, end, dtype=np.int64)[:, None] * h + np.arange(h, dtype=np.int64)[None, :]
     x = (cell + 1 + seed * SEED_STRIDE) % MODULUS
     x = x * 48271 % MODULUS
     x = (x * x + 12345) % MODULUS
@@ -73,11 +78,13 @@ def draw_base(n_boot: int, h: int, seed: int) -> np.ndarray:
 
 
 def _invert(z: np.ndarray, lam: float, mu: float, sd: float) -> np.ndarray:
+    """The power transform's inverse; NaN where it has none, whatever the exponent."""
     v = z * sd + mu
+    above, below = lam * v + 1, 1 - (2 - lam) * v
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        up = np.expm1(v) if lam == 0 else np.power(lam * v + 1, 1 / lam) - 1
-        down = -np.expm1(-v) if lam == 2 else 1 - np.power(1 - (2 - lam) * v, 1 / (2 - lam))
-    return np.where(v >= 0, up, down)
+        up = np.expm1(v) if lam == 0 else np.power(above, 1 / lam) - 1
+        down = -np.expm1(-v) if lam == 2 else 1 - np.power(below, 1 / (2 - lam))
+    return np.where(np.where(v >= 0, above, below) > 0, np.where(v >= 0, up, down), np.nan)
 
 
 def _bounds(paths: np.ndarray, levels: Sequence[float], lam: float, mu: float, sd: float):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import serving
 from tidegauge.schema import TARGET_LABEL, TARGET_SERIES
-from tidegauge.sources import tables
+from tidegauge.sources import publish
 
 
 def history(monthly: DataFrame, series: str = TARGET_SERIES, label: str = TARGET_LABEL) -> DataFrame:
@@ -17,11 +17,11 @@ def history(monthly: DataFrame, series: str = TARGET_SERIES, label: str = TARGET
 
 
 def build(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Every published table by name; ``root`` holds long, forecast and tracking."""
+    """Every published table by name; ``root`` holds the long table and the published runs."""
     past = history(spark.read.parquet(f"{root}/long").filter("freq = 'M'"))
-    ahead = spark.read.parquet(f"{root}/forecast")
+    ahead = publish.read_current(spark, f"{root}/published", "forecast")
     served = serving.history_union(past, ahead)
-    log = tables.read_tracking(spark, f"{root}/tracking")
+    log = publish.read_all(spark, f"{root}/published", "tracking")
     return {
         "served": served,
         "models": serving.model_choices(ahead),

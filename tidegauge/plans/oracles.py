@@ -251,6 +251,11 @@ ORACLES["snk_append"] = _with(
     f"SELECT {_AHEAD}, previsao FROM ahead, "
     "(VALUES ('2000-10-03 12:00:00'), ('2000-10-10 12:00:00')) AS r(previsao)",
 )
+ORACLES["snk_publish"] = _with(
+    ["ahead"],
+    f"SELECT {_AHEAD}, previsao FROM ahead, "
+    "(VALUES ('2000-10-03 12:00:00'), ('2000-10-10 12:00:00'), ('now')) AS r(previsao)",
+)
 ORACLES["snk_parquet"] = _with(
     ["daily", "monthly"],
     f"SELECT {_text()}, {_pivot(PRIORITIES, 6)}, 'D' AS freq FROM daily GROUP BY data UNION ALL "
@@ -846,23 +851,31 @@ def _bootstrap(n_boot: int, seed: int = 1984, h: int = 12) -> str:
         "paths AS (SELECT target_id, boot, step, drive + phi * start AS z FROM shocks WHERE step = 1 UNION ALL "
         "SELECT s.target_id, s.boot, s.step, s.drive + s.phi * p.z FROM paths p JOIN shocks s "
         "ON s.target_id = p.target_id AND s.boot = p.boot AND s.step = p.step + 1), "
-        f"bounds AS (SELECT target_id, step, quantile_cont({_yj_inverse('z', 0.5)}, [0.05, 0.95]) AS q "
+        f"bounds AS (SELECT target_id, step, quantile_cont({_yj_inverse('z', 0.5)}, [0.05, 0.95]) AS q, "
+        f"count({_yj_inverse('z', 0.5)}) AS n_paths "
         "FROM paths GROUP BY 1, 2)"
     )
 
 
 _POINT = _yj_inverse("a.z", 0.5)
-ORACLES["fc_bootstrap_interval"] = _with(
-    ["frame_half", "design"],
-    f"SELECT a.target_id, a.step, CAST(a.data AS VARCHAR) AS data, {_r('q[1]', 'ic_inferior', 2)}, "
-    f"{_r('q[2]', 'ic_superior', 2)}, {_r(_POINT, 'valor', 2)} FROM path a JOIN bounds b "
-    "ON a.target_id = b.target_id AND a.step = b.step",
-    _ridge(),
-    _SUPPLIER_SCENARIO,
-    _PATH,
-    _bootstrap(5000),
-    recursive=True,
-)
+
+
+def _interval(more: str = "") -> str:
+    return _with(
+        ["frame_half", "design"],
+        f"SELECT a.target_id, a.step, CAST(a.data AS VARCHAR) AS data, {_r('q[1]', 'ic_inferior', 2)}, "
+        f"{_r('q[2]', 'ic_superior', 2)}, {_r(_POINT, 'valor', 2)}{more} FROM path a JOIN bounds b "
+        "ON a.target_id = b.target_id AND a.step = b.step",
+        _ridge(),
+        _SUPPLIER_SCENARIO,
+        _PATH,
+        _bootstrap(5000),
+        recursive=True,
+    )
+
+
+ORACLES["fc_bootstrap_interval"] = _interval()
+ORACLES["fc_bootstrap_dealt"] = _interval(", b.n_paths")
 
 
 def _forecast_rows(alpha: float, label: str) -> str:

@@ -18,7 +18,7 @@ from tidegauge.operators import align, forecast, grid, models, panel, power, sce
 from tidegauge.operators.relational import union_all
 from tidegauge.schema import TARGET_LABEL, TARGET_SERIES
 from tidegauge.session import settle
-from tidegauge.sources import sinks
+from tidegauge.sources import publish
 
 # Regressors of the published model besides the lag and the month dummies.
 REGRESSORS = ["expec_ipca_top5_curto_prazo", "ic_br", "cambio_brl_eur", "ipc_s"]
@@ -197,19 +197,21 @@ def run(
     out: str,
     run_at: datetime | None = None,
 ) -> None:
-    """Forecast, replace the current forecast and append to the log.
+    """Forecast, and publish the current forecast and the log of all runs in one step.
 
     Raises before anything is written when a regressor, a path or a forecast is incomplete,
-    or a fit has not converged.
+    or a fit has not converged. A run with the stamp of an earlier one replaces it.
     """
     frame, scenario = published_inputs(monthly, catalog, survey_level, survey_change)
     scenario = require_scenario(settle(scenario, "scenario"))
     made = fit_and_forecast(frame, scenario, ["target_id"], REGRESSORS, strict=True)
     # one stamp for the whole run
-    stamp = F.lit(run_at or datetime.now()).cast("timestamp")
+    run_at = run_at or datetime.now()
+    stamp = F.lit(run_at).cast("timestamp")
     rows = settle(
         forecast.forecast_table(made, F.col("target_id"), F.col("tipo"), stamp), "forecast"
     )
     require_complete(rows, len(MODELS))
-    sinks.write_forecast(rows, f"{out}/forecast")
-    sinks.append_tracking(rows, f"{out}/tracking")
+    publish.publish(
+        spark, f"{out}/published", run_at.isoformat(), {"forecast": rows.drop("previsao"), "tracking": rows}
+    )

@@ -19,13 +19,13 @@ from tidegauge.functions import (
     safe_ln,
 )
 from tidegauge.functions.power import yeo_johnson, yeo_johnson_inverse
-from tidegauge.operators import align, blocks, expectations, forecast, grid, models, panel, power, rounds
+from tidegauge.operators import align, blocks, draws, expectations, forecast, grid, models, panel, power, rounds
 from tidegauge.operators import relational as rel
 from tidegauge.operators import scenarios, serving, transforms
 from tidegauge.plans import landing, outlook, shapes
 from tidegauge.schema import CATALOG_HEADER
 from tidegauge.session import new_dir, settle
-from tidegauge.sources import payloads, sinks, tables
+from tidegauge.sources import payloads, publish, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,6 +196,21 @@ def snk_append(spark, sf_dir):
     return rounded(rows.withColumn("previsao", F.date_format("previsao", "yyyy-MM-dd HH:mm:ss")))
 
 
+@query
+def snk_publish(spark, sf_dir):
+    """Two runs, the second one twice: the current forecast, and the log with each run once."""
+    root = new_dir(spark, "published")
+    _, ahead = shapes.served(spark, sf_dir)
+    ahead = settle(ahead, "ahead")
+    for run in ("2000-10-03 12:00:00", "2000-10-10 12:00:00", "2000-10-10 12:00:00"):
+        stamped = ahead.withColumn("previsao", F.lit(run).cast("timestamp"))
+        publish.publish(spark, root, run, {"forecast": ahead, "tracking": stamped})
+    log = publish.read_all(spark, root, "tracking")
+    log = log.withColumn("previsao", F.date_format("previsao", "yyyy-MM-dd HH:mm:ss"))
+    now = publish.read_current(spark, root, "forecast").withColumn("previsao", F.lit("now"))
+    return rounded(rel.union_all(log, now))
+
+
 # projections and predicates -------------------------------------------------------------
 
 
@@ -843,14 +858,14 @@ def fc_recursive(spark, sf_dir):
     return rounded(forecast.forecast_point(inputs, TARGET), 3)
 
 
-def _interval(frame, alpha=models.RIDGE_ALPHA, n_boot=forecast.N_BOOT):
+def _interval(frame, alpha=models.RIDGE_ALPHA, made=forecast.forecast_interval):
     """Intervals of every supplier, on the square-root-like scale of exponent 0.5."""
     frame = frame.withColumn("y", yeo_johnson(F.col("y"), F.lit(0.5)))
     rows = panel.design_matrix(frame, TARGET, EXOG, dummies=False)
     fitted = models.fit_ridge(rows, TARGET, PLAIN, alpha=alpha)
     resid = forecast.residual_lists(models.residuals(rows, fitted, TARGET, PLAIN), TARGET)
     inputs = _forecast_inputs(frame, fitted, EXOG, lam=0.5).join(resid, TARGET)
-    return forecast.forecast_interval(inputs, TARGET, n_boot=n_boot)
+    return made(inputs, TARGET)
 
 
 @query
@@ -858,6 +873,13 @@ def fc_bootstrap_interval(spark, sf_dir):
     return rounded(_interval(settle(shapes.supplier_frame(spark, sf_dir), "frame")), 2)
 
 
+@query
+def fc_bootstrap_dealt(spark, sf_dir):
+    """The same bounds from paths dealt over tasks and quantiles found by counting."""
+    frame = settle(shapes.supplier_frame(spark, sf_dir), "frame")
+    return rounded(_interval(frame, made=draws.forecast_interval_dealt), 2)
+
+
 @query
 def fc_table(spark, sf_dir):
     # two ridge fits stand for the two models
