@@ -254,3 +254,27 @@ def test_overlapping_files_leave_the_old_tables(spark, landed, stored, tmp_path)
     with pytest.raises(ValueError, match="duplicate key"):
         etl.run(spark, root, stored[1], out)
     assert not os.path.exists(f"{out}/long")
+
+
+def test_an_incremental_run_equals_a_full_one(spark, landed, stored, tmp_path, monkeypatch):
+    import shutil
+
+    root, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    shutil.copytree(landed[0], root)
+    late = next(p for p in (tmp_path / "landing").rglob("series_id=selic/1.json"))
+    text = late.read_text()
+    late.unlink()
+    etl.run(spark, root, stored[1], out, incremental=True)
+    assert wide(spark, f"{out}/daily")["selic"].count() < wide(spark, f"{stored[0]}/daily")["selic"].count()
+    late.write_text(text)
+    asked, scan = [], payloads._scan
+
+    def watched(session, base):
+        asked.append(base)
+        return scan(session, base)
+
+    monkeypatch.setattr(payloads, "_scan", watched)
+    etl.run(spark, root, stored[1], out, incremental=True)
+    assert [os.path.basename(a) for a in asked] == ["bcb_sgs"]  # the other sources' files are not opened
+    for name in ("daily", "monthly"):
+        pd.testing.assert_frame_equal(wide(spark, f"{out}/{name}"), wide(spark, f"{stored[0]}/{name}"))

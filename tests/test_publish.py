@@ -44,7 +44,7 @@ def test_a_run_killed_before_its_manifest_changes_nothing(spark, tmp_path, monke
         raise KeyboardInterrupt
 
     with monkeypatch.context() as patch:
-        patch.setattr(publish, "_commit", killed)
+        patch.setattr(publish, "commit", killed)
         with pytest.raises(KeyboardInterrupt):
             publish.publish(spark, root, "b", {"forecast": rows(spark, 2)})
     assert values(publish.read_current(spark, root, "forecast")) == [1]
@@ -64,7 +64,7 @@ def test_a_repeated_run_replaces_its_own_rows(spark, tmp_path):
 
 
 def test_two_runs_at_once_are_both_kept(spark, tmp_path, monkeypatch):
-    root, commit, other = str(tmp_path), publish._commit, []
+    root, commit, other = str(tmp_path), publish.commit, []
 
     def late(*args):
         if not other:  # the other run publishes while this one is about to
@@ -72,7 +72,7 @@ def test_two_runs_at_once_are_both_kept(spark, tmp_path, monkeypatch):
             publish.publish(spark, root, "b", {"tracking": rows(spark, 2)})
         return commit(*args)
 
-    monkeypatch.setattr(publish, "_commit", late)
+    monkeypatch.setattr(publish, "commit", late)
     publish.publish(spark, root, "a", {"tracking": rows(spark, 1)})
     assert values(publish.read_all(spark, root, "tracking")) == [1, 2]
     assert publish.manifest(spark, root)["current"] == "a"
@@ -80,7 +80,7 @@ def test_two_runs_at_once_are_both_kept(spark, tmp_path, monkeypatch):
 
 def test_a_taken_number_is_refused(spark, tmp_path):
     root = str(tmp_path)
-    assert publish._commit(spark, root, 1, {"current": "a", "runs": {}})
-    assert not publish._commit(spark, root, 1, {"current": "b", "runs": {}})
+    assert publish.commit(spark, root, 1, {"current": "a", "runs": {}})
+    assert not publish.commit(spark, root, 1, {"current": "b", "runs": {}})
     assert publish.manifest(spark, root)["current"] == "a"
     assert publish._numbers(spark, root) == [1]

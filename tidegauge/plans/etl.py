@@ -16,7 +16,7 @@ from tidegauge.operators import align, expectations, grid
 from tidegauge.operators.relational import union_all
 from tidegauge.schema import ANNUAL, DAILY, MONTHLY, require_unique
 from tidegauge.session import settle
-from tidegauge.sources import payloads, sinks, tables
+from tidegauge.sources import ledger, payloads, sinks, tables
 
 # Sub-folder of each source.
 FOLDERS = {
@@ -104,18 +104,26 @@ def reserve_rows(raw: DataFrame, monthly_ids: list[str]) -> tuple[DataFrame, Dat
     return daily, align.keep_anchor_dates(both, monthly_ids)
 
 
-def build(spark: SparkSession, landing: str, catalog: DataFrame, anchor: str | None = None) -> Tables:
+def build(
+    spark: SparkSession, landing: str, catalog: DataFrame, anchor: str | None = None, landed: str | None = None
+) -> Tables:
     """All sources to the daily and monthly long tables.
 
     ``anchor`` is the central bank's daily series whose dates the other daily ones follow;
     without it, the first by name, so that the order of the catalog's files does not matter.
     Raises when a source has two rows for one series and date: a grid would hide it.
+    ``landed`` names the folder of rows read before: only files new since then are read.
+    Surveys depend on their horizon, not on a date, and are read whole.
     """
     ids = _ids(catalog)
     names = {s: [i for i, source, _ in ids if source == s] for s in FOLDERS}
 
     def rows(source, reader):
-        raw = reader(spark, f"{landing}/{FOLDERS[source]}")
+        folder = FOLDERS[source]
+        if landed:
+            raw = ledger.refresh(spark, f"{landing}/{folder}", reader, f"{landed}/{folder}")
+        else:
+            raw = reader(spark, f"{landing}/{folder}")
         # a source's rows feed several branches: parse the files once
         routed = settle(tables.route_by_freq(raw, catalog, source), FOLDERS[source])
         return require_unique(routed, ["freq", "series_id", "data"])
@@ -150,12 +158,21 @@ def build(spark: SparkSession, landing: str, catalog: DataFrame, anchor: str | N
     )
 
 
-def run(spark: SparkSession, landing: str, catalog: DataFrame, out: str, anchor: str | None = None) -> None:
+def run(
+    spark: SparkSession,
+    landing: str,
+    catalog: DataFrame,
+    out: str,
+    anchor: str | None = None,
+    incremental: bool = False,
+) -> None:
     """Build and store: long tables for further work, wide ones as published.
 
-    Nothing is overwritten before the rows have been checked.
+    Nothing is overwritten before the rows have been checked. An ``incremental`` run keeps
+    the landed rows below ``out`` and reads only files that are new or changed; the tables
+    are made anew from the rows kept.
     """
-    made = build(spark, landing, catalog, anchor)
+    made = build(spark, landing, catalog, anchor, f"{out}/landed" if incremental else None)
     both = union_all(
         made.daily.withColumn("freq", F.lit("D")), made.monthly.withColumn("freq", F.lit("M"))
     )

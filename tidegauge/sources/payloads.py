@@ -8,11 +8,14 @@ JSON files carry one document per line unless ``multiline`` is set. A document,
 number that cannot be parsed fails the job: a null would pass for a missing value. Empty
 text and listed sentinels are NULL. Only ``read_json_array`` takes any text for a value: its
 source system does not convert it, so what is no number is NULL there.
+
+Given ``base``, the four readers of long rows take a list of files below that folder and
+return each row's ``file`` as well: the ledger of read files needs both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import (
@@ -30,45 +33,60 @@ SENTINELS = ("Valor", "...", "-")
 REF_PATTERNS = {"month": "MM/yyyy", "year": "yyyy"}
 
 
-def _long(df: DataFrame, data, value) -> DataFrame:
-    return df.select("series_id", data.alias("data"), value.alias("value"))
+def _scan(spark: SparkSession, base: str | None) -> DataFrameReader:
+    return spark.read.option("basePath", base) if base else spark.read
+
+
+def _file(base: str | None) -> list:
+    return [F.col("_metadata.file_path").alias("file")] if base else []
+
 
+def _long(df: DataFrame, data, value, *more) -> DataFrame:
+    return df.select("series_id", data.alias("data"), value.alias("value"), *more)
 
-def read_json_array(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+
+def read_json_array(
+    spark: SparkSession, path: str | list[str], multiline: bool = False, base: str | None = None
+) -> DataFrame:
     """``[{"data": "dd/mm/yyyy", "valor": "1.5"}, ...]``, many files per series."""
-    raw = spark.read.schema("data STRING, valor STRING, series_id STRING").json(
+    raw = _scan(spark, base).schema("data STRING, valor STRING, series_id STRING").json(
         path, multiLine=multiline, mode="FAILFAST"
     )
-    return _long(raw, parse_date(F.col("data"), "dd/MM/yyyy"), to_double(F.col("valor")))
+    return _long(raw, parse_date(F.col("data"), "dd/MM/yyyy"), to_double(F.col("valor")), *_file(base))
 
 
-def read_json_sentinel(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_json_sentinel(
+    spark: SparkSession, path: str | list[str], multiline: bool = False, base: str | None = None
+) -> DataFrame:
     """Records with a ``yyyyMM`` code and a text value; header and missing rows dropped."""
-    raw = spark.read.schema("D3C STRING, V STRING, series_id STRING").json(
+    raw = _scan(spark, base).schema("D3C STRING, V STRING, series_id STRING").json(
         path, multiLine=multiline, mode="FAILFAST"
     )
     # NOT IN keeps a null value, as the source system's own filter does
     kept = raw.filter(F.coalesce(~F.col("V").isin(*SENTINELS), F.lit(True)))
     # the header row's code is no date, and the optimiser may read dates before it filters
     day = F.when(~F.coalesce(F.col("V").isin(*SENTINELS), F.lit(False)), F.to_date("D3C", "yyyyMM"))
-    return _long(kept, day, strict_double(F.col("V"), SENTINELS))
+    return _long(kept, day, strict_double(F.col("V"), SENTINELS), *_file(base))
 
 
-def read_json_nested(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_json_nested(
+    spark: SparkSession, path: str | list[str], multiline: bool = False, base: str | None = None
+) -> DataFrame:
     """``{"value": [{"VALDATA": <offset timestamp>, "VALVALOR": 1.5}, ...]}``."""
-    raw = spark.read.schema(
+    raw = _scan(spark, base).schema(
         "value ARRAY<STRUCT<VALDATA: STRING, VALVALOR: STRING>>, series_id STRING"
     ).json(path, multiLine=multiline, mode="FAILFAST")
-    rows = raw.select("series_id", F.inline("value"))
-    return _long(rows, utc_date(F.col("VALDATA")), strict_double(F.col("VALVALOR")))
+    rows = raw.select("series_id", *_file(base), F.inline("value"))
+    more = ["file"] if base else []
+    return _long(rows, utc_date(F.col("VALDATA")), strict_double(F.col("VALVALOR")), *more)
 
 
-def read_csv_wide(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_wide(spark: SparkSession, path: str | list[str], base: str | None = None) -> DataFrame:
     """``observation_date,<code>``: the second column's name differs per series."""
-    raw = spark.read.schema("observation_date STRING, reading STRING, series_id STRING").csv(
+    raw = _scan(spark, base).schema("observation_date STRING, reading STRING, series_id STRING").csv(
         path, header=True
     )
-    return _long(raw, F.to_date("observation_date"), strict_double(F.col("reading"), (".",)))
+    return _long(raw, F.to_date("observation_date"), strict_double(F.col("reading"), (".",)), *_file(base))
 
 
 def read_decimal_comma(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:

@@ -51,13 +51,18 @@ def _load(spark: SparkSession, root: str, number: int) -> dict:
         stream.close()
 
 
+def latest(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """Number and content of the last manifest; 0 and nothing before the first."""
+    numbers = _numbers(spark, root)
+    return (numbers[-1], _load(spark, root, numbers[-1])) if numbers else (0, {})
+
+
 def manifest(spark: SparkSession, root: str) -> dict:
     """``current`` (a run's name or None) and ``runs``, the folder of each published run by name."""
-    numbers = _numbers(spark, root)
-    return _load(spark, root, numbers[-1]) if numbers else {"current": None, "runs": {}}
+    return latest(spark, root)[1] or {"current": None, "runs": {}}
 
 
-def _commit(spark: SparkSession, root: str, number: int, state: dict) -> bool:
+def commit(spark: SparkSession, root: str, number: int, state: dict) -> bool:
     """Write manifest ``number``; False if there is one already."""
     files, fs = _files(spark, root)
     folder = f"{root}/{MANIFESTS}"
@@ -90,10 +95,8 @@ def publish(spark: SparkSession, root: str, run: str, tables: Mapping[str, DataF
     for name, rows in tables.items():
         rows.write.parquet(f"{root}/{folder}/{name}")
     while True:
-        numbers = _numbers(spark, root)
-        last = numbers[-1] if numbers else 0
-        state = _load(spark, root, last) if last else {"runs": {}}
-        if _commit(spark, root, last + 1, {"current": run, "runs": state["runs"] | {run: folder}}):
+        last, state = latest(spark, root)
+        if commit(spark, root, last + 1, {"current": run, "runs": state.get("runs", {}) | {run: folder}}):
             return
 
 
