@@ -14,8 +14,8 @@ def decimal_comma_text(value: Column) -> Column:
     return F.replace(value.cast("string"), F.lit("."), F.lit(","))
 
 
-def _write_text(df: DataFrame, path: str) -> None:
-    df.select("series_id", "value").write.partitionBy("series_id").text(path)
+def _write_text(df: DataFrame, path: str, mode: str = "error") -> None:
+    df.select("series_id", "value").write.mode(mode).partitionBy("series_id").text(path)
 
 
 def _year_arrays(long: DataFrame, record: Column) -> DataFrame:
@@ -24,13 +24,13 @@ def _year_arrays(long: DataFrame, record: Column) -> DataFrame:
     ).select("series_id", F.col("_rows._r").alias("records"))
 
 
-def land_json_array(long: DataFrame, path: str) -> None:
+def land_json_array(long: DataFrame, path: str, mode: str = "error") -> None:
     record = F.struct(
         F.date_format("data", "dd/MM/yyyy").alias("data"),
         F.col("value").cast("string").alias("valor"),
     )
     arrays = _year_arrays(long, record)
-    _write_text(arrays.withColumn("value", F.to_json("records")), path)
+    _write_text(arrays.withColumn("value", F.to_json("records")), path, mode)
 
 
 def land_json_sentinel(long: DataFrame, path: str) -> None:

@@ -229,6 +229,7 @@ ORACLES["src_catalog"] = _with(
     _catalog(),
 )
 ORACLES["src_json_array"] = _with(["daily"], f"SELECT series_id, {_text()}, value FROM daily")
+ORACLES["src_landed"] = ORACLES["src_json_array"]
 ORACLES["src_json_sentinel"] = _with(
     ["monthly"], f"SELECT series_id, {_text()}, {_r('value')} FROM monthly WHERE value IS NOT NULL"
 )
