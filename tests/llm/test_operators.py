@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 import xxhash
 
 import corpus_pipeline
@@ -137,6 +138,57 @@ def test_secrets_finds_random_strings_wherever_they_stand():
     assert not [t for t in plain if secrets.find(t, path)]
 
 
+ALPHABETS = {
+    # alphabet, least share found of 16 characters and of 24
+    "letters": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.99, 0.99),
+    "letters and digits": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.99, 0.99),
+    "lower and digits": ("abcdefghijklmnopqrstuvwxyz0123456789", 0.97, 0.98),
+    "upper hex": ("0123456789ABCDEF", 0.93, 0.97),
+    "lower": ("abcdefghijklmnopqrstuvwxyz", 0.7, 0.85),
+    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.85, 0.95),
+}
+CLEAN = (
+    "internationalization counterrevolutionaries electroencephalographically Geschwindigkeitsbegrenzung "
+    "Donaudampfschifffahrtsgesellschaftskapitaen Rindfleischetikettierungsueberwachungsaufgabenuebertragungsgesetz "
+    "Kraftfahrzeughaftpflichtversicherung Arbeiterunfallversicherungsgesetz lentokonesuihkuturbiinimoottori "
+    "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogoch taumatawhakatangihangakoauauotamatea szerencsetlenseg "
+    "getElementsByTagNameNS XMLHttpRequestEventTarget ACGTACGTTGCAACGTTGCAGTCA gattacagattacagattaca "
+    "f=1234567890123456789 order/2024-11-30/000012345678901234 978-3-16-148410-0 1.2.840.113549.1.1.11.1234567890"
+).split()
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_secrets_recall_by_alphabet_and_length(name):
+    path, rng = secrets.tokenizer_path(), np.random.default_rng(9)
+    alphabet, *least = ALPHABETS[name]
+    for n, share in zip((16, 24), least):
+        drawn = ["".join(rng.choice(list(alphabet), n)) for _ in range(300)]
+        found = sum(any(k == "random" for k, _, _ in secrets.find(f"key {s} end", path)) for s in drawn)
+        assert found >= share * 300, (n, found)
+
+
+def test_secrets_leaves_words_numbers_and_sequences():
+    path, rng = secrets.tokenizer_path(), np.random.default_rng(10)
+    assert [w for w in CLEAN if secrets.find(f"see {w} there", path)] == []
+    numbers = ["".join(rng.choice(list("0123456789"), n)) for n in (16, 20, 24, 40) for _ in range(100)]
+    assert [n for n in numbers if any(k == "random" for k, _, _ in secrets.find(f"order {n}", path))] == []
+
+
+def test_secrets_digests_are_known_by_their_label():
+    path, rng = secrets.tokenizer_path(), np.random.default_rng(11)
+    draw = lambda n: "".join(rng.choice(list("0123456789ABCDEF"), n))
+    for n in (32, 40, 64):
+        key = draw(n)
+        for text in (f"sha256:{key}", f'ETag="{key}"', f"commit {key}", f"MD5 ({key})", f"a digest = {key} b"):
+            assert secrets.find(text, path) == [], text
+        assert secrets.find(f"the key {key} is", path) == [("random", 8, 8 + n)]
+    import base64
+
+    sri = base64.b64encode(rng.bytes(48)).decode()
+    assert secrets.find(f'integrity="sha384-{sri}"', path) == []
+    assert secrets.find(hashlib.sha1(b"").hexdigest().upper(), path) == []
+
+
 def test_secrets_edges(edge, none):
     got = by_id(secrets.report(secrets.scan_documents(edge)))
     assert sum(map(len, got.values())) == len(EDGE)
@@ -558,6 +610,37 @@ def _written(spark, pages):
     return path
 
 
+def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 18)
+    sizes = [10] * 30 + [60_000] * 9 + [100_000] * 5 + [400_000] * 2 + [2_000_000]
+    rows = [(i, f"http://h{i % 3}.example.org/", chr(97 + i % 26) * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    runs = warc.runs(spark, _written(spark, df))
+    files = runs.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.coalesce("payload_bytes", F.lit(0))).alias("b")).collect()
+    assert all(r["b"] <= 1 << 18 or r["n"] == 1 for r in files)
+    assert sum(r["n"] for r in files) == len(sizes) and max(r["b"] for r in files) == 2_000_000
+
+
+def test_warc_one_key_over_many_ranges(spark):
+    """A key with most captures is cut over ranges of a stated size, and stays in order."""
+    from tidegauge.session import settle
+
+    rows = [(i, "http://hot.example.org/" if i % 4 else f"http://h{i}.example.org/", f"page {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    runs = settle(warc.runs(spark, _written(spark, df)), "runs")
+    made = warc.merged(runs, range_rows=100).withColumn("at", F.spark_partition_id()).collect()
+    keys = [(r["url_key"], r["captured"]) for r in made]
+    assert keys == sorted(keys) and sorted(r["page_id"] for r in made) == list(range(2000))
+    assert len({r["at"] for r in made if "hot" in r["url"]}) > 5
+
+
+def test_warc_pieces_of_runs_are_not_sorted_again():
+    row = lambda k: (None, k, "t", None, None, None, None, None, "f", 0, 0)
+    pieces = warc.sorted_pieces([row(k) for k in "acebdda"])
+    assert [[r[1] for r in p] for p in pieces] == [["a", "c", "e"], ["b", "d", "d"], ["a"]]
+    assert warc.sorted_pieces([]) == []
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
 def test_loser_tree(k):
     rng = np.random.default_rng(k)

@@ -4,14 +4,18 @@ A byte-pair vocabulary is learnt from written text, so words take few tokens and
 strings take many. Runs of code characters are cut at the fixed patterns' spans, at known
 digests and at UUIDs; what is left is reported if it has few characters per token, as a
 whole, by the parts between separators, or by a stretch of a long one. Words and numbers
-joined by separators are judged by their longer words alone. Every whole text is scanned;
-null is empty.
+joined by separators are judged by their longer words alone. A digest is known by what stands
+before it (``sha256:``, ``etag=``, ``commit`` and the like) or as that of no bytes at all, not
+by its length. Numbers and nucleotide sequences are identifiers. Letters of one case can be a
+long word of a language the vocabulary knows little of, so their limit is lower, lowest for
+short ones. Every whole text is scanned, very long ones too; null is empty.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 
 import pandas as pd
@@ -23,8 +27,10 @@ from tidegauge.llm.common import spans_text, text_or_empty
 KINDS = ("assign", "access", "hex", "random")
 SPANS = "array<struct<kind string, start int, end int>>"
 TOKENIZER = "byte_bpe_50k.tiktoken"
-MIN_LENGTH = 20
+MIN_LENGTH = 16
 MAX_RATIO = 2.2  # characters a token
+WORD_RATIO = 0.93  # of that, for letters of one case
+SHORT_RATIO, SHORT_WORD = 0.86, 20  # and for fewer letters than that
 LONG = 2 * MIN_LENGTH  # of a run that is searched for a random stretch
 WORDY = 6  # letters of a joined word that is judged
 
@@ -34,12 +40,20 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
 WORDS = ("passw", "secret", "token", "api")
-# digests by length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and identifiers
+# digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and identifiers
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
+INTEGRITY = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]{43,86}={0,2}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-KNOWN = re.compile(f"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])")
+KNOWN = re.compile(f"(?<![A-Za-z0-9])(?:(?P<sure>{UUID.pattern}|{INTEGRITY.pattern})|{DIGEST.pattern})(?![A-Za-z0-9])")
+LABEL = re.compile(
+    r"(?<![A-Za-z])(?:md5|sha-?(?:1|224|256|384|512)|digest|checksum|etag|commit|revision)(?:sum)?[\"']?[\x20:=@/(-]{1,3}[\"']?\Z",
+    re.IGNORECASE,
+)
+NO_BYTES = {hashlib.new(name).hexdigest() for name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")}
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+BASES = re.compile(r"[ACGTUN]+|[acgtun]+")
 PART = re.compile(r"[A-Za-z0-9+_]+")
 PLAIN = re.compile(r"[A-Za-z]*[0-9]*")
 DOTTED = re.compile(r"[A-Za-z]+[0-9]*(?:[._/-]+[A-Za-z]+[0-9]*)*|[0-9]+(?:[._/-]+[0-9]+)*")
@@ -93,17 +107,35 @@ def random_stretch(run: str, path: str, max_ratio: float) -> tuple[int, int] | N
     return found
 
 
+def limit(run: str, max_ratio: float) -> float:
+    """Characters a token below which a run reads as random."""
+    if not WORD.fullmatch(run):
+        return max_ratio
+    return max_ratio * (SHORT_RATIO if len(run) < SHORT_WORD else WORD_RATIO)
+
+
 def is_random(run: str, path: str, max_ratio: float) -> bool:
     """Whether a whole run is long enough and takes many tokens for its length."""
-    if len(run) < MIN_LENGTH:
+    if len(run) < MIN_LENGTH or BASES.fullmatch(run):
         return False
     parts = PART.findall(run)
+    # numbers are identifiers: what is left without them must be long enough
+    if sum(len(p) for p in parts if not p.isdigit()) < MIN_LENGTH:
+        return False
     if len(parts) > 1 and DOTTED.fullmatch(run):
         words = [p for p in parts if len(p) >= WORDY and not p.isdigit()]
-        return sum(map(len, words)) >= MIN_LENGTH and sum(map(len, words)) < max_ratio * sum(
-            len(p) / chars_per_token(p, path) for p in words
+        return sum(map(len, words)) >= MIN_LENGTH and sum(map(len, words)) < sum(
+            limit(p, max_ratio) * len(p) / chars_per_token(p, path) for p in words
         )
-    return chars_per_token(run, path) < max_ratio
+    return chars_per_token(run, path) < limit(run, max_ratio)
+
+
+def _is_known(text: str, start: int, hit: re.Match) -> bool:
+    """Whether a digest or UUID found in the run at ``start`` is known to be one."""
+    if hit["sure"] or hit[0].lower() in NO_BYTES:
+        return True
+    at = start + hit.start()
+    return LABEL.search(text[max(0, at - 24) : at]) is not None
 
 
 def random_spans(run: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
@@ -125,8 +157,11 @@ def random_spans(run: str, path: str, max_ratio: float = MAX_RATIO) -> list[tupl
             continue
         a, b = start + got[0], start + got[1]
         parts = PART.findall(run[a:b])
-        # plain words and numbers that separators alone make long are none
-        if len(parts) == 1 or not all(PLAIN.fullmatch(p) for p in parts):
+        # plain words and numbers that separators alone make long are none, nor is part of a word
+        if len(parts) == 1:
+            if not WORD.fullmatch(parts[0]) and not parts[0].isdigit():
+                out.append((a, b))
+        elif not all(PLAIN.fullmatch(p) for p in parts):
             out.append((a, b))
         todo += [(start, a), (b, end)]
     return sorted(out)
@@ -166,7 +201,7 @@ def find(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[str,
         for m in RUN.finditer(text):
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
-            cuts = [m.start() + c for k in KNOWN.finditer(m[0]) for c in k.span()]
+            cuts = [m.start() + c for k in KNOWN.finditer(m[0]) if _is_known(text, m.start(), k) for c in k.span()]
             cuts = sorted([*zip(cuts[::2], cuts[1::2]), *_overlapping(taken, at, m.end())])
             for a, b in _between(*m.span(), cuts):
                 out += [("random", a + x, a + y) for x, y in random_spans(text[a:b], path, max_ratio)]

@@ -5,6 +5,8 @@ record has the same payload, a revisit that refers to it. The text writer puts a
 after each row, and a WARC record ends in just such a one, so the files are plain archives.
 Reading gives each file's captures as a run sorted by URL key and time; runs are exchanged
 once by ranges of the key and a loser tree merges each range's runs into capture histories.
+Files hold a stated number of bytes, or one record that is larger, and a range a stated number
+of captures, however many share a key: neither grows with the data.
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ import re
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import bits_of, may_be_in
 from tidegauge.session import new_dir, settle
 
 MIN_REVISIT = 100  # payload bytes
-RECORDS = 500  # a file
+FILE_BYTES = 32 << 20  # of payload in a file of more than one record
+SMALL = 16  # log2 of the payload bytes up to which records share a file by their number alone
+RANGE_ROWS = 100_000  # captures of one range of the merge
 LOG2_BITS = 24
 END = "\r\n\r\n"
 EPOCH = 1_704_067_200  # first capture, 2024-01-01; page n follows n seconds later
@@ -98,10 +102,29 @@ def records(typed: DataFrame) -> DataFrame:
     )
 
 
+def size_class() -> Column:
+    """Log2 of the payload bytes, rounded up; ``SMALL`` for all smaller records."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    return F.greatest(F.lit(SMALL), F.ceil(F.log2(F.greatest(size, F.lit(1))))).cast("int")
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write the pages below ``path``, ``RECORDS`` at most to a file."""
-    writer = records(with_types(pages)).write.option("lineSep", END).option("compression", "none")
-    writer.option("maxRecordsPerFile", RECORDS).text(path)
+    """Write the pages below ``path``, ``FILE_BYTES`` of payload at most to a file, or one record.
+
+    Records of one class of sizes share files, so that a number of records bounds the bytes.
+    Most tables have one class; there are at most fifteen.
+    """
+    classes = sorted(r["c"] for r in pages.select(size_class().alias("c")).distinct().collect())
+    typed = with_types(pages)
+    if len(classes) > 1:
+        typed = settle(typed, "typed")
+    own = F.greatest(F.lit(SMALL), F.ceil(F.log2(F.greatest("size", F.lit(1))))).cast("int")
+    for c in classes:
+        rows = typed.filter(own == c) if len(classes) > 1 else typed
+        writer = records(rows).write.option("lineSep", END).option("compression", "none").mode("append")
+        writer.option("maxRecordsPerFile", max(1, FILE_BYTES >> c)).text(path)
+    if not classes:
+        records(typed).write.text(path)
 
 
 def parse(content: bytes):
@@ -147,10 +170,7 @@ def runs(spark, path: str) -> DataFrame:
                         )
                     )
                 run.sort(key=order)
-                frame_out = pd.DataFrame(run, columns=[c.split()[0] for c in INDEX.split(", ")])
-                for c in ("page_id", "refers_to", "payload_bytes"):
-                    frame_out[c] = frame_out[c].astype("Int64")
-                yield frame_out
+                yield _frame(run)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.filter(F.col("length") > 0).select("path", "content").mapInPandas(read, INDEX)
@@ -201,38 +221,41 @@ class LoserTree:
             self.winner = i
 
 
-def merged(sorted_runs: DataFrame) -> DataFrame:
+def sorted_pieces(rows: list[tuple]) -> list[list[tuple]]:
+    """Rows cut where the order breaks: the runs, or pieces of them, as they arrived."""
+    cuts = [0, *(i for i in range(1, len(rows)) if order(rows[i]) < order(rows[i - 1])), len(rows)]
+    return [rows[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def merged(sorted_runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Captures in global order of URL key and time, partition after partition.
 
-    ``capture`` numbers the captures of a URL key within a partition's range. One key's
-    captures may lie in several ranges, since the range key ends in file and position.
+    ``sorted_runs`` is a stored table; it is counted for the number of ranges. The range key
+    ends in file and position, so a URL key with many captures is cut over ranges, and a task
+    holds one range: some ``range_rows`` captures, without their payloads.
     """
 
     def merge(frames):
-        kept = [f for f in frames if len(f)]
-        if not kept:
-            return
-        rows = pd.concat(kept, ignore_index=True)
-        groups = []
-        for _, g in rows.groupby("file", sort=False):
-            # blocks of one run arrive in order; a run that did not is put in order here
-            groups.append(sorted(g.astype(object).where(g.notna(), None).itertuples(index=False, name=None), key=order))
-        out, last, number = [], None, 0
-        for row in LoserTree(groups, order):
-            number = number + 1 if row[1] == last else 0
-            last = row[1]
-            out.append((*row, number))
+        rows = []
+        for frame in frames:
+            rows += frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)
+        out = []
+        for row in LoserTree(sorted_pieces(rows), order):
+            out.append(row)
             if len(out) == 10_000:
                 yield _frame(out)
                 out = []
         if out:
             yield _frame(out)
 
-    return sorted_runs.repartitionByRange("url_key", "captured", "file", "position").mapInPandas(merge, f"{INDEX}, capture long")
+    own = int(sorted_runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(own, -(-sorted_runs.count() // range_rows))
+    dealt = sorted_runs.repartitionByRange(ranges, "url_key", "captured", "file", "position")
+    return dealt.mapInPandas(merge, INDEX)
 
 
 def _frame(rows) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in f"{INDEX}, capture long".split(", ")])
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
     for c in ("page_id", "refers_to", "payload_bytes"):
         out[c] = out[c].astype("Int64")
     return out
