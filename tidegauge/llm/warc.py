@@ -115,16 +115,11 @@ def write_archives(pages: DataFrame, path: str) -> None:
     Most tables have one class; there are at most fifteen.
     """
     classes = sorted(r["c"] for r in pages.select(size_class().alias("c")).distinct().collect())
-    typed = with_types(pages)
-    if len(classes) > 1:
-        typed = settle(typed, "typed")
-    own = F.greatest(F.lit(SMALL), F.ceil(F.log2(F.greatest("size", F.lit(1))))).cast("int")
-    for c in classes:
-        rows = typed.filter(own == c) if len(classes) > 1 else typed
-        writer = records(rows).write.option("lineSep", END).option("compression", "none").mode("append")
+    for c in classes or [SMALL]:
+        # equal payloads are of one class, so each class can be typed by itself
+        rows = records(with_types(pages.filter(size_class() == c) if len(classes) > 1 else pages))
+        writer = rows.write.option("lineSep", END).option("compression", "none").mode("append")
         writer.option("maxRecordsPerFile", max(1, FILE_BYTES >> c)).text(path)
-    if not classes:
-        records(typed).write.text(path)
 
 
 def parse(content: bytes):
