@@ -5,7 +5,7 @@ Common table expressions are named pieces put in front of a query's own text.
 
 from __future__ import annotations
 
-from tidegauge.plans.shapes import EXOG, FLAGS, PRIORITIES
+from tidegauge.plans.shapes import BALANCE, EXOG, FLAGS, PRIORITIES
 
 
 def _month(day: str) -> str:
@@ -352,6 +352,17 @@ ORACLES["jn_outer_nway"] = _with(
         if i
     ),
 )
+_BRANDS = (
+    f"brands AS (SELECT concat(p_brand, ' ', p_size) AS series_id, {_month('l_shipdate')} AS data, "
+    "sum(CAST(floor(l_extendedprice) AS DOUBLE)) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+)
+ORACLES["jn_outer_many"] = _with([], f"SELECT {_text()}, series_id, value FROM brands", _BRANDS)
+ORACLES["jn_left_many"] = _with(
+    [],
+    f"SELECT {_text()}, series_id, value FROM brands WHERE data IN "
+    "(SELECT data FROM brands WHERE series_id = (SELECT min(series_id) FROM brands))",
+    _BRANDS,
+)
 ORACLES["jn_left_monthlyised"] = _with(
     ["rates", "monthly"],
     "SELECT CAST(a.data AS VARCHAR) AS data, "
@@ -744,6 +755,58 @@ ORACLES["mod_yeo_johnson_lambda"] = _with(
     _lambda_round("r4", "r3", 0.0005),
 )
 
+# both signs: values, exponents and likelihoods of several columns at once
+_COLUMNS = ["quantity", "discount", "tax"]
+_SIGNED = "signed AS (" + " UNION ALL ".join(
+    f"SELECT target_id, data, '{c}' AS part, {c}{f' - {BALANCE}' if c == 'quantity' else ''} AS v FROM frame"
+    for c in _COLUMNS
+) + ")"
+_PSI_SIGNED = (
+    "CASE WHEN f.v >= 0 THEN CASE WHEN l.lam = 0 THEN ln(1 + f.v) ELSE (pow(f.v + 1, l.lam) - 1) / l.lam END "
+    "ELSE CASE WHEN l.lam = 2 THEN -ln(1 - f.v) ELSE -(pow(1 - f.v, 2 - l.lam) - 1) / (2 - l.lam) END END"
+)
+
+
+def _signed_round(name: str, before: str, step: float) -> str:
+    return (
+        f"{name} AS (SELECT target_id, part, max_by(lam, loglik) AS lam FROM (SELECT f.target_id, f.part, l.lam, "
+        f"-count(*) / 2 * ln(var_pop({_PSI_SIGNED})) + (l.lam - 1) * sum(sign(f.v) * ln(1 + abs(f.v))) AS loglik "
+        f"FROM signed f JOIN (SELECT r.target_id, r.part, r.lam + g.k * CAST({step!r} AS DOUBLE) AS lam FROM {before} r, "
+        "(SELECT unnest(generate_series(-10, 10)) AS k) g) l ON f.target_id = l.target_id AND f.part = l.part "
+        "GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+    )
+
+
+_SEARCHED = [
+    _SIGNED,
+    "r0 AS (SELECT DISTINCT target_id, part, CAST(0 AS DOUBLE) AS lam FROM signed)",
+    *[_signed_round(f"r{i + 1}", f"r{i}", step) for i, step in enumerate((0.5, 0.05, 0.005, 0.0005))],
+    f"params AS (SELECT f.target_id, f.part, l.lam, avg({_PSI_SIGNED}) AS mu, stddev_pop({_PSI_SIGNED}) AS sd "
+    "FROM signed f JOIN r4 l ON f.target_id = l.target_id AND f.part = l.part GROUP BY 1, 2, 3)",
+]
+ORACLES["mod_yeo_johnson_signed"] = _with(
+    ["frame"],
+    f"SELECT target_id, {_r('lam', digits=4)}, {_r('mu', digits=4)}, {_r('sd', digits=4)} FROM params WHERE part = 'quantity'",
+    *_SEARCHED,
+)
+ORACLES["mod_frame_params"] = _with(
+    ["frame"],
+    "SELECT target_id, "
+    + ", ".join(
+        f"round_even(max(CASE WHEN part = '{c}' THEN {p} END), 4) AS {c}_{p}" for c in _COLUMNS for p in ("lam", "mu", "sd")
+    )
+    + " FROM params GROUP BY 1",
+    *_SEARCHED,
+)
+ORACLES["mod_frame_apply"] = _with(
+    ["frame"],
+    "SELECT target_id, CAST(data AS VARCHAR) AS data, "
+    + ", ".join(f"round_even(max(CASE WHEN part = '{c}' THEN z END), 4) AS {c}" for c in _COLUMNS)
+    + f" FROM (SELECT f.target_id, f.data, f.part, ({_PSI_SIGNED} - l.mu) / l.sd AS z FROM signed f "
+    "JOIN params l ON f.target_id = l.target_id AND f.part = l.part) GROUP BY 1, 2",
+    *_SEARCHED,
+)
+
 # scenarios
 ORACLES["scn_survey"] = _with(
     ["asked", "period"],

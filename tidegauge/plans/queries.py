@@ -342,6 +342,33 @@ def jn_outer_nway(spark, sf_dir):
     return align.to_wide(both, [*shapes.PRIORITIES, *shapes.FLAGS])
 
 
+def _columns_to_rows(wide):
+    """The wide table's columns as (series_id, value) rows, its nulls left out."""
+    names = [c for c in wide.columns if c != "data"]
+    values = F.expr(f"array({', '.join(map(align.quoted, names))})")
+    pairs = F.arrays_zip(F.lit(names).alias("series_id"), values.alias("value"))
+    return wide.select("data", F.inline(pairs)).filter("value is not null")
+
+
+def _brand_columns(spark, sf_dir, anchored):
+    rows = settle(shapes.brand_sizes(spark, sf_dir), "brand_sizes")
+    # brands times sizes, which do not grow with the tables
+    names = sorted(r["series_id"] for r in rows.select("series_id").distinct().collect())
+    return _columns_to_rows(align.to_wide(rows, names, anchors=names[:1] if anchored else None))
+
+
+@query
+def jn_outer_many(spark, sf_dir):
+    """A column for each brand and size, by slots: the full outer join of more than a thousand series."""
+    return _brand_columns(spark, sf_dir, False)
+
+
+@query
+def jn_left_many(spark, sf_dir):
+    """The same, on the months of the first series."""
+    return _brand_columns(spark, sf_dir, True)
+
+
 @query
 def jn_left_monthlyised(spark, sf_dir):
     # the anchors end before the other series
@@ -660,6 +687,7 @@ def fn_numeric(spark, sf_dir):
 TARGET = ["target_id"]
 EXOG = ["quantity", "discount"]
 PLAIN = panel.features(EXOG, dummies=False)
+SCALED = ["quantity", "discount", "tax"]  # the first has both signs
 STILL = 1e-6  # largest gradient of a proved fit, relative to its terms
 
 
@@ -793,6 +821,26 @@ def mod_yeo_johnson_lambda(spark, sf_dir):
     return rounded(power.power_params(frame, TARGET, "quantity"), 4)
 
 
+@query
+def mod_yeo_johnson_signed(spark, sf_dir):
+    """The search on values of both signs."""
+    return rounded(power.power_params(shapes.signed_frame(spark, sf_dir), TARGET, "quantity"), 4)
+
+
+@query
+def mod_frame_params(spark, sf_dir):
+    """Exponent, mean and deviation of three columns of a frame at once, one of them of both signs."""
+    frame = shapes.signed_frame(spark, sf_dir)
+    return rounded(power.frame_params(frame, TARGET, SCALED), 4)
+
+
+@query
+def mod_frame_apply(spark, sf_dir):
+    """The frame on its transformed, standardised scale."""
+    frame = settle(shapes.signed_frame(spark, sf_dir), "frame").select(*TARGET, "data", *SCALED)
+    return rounded(power.frame_apply(frame, power.frame_params(frame, TARGET, SCALED), TARGET, SCALED), 4)
+
+
 # scenarios and forecasts ----------------------------------------------------------------
 
 

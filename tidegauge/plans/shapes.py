@@ -205,3 +205,21 @@ def supplier_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["y", *EXOG]
     dense = grid.asfreq_month(cells, ["target_id"], columns, scope="series")
     return grid.fill_both(dense, ["target_id"], columns)
+
+
+BALANCE = 25  # a quantity's usual level: about half of the months lie on each side
+
+
+def signed_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``supplier_frame`` with quantities counted from their usual level: both signs occur."""
+    return supplier_frame(spark, sf_dir).withColumn("quantity", F.col("quantity") - BALANCE)
+
+
+def brand_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly shipped value per brand and size of part: more series than are spelled out."""
+    lines, month = table(spark, sf_dir, "lineitem"), month_start(F.col("l_shipdate")).alias("data")
+    sold = lines.groupBy("l_partkey", month).agg(F.sum(F.floor("l_extendedprice").cast("double")).alias("value"))
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_brand", "p_size").alias("series_id")
+    )
+    return sold.join(parts, "l_partkey").groupBy("series_id", "data").agg(F.sum("value").alias("value"))
