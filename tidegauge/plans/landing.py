@@ -33,6 +33,21 @@ def land_json_array(long: DataFrame, path: str, mode: str = "error") -> None:
     _write_text(arrays.withColumn("value", F.to_json("records")), path, mode)
 
 
+def land_json_windows(long: DataFrame, path: str, years: int = 5) -> None:
+    """As ``land_json_array``, in a folder for each window of ``years`` years."""
+    record = F.struct(
+        F.date_format("data", "dd/MM/yyyy").alias("data"),
+        F.col("value").cast("string").alias("valor"),
+    )
+    year = F.year("data")
+    first = year - year % years
+    window = F.format_string("%04d-01-01_%04d-12-31", first, first + years - 1)
+    arrays = long.groupBy("series_id", window.alias("window"), year.alias("_y")).agg(
+        F.to_json(F.collect_list(record)).alias("value")
+    )
+    arrays.select("series_id", "window", "value").write.partitionBy("series_id", "window").text(path)
+
+
 def land_json_sentinel(long: DataFrame, path: str) -> None:
     """The first record is a header; a missing number is ``...``."""
     record = F.struct(

@@ -230,6 +230,9 @@ ORACLES["src_catalog"] = _with(
 )
 ORACLES["src_json_array"] = _with(["daily"], f"SELECT series_id, {_text()}, value FROM daily")
 ORACLES["src_landed"] = ORACLES["src_json_array"]
+ORACLES["src_payload_format"] = (
+    ORACLES["src_json_array"] + " WHERE series_id IN ('1-URGENT', '4-NOT SPECIFIED') AND daily.data >= DATE '1996-01-01'"
+)
 ORACLES["src_json_sentinel"] = _with(
     ["monthly"], f"SELECT series_id, {_text()}, {_r('value')} FROM monthly WHERE value IS NOT NULL"
 )

@@ -25,7 +25,7 @@ from tidegauge.operators import scenarios, serving, transforms
 from tidegauge.plans import landing, outlook, shapes
 from tidegauge.schema import CATALOG_HEADER
 from tidegauge.session import new_dir, settle
-from tidegauge.sources import ledger, payloads, publish, sinks, tables
+from tidegauge.sources import ledger, payload_format, payloads, publish, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +96,17 @@ def src_landed(spark, sf_dir):
     return rows
 
 
+@query
+def src_payload_format(spark, sf_dir):
+    """Two series since 1996 through the data source; files of other series and windows stay closed."""
+    path = new_dir(spark, "windows")
+    landing.land_json_windows(shapes.daily_orders(spark, sf_dir), path)
+    payload_format.register(spark)
+    rows = spark.read.format("payload").option("path", path).option("layout", "json_array").load()
+    asked = F.col("series_id").isin("1-URGENT", "4-NOT SPECIFIED") & (F.col("data") >= F.lit("1996-01-01").cast("date"))
+    return rows.filter(asked)
+
+
 @query
 def src_json_sentinel(spark, sf_dir):
     path = new_dir(spark, "json-sentinel")
