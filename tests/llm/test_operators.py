@@ -349,6 +349,50 @@ def test_decontamination_finds_replaced_tokens_anywhere(spark):
         assert 5 * r["matched"] >= 4 * r["length"] and r["length"] >= min(13, r["item_id"])
 
 
+@pytest.mark.parametrize("size", [5, 6, 8, 10, 11, 12, 13, 14, 15, 19, 20, 25, 31, 60])
+def test_context_lets_every_overlap_through(size):
+    """Items in random documents, four fifths of their tokens or of a stretch kept: one hit passes at least."""
+    rng = np.random.default_rng(size)
+    seeds = decontaminate.SEEDS + decontaminate.SHORT_SEEDS
+    for _ in range(150):
+        item = rng.integers(0, 2**63, size).astype(np.uint64)
+        length = size if size < 13 else int(rng.integers(13, size + 1))
+        a = int(rng.integers(0, size - length + 1))
+        doc = rng.integers(0, 2**63, int(rng.integers(length, 3 * length))).astype(np.uint64)
+        at = int(rng.integers(0, len(doc) - length + 1))
+        doc[at : at + length] = item[a : a + length]
+        doc[at + rng.choice(length, length // 5, replace=False)] ^= np.uint64(rng.integers(1, 2**60))
+        passed = False
+        made = [decontaminate._all_hashes(x, size <= decontaminate.SHORT) for x in (doc, item)]
+        for seed, h, g in zip(seeds, *made):
+            span = seed[-1] + 1
+            for q, value in enumerate(g):
+                for p in np.flatnonzero(h == value):
+                    own = decontaminate.contexts(doc, np.array([p]), span, 0, len(doc), decontaminate.BEFORE_DOC)
+                    other = decontaminate.contexts(item, np.array([q]), span, 0, size, decontaminate.BEYOND_ITEM)
+                    codes = [[int(x[0]) >> 5 * k & 31 for k in range(12)] for x in (*own, *other)]
+                    equal = sum(x == y for x, y in zip(codes[0] + codes[1], codes[2] + codes[3]))
+                    passed |= equal >= decontaminate.needed(size, span, 13)
+        assert passed
+
+
+def test_a_common_phrase_makes_no_pairs(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 50_000, n))
+    phrase = "as we have seen before"
+    items = [(i, f"{words(12)} {phrase} {words(12)}") for i in range(80)]
+    docs = [(i, f"{words(40)} {phrase} {words(40)}") for i in range(300)]
+    docs[7] = (7, f"{words(9)} {items[3][1]} {words(9)}")
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    _, index = decontaminate.benchmark_index(bench)
+    both = index.select("h").union(index.select(decontaminate._mixed("h").alias("h")))
+    rows = df.select(F.col("doc_id").alias("i"), F.lit(False).alias("no"), F.xxhash64("text").alias("text_key"), "text")
+    found = decontaminate.regions(rows, decontaminate.bits_of(both, "h", decontaminate.LOG2_BITS), 40, False)
+    assert found.select(F.explode("hits")).count() >= 300
+    assert decontaminate.candidates(found, index).count() < 300 * 80 / 100
+    assert [tuple(r) for r in decontaminate.overlaps(df, bench).select("doc_id", "item_id").collect()] == [(7, 3)]
+
+
 def test_decontamination_of_short_items_and_rows_without_id(spark, tmp_path):
     item = "seven words that nobody else would write"
     bench = [(1, "Blue-green kelpie"), (2, "xylograph"), (3, item), (4, ""), (None, "kelpie sat")]
@@ -823,6 +867,26 @@ def test_pii_terms_of_entities_in_few_documents(spark):
     assert got[30] == [] and not any("the" in w for w in got.values())
 
 
+def test_pii_copies_are_no_evidence(spark):
+    rng = np.random.default_rng(4)
+    plain = [(100 + i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 60))) for i in range(400)]
+    lone = "w7 rarely seen words beside lone.person@solo.example.net stand in this text w9"
+    named = [(i, f"the Zorblax desk number {i} of boss@corp.example.com w{i}") for i in range(4)]
+    for copies in (1, 2, 9):
+        docs = plain + named + [(10 + i, lone) for i in range(copies)] + [(50 + i, t) for i, t in named for _ in range(copies - 1)]
+        got = terms_of(docs, spark)
+        # the address spells its own names; no other word of the copied text is taken for its owner's
+        assert set(got[10]) <= {"lone", "person"}
+        assert all("Zorblax" in got[i] for i in range(4))
+
+
+def test_distinct_texts(spark):
+    texts = ["a", "b", "a", "", None, "c", "a"]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    assert sorted(r["text"] for r in pii.distinct_texts(df).collect()) == ["", "a", "b", "c"]
+    assert pii.distinct_texts(df.limit(0)).count() == 0
+
+
 def test_pii_terms_in_the_whole_text(spark):
     plain = [(100 + i, t) for i, t in docs_of(SMALL)[:60]]
     far = " ".join(["and so it went on"] * 8)

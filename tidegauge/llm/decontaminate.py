@@ -6,6 +6,12 @@ every window of every document are joined; around each hit the two texts are com
 by token along the hit's diagonal, and any stretch counts that is long enough and has at
 least ``PER_OTHER`` equal tokens for each other one.
 
+A phrase that many documents and items share makes every document that has it a hit of every
+item. So both sides of the join carry 5 bits of each of the ``CONTEXT`` tokens on either side
+of the window, and a pair is let through only if enough of these are equal (``needed``). That
+drops no overlap, and pairs that are no overlap are dropped before any text is moved. What is
+left of a hot hash is spread by Spark's own splitting of skewed joins.
+
 The seeds of weight 5 hit every such stretch of 11 tokens or more. Whole items of 5 to 10
 tokens need the seeds of weight 4, which are used only if the benchmark has such items. Of
 fewer than five tokens all have to be equal, so those items are found by their whole hash.
@@ -17,7 +23,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import WordHashes, bits_of, chunks, fresh, text_key, text_or_empty, tidy
@@ -33,8 +39,18 @@ MIN_TOKENS = 13  # of an overlap; a shorter item has to match as a whole
 PER_OTHER = 4  # equal tokens for one that is not: four fifths are equal
 LOG2_BITS = 24
 
+CONTEXT = 12  # tokens on each side of a window that the join looks at
+CODE_BITS = 5
+# codes of real tokens lie between these, so a place beyond a text equals none
+BEFORE_DOC, BEYOND_ITEM = 0, 31
+CODES = 30
+COVERED = 11  # tokens from which on the seeds of weight 5 hit every stretch
+LANES = sum(1 << (CODE_BITS * k) for k in range(CONTEXT))
+
 # a row's id, zero if it has none, and whether it has none
 ROW = "i long, no boolean, text_key long"
+REGION = ["i", "no", "text_key", "start"]
+HIT = ["h", "place", "left", "right"]
 WORD = re.compile(r"\w+")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 SHORT_ODD = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -63,13 +79,44 @@ def _all_hashes(tokens: np.ndarray, short: bool) -> list[np.ndarray]:
     return made + [seed_hashes(tokens, s, True) for s in range(len(SHORT_SEEDS))] if short else made
 
 
+def contexts(tokens: np.ndarray, place, span, begin, end, absent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the tokens before and after windows at ``place``, the nearest in the lowest bits.
+
+    A text takes the places from ``begin`` to ``end``; others have the code ``absent``.
+    """
+    sides = []
+    for first, step in ((place - 1, -1), (place + span, 1)):
+        packed = np.zeros(len(place), np.int64)
+        for k in range(CONTEXT):
+            at = first + step * k
+            there = (at >= begin) & (at < end)
+            token = tokens[np.where(there, at, 0)]
+            code = (token >> np.uint64(40)) % np.uint64(CODES) + np.uint64(1)
+            packed |= np.where(there, code.astype(np.int64), absent) << (CODE_BITS * k)
+        sides.append(packed)
+    return sides[0], sides[1]
+
+
+def needed(size: int, span: int, min_tokens: int) -> int:
+    """Equal tokens that an overlap with an item of ``size`` tokens has beside a window inside it.
+
+    An overlap of 2m tokens or more is cut into parts of m to 2m - 1, of which one at least
+    has four fifths equal, and a hit. Of that part's equal tokens some are in the window, and
+    some may lie beyond the context. Zero where the seeds do not hit every part.
+    """
+    m = min(min_tokens, size)
+    if m < min(COVERED, size):
+        return 0
+    return max(0, min(m - m // (PER_OTHER + 1) - span, CONTEXT - (2 * m - 1) // (PER_OTHER + 1)))
+
+
 def tokens_of(text: str, hashes: WordHashes) -> np.ndarray:
     words = WORD.findall(text.lower())
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
-def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items as token hashes, and their windows' hashes with item and place.
+def benchmark_index(benchmark: DataFrame, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Items as token hashes, and their windows' hashes with item, place and context.
 
     Items of fewer than ``WHOLE`` tokens are among the items but have no window; those of
     none are left out.
@@ -93,18 +140,22 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         for frame in frames:
             for item, tokens in zip(frame["item_id"], frame["tokens"]):
                 t = np.asarray(tokens, np.int64).view(np.uint64)
-                for h in _all_hashes(t, len(t) <= SHORT):
-                    yield pd.DataFrame({"h": h.view(np.int64), "item_id": item, "place": np.arange(len(h))})
+                for seed, h in zip(SEEDS + SHORT_SEEDS, _all_hashes(t, len(t) <= SHORT)):
+                    place, span = np.arange(len(h)), seed[-1] + 1
+                    left, right = contexts(t, place, span, 0, len(t), BEYOND_ITEM)
+                    held = {"h": h.view(np.int64), "item_id": item, "item_place": place, "item_left": left, "item_right": right}
+                    yield pd.DataFrame(held | {"need": needed(len(t), span, min_tokens)})
 
     long = items.dropna(subset=["item_id"]).filter(F.size("tokens") >= WHOLE)
-    index = long.mapInPandas(tidy(windows), "h long, item_id long, place int")
+    kept = "h long, item_id long, item_place int, item_left long, item_right long, need int"
+    index = long.mapInPandas(tidy(windows), kept)
     return items, settle(index.dropDuplicates(), "index")
 
 
 def regions(rows: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits: int = LOG2_BITS) -> DataFrame:
     """Stretches of ``rows`` (``ROW`` and ``text``) around windows whose hash may be in the benchmark.
 
-    ``start`` and ``tokens`` of the stretch, and its hits as ``(h, place)``. Two bits of a
+    ``start`` and ``tokens`` of the stretch, and its hits with place and context. Two bits of a
     bitmap of fixed size are asked for each hash; the join that follows is exact. ``short``
     asks for the seeds of short items too.
     """
@@ -127,7 +178,7 @@ def regions(rows: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits:
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
                 owner = np.repeat(np.arange(hi - lo), sizes)
                 begin = np.cumsum(sizes) - sizes
-                places, hashes = [], []
+                places, hashes, spans = [], [], []
                 for seed, h in zip(SEEDS + SHORT_SEEDS, _all_hashes(flat, short)):
                     if not len(h):
                         continue
@@ -137,16 +188,21 @@ def regions(rows: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits:
                     hit = hit[owner[hit] == owner[hit + seed[-1]]]
                     places.append(hit)
                     hashes.append(h[hit])
+                    spans.append(np.full(len(hit), seed[-1] + 1))
                 if not places:
                     continue
-                place, h = np.concatenate(places), np.concatenate(hashes)
+                place, h, span = np.concatenate(places), np.concatenate(hashes), np.concatenate(spans)
                 order = np.argsort(place, kind="stable")
-                place, h = place[order], h[order]
+                place, h, span = place[order], h[order], span[order]
                 if not place.size:
                     continue
+                low = begin[owner[place]]
+                sides = contexts(flat, place, span, low, low + sizes[owner[place]], BEFORE_DOC)
+                table = np.stack([h.view(np.int64), place, *sides], axis=1)
                 cut = np.flatnonzero((np.diff(place) > 2 * margin) | (np.diff(owner[place]) != 0)) + 1
                 out = []
-                for p, hs in zip(np.split(place, cut), np.split(h, cut)):
+                for part in np.split(table, cut):
+                    p = part[:, 1]
                     d = owner[p[0]]
                     a = max(int(p[0]) - margin, int(begin[d]))
                     b = min(int(p[-1]) + margin + 1, int(begin[d] + sizes[d]))
@@ -157,14 +213,29 @@ def regions(rows: DataFrame, bitmap: bytes, margin: int, short: bool, log2_bits:
                             frame["text_key"].iloc[lo + d],
                             a - int(begin[d]),
                             flat[a:b].view(np.int64),
-                            [{"h": x, "place": y} for x, y in zip(hs.view(np.int64).tolist(), (p - a).tolist())],
+                            [dict(zip(HIT, x)) for x in (part - np.array([0, a, 0, 0])).tolist()],
                         )
                     )
                 yield pd.DataFrame(out, columns=["i", "no", "text_key", "start", "tokens", "hits"])
 
-    return rows.mapInPandas(
-        tidy(scan), f"{ROW}, start int, tokens array<long>, hits array<struct<h long, place int>>"
-    )
+    hits = "array<struct<h long, place long, left long, right long>>"
+    return rows.mapInPandas(tidy(scan), f"{ROW}, start int, tokens array<long>, hits {hits}")
+
+
+def candidates(found: DataFrame, index: DataFrame) -> DataFrame:
+    """Regions and items that share a hash and enough of its context, with the ``shift`` between them."""
+
+    def unequal(one: str, other: str) -> Column:
+        x = F.col(one).bitwiseXOR(F.col(other))
+        folded = x
+        for bit in range(1, CODE_BITS):
+            folded = folded.bitwiseOR(F.shiftrightunsigned(x, bit))
+        return F.bit_count(folded.bitwiseAND(F.lit(LANES)))
+
+    hits = found.select(*REGION, F.explode("hits").alias("x")).select(*REGION, *(F.col(f"x.{n}") for n in HIT))
+    equal = 2 * CONTEXT - unequal("left", "item_left") - unequal("right", "item_right")
+    joined = hits.join(index.withColumnRenamed("h", "item_h"), (F.col("h") == F.col("item_h")) & (equal >= F.col("need")))
+    return joined.select(*REGION, "item_id", (F.col("place") - F.col("item_place")).cast("int").alias("shift")).distinct()
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -239,7 +310,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS
     ``start`` counts tokens. Rows without an id are looked at only if ``unnamed``; items
     without an id have no overlap; null texts are empty; other columns are not read.
     """
-    items, index = benchmark_index(benchmark)
+    items, index = benchmark_index(benchmark, min_tokens)
     rows = (docs if unnamed else docs.filter("doc_id is not null")).select(
         F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"),
         F.col("doc_id").isNull().alias("no"),
@@ -252,13 +323,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS
     both = index.select("h").union(index.select(_mixed("h").alias("h")))
     bitmap = bits_of(both, "h", LOG2_BITS)
     found = settle(regions(rows, bitmap, max(size, SEEDS[-1][-1] + 1), short), "regions")
-    one = ["i", "no", "text_key", "start"]
-    hits = found.select(*one, F.explode("hits").alias("x")).select(*one, "x.h", "x.place")
-    lined = (
-        hits.join(index.withColumnRenamed("place", "item_place"), "h")
-        .select(*one, "item_id", (F.col("place") - F.col("item_place")).alias("shift"))
-        .distinct()
-    )
+    one, lined = REGION, candidates(found, index)
 
     @F.pandas_udf("start int, length int, matched int")
     def verify(tokens: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame:

@@ -7,7 +7,8 @@ mutual information of term and entity over the entity's own information,
     disclosure = log(N n(t,g) / n(t) n(g)) / log(N / n(e)),
 
 with N documents, n(t) and n(g) those that hold the term or an entity of the group, and
-n(t,g) those that hold both, wherever in the text. A group is the entity itself, or those
+n(t,g) those that hold both, wherever in the text. Documents of one text are one document
+here: a copy says nothing of its words that the first did not say. A group is the entity itself, or those
 that share a domain, a name part, a network, an issuer or all but the last digits of a
 number (``groups``): given the group, entity and term are taken for independent, so a group
 scores the terms of entities that are in one document. It is 1 where the term names the
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import Remembered, bits_of, fresh, keyed, spans_text, text_key, text_or_empty, tidy
+from tidegauge.llm.common import Remembered, bits_of, fresh, keyed, may_be_in, spans_text, text_key, text_or_empty, tidy
 from tidegauge.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -244,12 +245,26 @@ def term_counts(docs: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS)
     return counted.groupBy("form").agg(F.sum("n").alias("n")).join(wanted, "form", "left_semi")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``text_key`` and ``text`` of every text once; only texts that may have a copy are exchanged."""
+    rows = docs.select(text_key().alias("text_key"), text_or_empty().alias("text"))
+    copied = rows.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1")
+    may = may_be_in(F.col("text_key"), bits_of(copied, "text_key", LOG2_BITS), LOG2_BITS)
+    tagged = rows.withColumn("may", may)
+    return (
+        tagged.filter(~F.col("may")).unionByName(tagged.filter("may").dropDuplicates(["text_key"])).select("text_key", "text")
+    )
+
+
 def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """``(entity, term, keep)``: terms that disclose an entity, and what may stay of them.
 
+    Copies, documents of one text, are one document in every count.
+
     ``keep`` is the first letters where they disclose less than the threshold, else empty.
     """
-    total = docs.agg(F.count("*").alias("n")).head()["n"]
+    total = docs.agg(F.countDistinct(text_key()).alias("n")).head()["n"]
+    scanned = settle(scanned.filter(F.size("parts") > 0).dropDuplicates(["text_key"]), "evidence")
     parts = scanned.select(F.explode("parts").alias("x")).select("x.*")
     n_e = parts.select("entity", "part").filter("entity = part").groupBy("entity").agg(F.count("*").alias("n_e"))
     per_doc = scanned.select(F.explode(F.array_distinct(F.transform("parts", lambda x: x["part"]))).alias("part"))
@@ -275,7 +290,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD
     if not pairs.limit(1).count():
         return pairs.select(F.col("part").alias("entity"), "term", F.lit("").alias("keep"))
     counts = settle(
-        term_counts(docs, pairs.select(F.explode(F.array("w", "s")).alias("form")).distinct()), "term_counts"
+        term_counts(distinct_texts(docs), pairs.select(F.explode(F.array("w", "s")).alias("form")).distinct()), "term_counts"
     )
 
     def gain(k: str, n: str) -> Column:
