@@ -80,6 +80,22 @@ def test_one_target_with_a_million_paths_is_many_tasks(spark):
         assert a.n_paths == 1_000_000
 
 
+def test_a_round_sends_few_rows_however_many_values_it_counts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = inputs(spark, rng.normal(0, 0.3, 80), 0.5, 0.3, 0.8)
+    row = base.crossJoin(spark.range(20).select(F.col("id").alias("k")))
+    seen, real = [], draws._over_ranges
+    monkeypatch.setattr(draws, "_over_ranges", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = draws.forecast_interval_dealt(row, [*BY, "k"], 5000, 3).collect()
+    want = forecast.forecast_interval(base, BY, 5000, 3).orderBy("step").collect()
+    assert len(got) == 60
+    for r in got:
+        w = want[r.step - 1]
+        assert (r.ic_inferior, r.ic_superior) == pytest.approx((w.ic_inferior, w.ic_superior), rel=1e-12)
+    # two levels with two ranks each: at most four parts of a step, each one row
+    assert len(seen) >= 3 and all(made.count() <= 20 * 3 * 4 for made in seen[1:])
+
+
 def test_more_paths_than_draws_is_an_error(spark):
     with pytest.raises(ValueError, match="repeat"):
         draws.order_statistics(inputs(spark, [0.1, 0.2]), BY, 10**9)
