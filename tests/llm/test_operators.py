@@ -244,6 +244,29 @@ def test_packing_ids_are_the_tokenizers():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_and_its_closing_sign_are_merged_once(monkeypatch):
+    path, calls = packing.tokenizer_path(), []
+    tokenizer, merges, spelling = packing._tokenizer(path)
+
+    class Counted:
+        def tokenize(self, word):
+            calls.append(word)
+            return merges.tokenize(word)
+
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: (tokenizer, Counted(), spelling))
+    texts = ["qualmly", "qualmly.", "Qualmly,", "qualmly. qualmly, qualmly.\n", "l'qualmly, 3. qualmly!. <|endoftext|>qualmly, <|endoftext|>."]
+    for most in (90_000_000, 400):  # all is remembered, next to nothing is
+        monkeypatch.setattr(packing, "KNOWN_BYTES", most)
+        packing.worker_memory("another operator")
+        for text in texts[:4]:
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(packing.encode([text], path)[0], "<u4").tolist() == want
+        if most > 400:
+            assert sorted(calls) == [",", ".", "qualmly"]
+        want = tokenizer.encode(texts[4], add_special_tokens=False).ids
+        assert np.frombuffer(packing.encode([texts[4]], path)[0], "<u4").tolist() == want
+
+
 def test_packing_edges(edge, none):
     check_packing(packing.pack_documents(edge).collect(), EDGE)
     assert packing.pack_documents(none).count() == 0

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import text_or_empty, worker_memory
+from tidegauge.llm.common import Remembered, text_or_empty, worker_memory
 from tidegauge.session import settle
 
 CAPACITY = 4096
@@ -31,7 +31,6 @@ POOL = 16  # patterns priced by one dynamic program
 KNOWN_BYTES = 90_000_000  # of words a Python worker remembers
 BUCKET = 10_000  # pieces of one class that are ranked together
 
-EDGE = re.compile(rb"(?<=[a-z])(?=[.,][\x20\n])")
 # Parts of a word that are pre-tokens by themselves. The apostrophe (contractions) and ``<``
 # (special tokens) are not among the signs, so words that hold them are left to the tokenizer.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -59,50 +58,51 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class WordIds(Remembered):
+    """Word to its ids as little-endian 32-bit numbers; a new one's are made when it is asked for."""
+
+    def __init__(self, path: str):
+        super().__init__(KNOWN_BYTES, 170)
+        self.path = path
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > 1 and word[-1] in b".," and b"a" <= word[-2:-1] <= b"z":
+            # the sign is a pre-token by itself; the two together are kept from the second time on
+            bare = self.get(word[:-1])
+            if bare is None:
+                return self[word[:-1]] + self[word[-1:]]
+            made = bare + self[word[-1:]]
+            return self.keep(word, made, len(made))
+        tokenizer, merges, spelling = _tokenizer(self.path)
+        plain = word.decode()
+        if word.isalpha() and word.islower():
+            ids = [token.id for token in merges.tokenize(plain)]
+        else:
+            parts = PART.findall(plain)
+            if sum(map(len, parts)) < len(plain):
+                ids = tokenizer.encode([plain], is_pretokenized=True, add_special_tokens=False).ids
+            else:
+                ids = [token.id for part in parts for token in merges.tokenize(part.translate(spelling))]
+        return self.keep(word, struct.pack(f"<{len(ids)}I", *ids), 4 * len(ids))
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, without special tokens.
 
     This vocabulary drops white space and lowers letters, so a text's ids are those of its
     words in turn. Words met before are looked up. New ones made of ``PART`` need only the
-    merges; the others are encoded in one call. Texts that hold ``<|`` keep their case,
+    merges; the others go through the tokenizer. Texts that hold ``<|`` keep their case,
     because special tokens are read from the raw text.
     """
-    tokenizer, merges, spelling = _tokenizer(path)
     memory = worker_memory(f"packing {path}")
-    known, held = memory.setdefault("words", {}), memory.get("bytes", 0)
-    split = []
+    if "words" not in memory:
+        memory["words"] = WordIds(path)
+    ids_of, out = memory["words"].__getitem__, []
     for text in texts:
         raw = text.encode()
-        if b"<|" not in raw:
-            raw = EDGE.sub(b" ", raw.lower())
-        split.append(raw.split())
-    met = set().union(*split)
-    new = met.difference(known)
-    if held > KNOWN_BYTES:
-        known.clear()
-        new, held = met, 0
-    others = []
-    for word in new:
-        plain = word.decode()
-        if word.isalpha() and word.islower():
-            ids = [token.id for token in merges.tokenize(plain)]
-        else:
-            parts = PART.findall(plain)
-            if sum(map(len, parts)) < len(plain):
-                others.append(word)
-                continue
-            ids = [token.id for part in parts for token in merges.tokenize(part.translate(spelling))]
-        known[word] = struct.pack(f"<{len(ids)}I", *ids)
-    for i in range(0, len(others), 20_000):
-        part = others[i : i + 20_000]
-        got = tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-        cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-        for j, word in enumerate(part):
-            known[word] = ids[cuts[j] : cuts[j + 1]].tobytes()
-    memory["bytes"] = held + sum(170 + len(w) + len(known[w]) for w in new)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        out.append(b"".join(map(ids_of, words)))
+    return out
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
