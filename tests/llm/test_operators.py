@@ -267,6 +267,36 @@ def test_a_word_and_its_closing_sign_are_merged_once(monkeypatch):
         assert np.frombuffer(packing.encode([texts[4]], path)[0], "<u4").tolist() == want
 
 
+def test_remembered_words_stay_within_bytes():
+    words = packing.Remembered(1_000, 10, 200)
+    for i in range(500):
+        words.keep(f"w{i:03d}", i, 6)
+        assert words.held == 20 * len(words) <= 1_000
+    assert list(words)[:10] == [f"w{i:03d}" for i in range(10)]
+    words.shrink()
+    assert list(words) == [f"w{i:03d}" for i in range(10)] and words.held == 200
+    none = packing.Remembered(1_000, 10)
+    for i in range(500):
+        none.keep(f"w{i:03d}", i, 6)
+    none.shrink()
+    assert not none and none.held == 0
+
+
+def test_a_worker_keeps_few_words_after_a_task(spark, monkeypatch):
+    path = packing.tokenizer_path()
+    df = spark.createDataFrame([(1, " ".join(f"{x}ab{x % 7}" for x in range(3_000)))], "doc_id long, text string")
+    monkeypatch.setattr(packing, "KEPT_BYTES", 5_000)
+    packing.worker_memory("another operator")
+    # the function that Spark gives to a worker, here in this process
+    seen = {}
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: seen.setdefault("run", run))
+    packing.pieces(df, path)
+    got = list(seen["run"](iter([df.toPandas()])))
+    assert sum(len(f) for f in got) > 1
+    assert 0 < packing.word_ids(path).held <= 5_000
+    packing.worker_memory("another operator")
+
+
 def test_packing_edges(edge, none):
     check_packing(packing.pack_documents(edge).collect(), EDGE)
     assert packing.pack_documents(none).count() == 0
@@ -910,6 +940,28 @@ def test_distinct_texts(spark):
     assert pii.distinct_texts(df.limit(0)).count() == 0
 
 
+def test_term_counts_run_one_python_step_a_task(spark, capsys):
+    texts = ["one two", "one", "one two", None, "two\nthree", "one"]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    wanted = spark.createDataFrame([("wone",), ("wtwo",), ("wfour",), ("sthr",)], "form string")
+    counted = pii.term_counts(df, wanted)
+    assert {r["form"]: r["n"] for r in counted.collect()} == {"wone": 2, "wtwo": 2, "sthr": 1}
+    capsys.readouterr()
+    counted.explain()
+    steps, most, path = 0, 0, []
+    for line in capsys.readouterr().out.splitlines():
+        name = re.search(r"[A-Za-z]\w*", line)
+        if name is None:
+            continue
+        path = [x for x in path if x[0] < name.start()]
+        # a stage ends at an exchange; every Python step above it takes a worker of its own
+        above = 0 if "Exchange" in name[0] else path[-1][1] if path else 0
+        here = above + (name[0] in ("MapInPandas", "ArrowEvalPython"))
+        path.append((name.start(), here))
+        steps, most = steps + (here > above), max(most, here)
+    assert steps >= 3 and most == 1
+
+
 def test_pii_terms_in_the_whole_text(spark):
     plain = [(100 + i, t) for i, t in docs_of(SMALL)[:60]]
     far = " ".join(["and so it went on"] * 8)

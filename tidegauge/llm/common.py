@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -113,21 +114,35 @@ def tidy(run):
 
 
 class Remembered(dict):
-    """A dictionary of words that is emptied when its words exceed ``most_bytes``."""
+    """A dictionary of words that is emptied when its words exceed ``most_bytes``.
 
-    def __init__(self, most_bytes: int = 40_000_000, each: int = 180):
+    The words met first, ``least_bytes`` of them (a quarter of all at most), stay: frequent
+    words are met early.
+    """
+
+    def __init__(self, most_bytes: int = 40_000_000, each: int = 180, least_bytes: int = 0):
         super().__init__()
         self.most_bytes, self.each, self.held = most_bytes, each, 0
+        self.least_bytes, self.first = min(least_bytes, most_bytes // 4), (0, 0)
 
     def keep(self, word, value, size: int = 0):
         """Remember the value, which is returned; an entry counts ``each`` bytes, its word's and ``size``."""
-        self.held += self.each + len(word) + size
-        if self.held > self.most_bytes:
-            self.clear()
-            self.held = self.each + len(word) + size
+        cost = self.each + len(word) + size
+        if self.held + cost > self.most_bytes:
+            self.shrink()
+        self.held += cost
         self[word] = value
+        if self.held <= self.least_bytes:
+            self.first = len(self), self.held
         return value
 
+    def shrink(self):
+        """Forget all but the words met first."""
+        n, self.held = self.first
+        stay = list(islice(self.items(), n))
+        self.clear()
+        self.update(stay)
+
 
 class WordHashes(Remembered):
     """Word to its 64-bit hash."""
@@ -154,13 +169,17 @@ def bits_of(hashes: DataFrame, column: str, log2_bits: int) -> bytes:
     return bitmap.tobytes()
 
 
+def in_bits(keys: np.ndarray, bitmap: bytes, log2_bits: int) -> np.ndarray:
+    """Whether each signed 64-bit key's bit is set in a bitmap made by ``bits_of``."""
+    bits = np.frombuffer(bitmap, np.uint64)
+    at = keys.view(np.uint64) >> np.uint64(64 - log2_bits)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def may_be_in(key: Column, bitmap: bytes, log2_bits: int) -> Column:
-    """Whether the 64-bit key's bit is set in a bitmap made by ``bits_of``."""
+    """``in_bits`` of a column."""
     @F.pandas_udf("boolean")
     def may(keys: pd.Series) -> pd.Series:
-        bits = np.frombuffer(bitmap, np.uint64)
-        at = keys.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - log2_bits)
-        got = bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
-        return pd.Series(got.astype(bool))
+        return pd.Series(in_bits(keys.to_numpy(np.int64), bitmap, log2_bits))
 
     return may(key)

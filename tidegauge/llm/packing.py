@@ -11,7 +11,6 @@ never leave the executors.
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import Remembered, text_or_empty, worker_memory
+from tidegauge.llm.common import Remembered, text_or_empty, trim, worker_memory
 from tidegauge.session import settle
 
 CAPACITY = 4096
@@ -28,7 +27,8 @@ GRAIN = 8
 END_ID = 2
 GAP = 1e-3  # the linear program stops this close to its bound
 POOL = 16  # patterns priced by one dynamic program
-KNOWN_BYTES = 90_000_000  # of words a Python worker remembers
+KNOWN_BYTES = 64_000_000  # of words a Python worker remembers in a task
+KEPT_BYTES = 16_000_000  # of these, from task to task: idle workers hold them too
 BUCKET = 10_000  # pieces of one class that are ranked together
 
 # Parts of a word that are pre-tokens by themselves. The apostrophe (contractions) and ``<``
@@ -37,7 +37,6 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PART = re.compile(rf"[{LETTERS}]+|[0-9]|[!-&(-/:;=>?@\[-`{{-~]+")
 
 
-@functools.cache
 def _tokenizer(path: str):
     """The tokenizer, its merges alone and how letters are spelled for them."""
     import os
@@ -62,8 +61,8 @@ class WordIds(Remembered):
     """Word to its ids as little-endian 32-bit numbers; a new one's are made when it is asked for."""
 
     def __init__(self, path: str):
-        super().__init__(KNOWN_BYTES, 170)
-        self.path = path
+        super().__init__(KNOWN_BYTES, 170, KEPT_BYTES)
+        self.tokenizer, self.merges, self.spelling = _tokenizer(path)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > 1 and word[-1] in b".," and b"a" <= word[-2:-1] <= b"z":
@@ -73,19 +72,26 @@ class WordIds(Remembered):
                 return self[word[:-1]] + self[word[-1:]]
             made = bare + self[word[-1:]]
             return self.keep(word, made, len(made))
-        tokenizer, merges, spelling = _tokenizer(self.path)
         plain = word.decode()
         if word.isalpha() and word.islower():
-            ids = [token.id for token in merges.tokenize(plain)]
+            ids = [token.id for token in self.merges.tokenize(plain)]
         else:
             parts = PART.findall(plain)
             if sum(map(len, parts)) < len(plain):
-                ids = tokenizer.encode([plain], is_pretokenized=True, add_special_tokens=False).ids
+                ids = self.tokenizer.encode([plain], is_pretokenized=True, add_special_tokens=False).ids
             else:
-                ids = [token.id for part in parts for token in merges.tokenize(part.translate(spelling))]
+                ids = [token.id for part in parts for token in self.merges.tokenize(part.translate(self.spelling))]
         return self.keep(word, struct.pack(f"<{len(ids)}I", *ids), 4 * len(ids))
 
 
+def word_ids(path: str) -> WordIds:
+    """The words this Python worker remembers."""
+    memory = worker_memory(f"packing {path}")
+    if "words" not in memory:
+        memory["words"] = WordIds(path)
+    return memory["words"]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, without special tokens.
 
@@ -94,10 +100,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     merges; the others go through the tokenizer. Texts that hold ``<|`` keep their case,
     because special tokens are read from the raw text.
     """
-    memory = worker_memory(f"packing {path}")
-    if "words" not in memory:
-        memory["words"] = WordIds(path)
-    ids_of, out = memory["words"].__getitem__, []
+    ids_of, out = word_ids(path).__getitem__, []
     for text in texts:
         raw = text.encode()
         words = (raw if b"<|" in raw else raw.lower()).split()
@@ -125,6 +128,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 got = pd.DataFrame(out, columns=["doc_id", "doc_tokens", "start", "ids"])
                 got["doc_id"] = got["doc_id"].astype("Int64")
                 yield got
+        # the worker may lie idle from here on
+        word_ids(where).shrink()
+        trim()
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
         cut, "doc_id long, doc_tokens long, start long, ids binary"

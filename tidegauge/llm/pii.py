@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import Remembered, bits_of, fresh, keyed, may_be_in, spans_text, text_key, text_or_empty, tidy
+from tidegauge.llm.common import Remembered, bits_of, fresh, in_bits, keyed, may_be_in, spans_text, text_key, text_or_empty, tidy
 from tidegauge.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -210,7 +210,7 @@ def together(scanned: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS)
 
 
 def term_counts(docs: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS) -> DataFrame:
-    """``(form, n)``: documents that hold each wanted form, counted over all of them.
+    """``(form, n)``: different texts that hold each wanted form, counted over all of them.
 
     A bitmap of the wanted forms' hashes, of a fixed size, keeps most words from leaving the
     scan; each batch counts what is left, and a join drops what the bitmap let through.
@@ -241,19 +241,29 @@ def term_counts(docs: DataFrame, wanted: DataFrame, log2_bits: int = LOG2_BITS)
             if seen:
                 yield pd.DataFrame({"form": list(seen), "n": list(seen.values())})
 
-    counted = docs.select(text_or_empty().alias("text")).mapInPandas(tidy(count), "form string, n long")
+    counted = distinct_texts(docs, tidy(count), "form string, n long")
     return counted.groupBy("form").agg(F.sum("n").alias("n")).join(wanted, "form", "left_semi")
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """``text_key`` and ``text`` of every text once; only texts that may have a copy are exchanged."""
+def distinct_texts(docs: DataFrame, run=None, schema: str = "text_key long, text string") -> DataFrame:
+    """``text_key`` and ``text`` of every text once; only texts that may have a copy are exchanged.
+
+    ``run``, a function of batches of these, makes rows of ``schema`` instead. It looks at the
+    texts in the pass that leaves the copies out: two Python steps in one task would hold two
+    workers each, and those stay for all stages that follow.
+    """
     rows = docs.select(text_key().alias("text_key"), text_or_empty().alias("text"))
     copied = rows.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1")
-    may = may_be_in(F.col("text_key"), bits_of(copied, "text_key", LOG2_BITS), LOG2_BITS)
-    tagged = rows.withColumn("may", may)
-    return (
-        tagged.filter(~F.col("may")).unionByName(tagged.filter("may").dropDuplicates(["text_key"])).select("text_key", "text")
-    )
+    bitmap = bits_of(copied, "text_key", LOG2_BITS)
+
+    def alone(frames):
+        for frame in frames:
+            yield frame[~in_bits(frame["text_key"].to_numpy(np.int64), bitmap, LOG2_BITS)]
+
+    once = rows.filter(may_be_in(F.col("text_key"), bitmap, LOG2_BITS)).dropDuplicates(["text_key"])
+    if run is None:
+        return rows.mapInPandas(alone, schema).unionByName(once)
+    return rows.mapInPandas(lambda frames: run(alone(frames)), schema).unionByName(once.mapInPandas(run, schema))
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -290,7 +300,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD
     if not pairs.limit(1).count():
         return pairs.select(F.col("part").alias("entity"), "term", F.lit("").alias("keep"))
     counts = settle(
-        term_counts(distinct_texts(docs), pairs.select(F.explode(F.array("w", "s")).alias("form")).distinct()), "term_counts"
+        term_counts(docs, pairs.select(F.explode(F.array("w", "s")).alias("form")).distinct()), "term_counts"
     )
 
     def gain(k: str, n: str) -> Column:
